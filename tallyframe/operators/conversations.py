@@ -24,32 +24,44 @@ def violations(rows: DataFrame) -> DataFrame:
     ).where("problem is not null")
 
 
+def label_path_counts(rows: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Per answer: rows, rows whose image is missing, rows whose image path is relative.
+
+    Rows are counted per (label, path) before they meet the inventory, so a path that very many rows share reaches the
+    join once per label.
+    """
+    counted = rows.groupBy("label", "image_path").agg(F.count("*").alias("n"))
+    known = inventory.select(F.col("path").alias("image_path"), F.lit(True).alias("known")).distinct()
+    checked = counted.join(known, "image_path", "left")
+    missing = F.col("image_path").isNotNull() & F.col("known").isNull()
+    relative = F.col("image_path").isNotNull() & ~F.col("image_path").startswith("/")
+    zero = F.lit(0)
+    return checked.groupBy("label").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(missing, F.col("n")).otherwise(zero)).alias("missing"),
+        F.sum(F.when(relative, F.col("n")).otherwise(zero)).alias("relative"),
+    )
+
+
 def validation_summary(rows: DataFrame, inventory: DataFrame, strict: bool = False) -> DataFrame:
     """One row: records, records per class, missing and relative image paths, and whether the paths are all right.
 
-    ``strict`` raises when a row has no image path or answer. Path problems are counted; ``missing_paths`` and
-    ``relative_paths`` list them.
+    ``strict`` raises when a row has no image path or answer. Path problems are counted here; ``path_problems`` lists
+    them.
     """
     if strict:
         require_none(violations(rows), "Invalid rows")
-    # The path set is unique per path, so the join keeps the number of rows.
-    known = inventory.select(F.col("path").alias("image_path"), F.lit(True).alias("known")).distinct()
-    checked = rows.select("image_path", "label").join(known, "image_path", "left")
-    per_class = checked.groupBy("label").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("image_path").isNotNull() & F.col("known").isNull()).alias("missing"),
-        F.count_if(F.col("image_path").isNotNull() & ~F.col("image_path").startswith("/")).alias("relative"),
-    )
-    counted = F.filter(
-        F.array_sort(F.collect_list(F.struct(F.col("label").alias("key"), F.col("n").alias("value")))),
-        lambda e: e["key"].isNotNull(),
+    entries = F.array_sort(F.collect_list(F.struct(F.col("label").alias("key"), F.col("n").alias("value"))))
+    return (
+        label_path_counts(rows, inventory)
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
+            F.map_from_entries(F.filter(entries, lambda e: e["key"].isNotNull())).alias("category_counts"),
+            F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_paths"),
+            F.coalesce(F.sum("relative"), F.lit(0)).alias("relative_paths"),
+        )
+        .withColumn("is_valid", (F.col("missing_paths") == 0) & (F.col("relative_paths") == 0))
     )
-    return per_class.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"),
-        F.map_from_entries(counted).alias("category_counts"),
-        F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_paths"),
-        F.coalesce(F.sum("relative"), F.lit(0)).alias("relative_paths"),
-    ).withColumn("is_valid", (F.col("missing_paths") == 0) & (F.col("relative_paths") == 0))
 
 
 def path_problems(rows: DataFrame, inventory: DataFrame) -> DataFrame:
