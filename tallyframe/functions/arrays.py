@@ -1,4 +1,8 @@
-"""Numeric array expressions: scores, token masks and heat maps, one row per sample and no shuffle."""
+"""Numeric array expressions: scores, token masks and heat maps, one row per sample and no shuffle.
+
+Arguments are bound with ``let`` before a lambda uses them: Catalyst may inline the expression behind a column into the
+lambda, which would evaluate it once per element.
+"""
 
 from __future__ import annotations
 
@@ -17,28 +21,34 @@ def array_sum(values: Column) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Softmax shifted by the largest score; an empty array stays empty."""
-    shifted = let(F.array_max(scores), lambda top: F.transform(scores, lambda s: F.exp(s - top)))
     return let(
-        shifted,
-        lambda exps: let(array_sum(exps), lambda total: F.transform(exps, lambda e: e / total)),
+        scores,
+        lambda raw: let(
+            F.array_max(raw),
+            lambda top: let(
+                F.transform(raw, lambda s: F.exp(s - top)),
+                lambda exps: let(array_sum(exps), lambda total: F.transform(exps, lambda e: e / total)),
+            ),
+        ),
     )
 
 
 def argmax_label(probabilities: Column, labels: Sequence[str]) -> Column:
     """Label of the largest value; the first of equal ones."""
     names = F.array(*[F.lit(label) for label in labels])
-    return F.get(names, F.array_position(probabilities, F.array_max(probabilities)).cast("int") - 1)
+    return let(probabilities, lambda p: F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1))
 
 
 def positive_score(
     probabilities: Column, labels: Sequence[str], positive: Sequence[str] = defaults.POSITIVE_LABELS
 ) -> Column:
     """Probability mass of the positive labels; a positive label that is no candidate adds nothing."""
-    picked = [F.coalesce(F.get(probabilities, F.lit(i)), F.lit(0.0)) for i, x in enumerate(labels) if x in positive]
-    total = F.lit(0.0)
-    for value in picked:
-        total = total + value
-    return total
+    places = [i for i, label in enumerate(labels) if label in positive]
+
+    def total(p: Column) -> Column:
+        return sum((F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) for i in places), F.lit(0.0))
+
+    return let(probabilities, total)
 
 
 def labelled(values: Column, labels: Sequence[str]) -> Column:
@@ -57,18 +67,26 @@ def mask_prompt(
 
     The span starts after the padding on the left, at 0 otherwise. A prompt longer than the sequence is an error.
     """
-    def masked(actual: Column) -> Column:
-        start = (F.size(input_ids) - actual) if padding_side == "left" else F.lit(0)
-        targets = F.transform(
-            F.arrays_zip(input_ids.alias("id"), attention_mask.alias("on")),
-            lambda token, i: F.when(
-                (token["on"] == 0) | ((i >= start) & (i < start + prompt_length)), F.lit(ignore).cast("bigint")
-            ).otherwise(token["id"].cast("bigint")),
+    def masked(given: Column) -> Column:
+        ids, mask, prompt, actual = given["ids"], given["mask"], given["prompt"], given["actual"]
+        start = (F.size(ids) - actual) if padding_side == "left" else F.lit(0)
+        targets = let(
+            start,
+            lambda first: F.transform(
+                F.arrays_zip(ids, mask),
+                lambda token, i: F.when(
+                    (token["mask"] == 0) | ((i >= first) & (i < first + prompt)), F.lit(ignore).cast("bigint")
+                ).otherwise(token["ids"].cast("bigint")),
+            ),
         )
-        problem = F.raise_error(F.concat(F.lit("Prompt longer than its sequence: "), prompt_length.cast("string")))
-        return F.when(prompt_length > actual, problem.cast("array<bigint>")).otherwise(targets)
+        problem = F.raise_error(F.concat(F.lit("Prompt longer than its sequence: "), prompt.cast("string")))
+        return F.when(prompt > actual, problem.cast("array<bigint>")).otherwise(targets)
 
-    return let(array_sum(attention_mask).cast("int"), masked)
+    given = F.struct(
+        input_ids.alias("ids"), attention_mask.alias("mask"), prompt_length.alias("prompt"),
+        array_sum(attention_mask).cast("int").alias("actual"),
+    )
+    return let(given, masked)
 
 
 def prompt_fits(attention_mask: Column, prompt_length: Column) -> Column:
@@ -127,10 +145,12 @@ def shapes(fields: dict[str, Column]) -> Column:
 def minmax_normalize(values: Column, eps: float = defaults.SALIENCY_EPSILON) -> Column:
     """Shift to 0, divide by the new maximum; all zeros when that is at most ``eps``."""
     return let(
-        F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high")),
-        lambda r: F.transform(
-            values,
-            lambda x: F.when(r["high"] - r["low"] <= eps, F.lit(0.0)).otherwise((x - r["low"]) / (r["high"] - r["low"])),
+        values,
+        lambda v: let(
+            F.struct(F.array_min(v).alias("low"), (F.array_max(v) - F.array_min(v)).alias("width")),
+            lambda r: F.transform(
+                v, lambda x: F.when(r["width"] <= eps, F.lit(0.0)).otherwise((x - r["low"]) / r["width"])
+            ),
         ),
     )
 
@@ -172,23 +192,22 @@ def percentile_normalize(
     """
     check_clip_settings(low, high, gamma)
 
-    def scaled(r: Column) -> Column:
+    def scaled(v: Column, r: Column) -> Column:
         def point(x: Column) -> Column:
             unit = F.least(F.greatest((x - r["low"]) / (r["high"] - r["low"]), F.lit(0.0)), F.lit(1.0))
             return F.when(r["high"] <= r["low"], F.lit(0.0)).otherwise(F.pow(unit, F.lit(gamma)))
 
-        return F.transform(values, point)
+        return F.transform(v, point)
 
     def limits(ordered: Column) -> Column:
-        clip = let(
+        return let(
             F.struct(percentile_of(ordered, low).alias("a"), percentile_of(ordered, high).alias("b")),
             lambda p: F.when(p["b"] > p["a"], F.struct(p["a"].alias("low"), p["b"].alias("high"))).otherwise(
                 F.struct(F.get(ordered, F.lit(0)).alias("low"), F.element_at(ordered, -1).alias("high"))
             ),
         )
-        return let(clip, scaled)
 
-    return let(F.array_sort(values), limits)
+    return let(values, lambda v: let(let(F.array_sort(v), limits), lambda r: scaled(v, r)))
 
 
 def token_saliency(activations: Column, gradients: Column, eps: float = defaults.SALIENCY_EPSILON) -> Column:
@@ -204,9 +223,9 @@ def token_saliency(activations: Column, gradients: Column, eps: float = defaults
             lambda total, x: total + x,
         )
 
-    def with_weights(weights: Column) -> Column:
-        direct = F.transform(activations, lambda row: F.greatest(F.lit(0.0), channel_sum(row, weights)))
-        fallback = F.zip_with(activations, gradients, lambda a, g: F.abs(channel_sum(a, g)))
+    def scored(act: Column, grad: Column, weights: Column) -> Column:
+        direct = F.transform(act, lambda row: F.greatest(F.lit(0.0), channel_sum(row, weights)))
+        fallback = F.zip_with(act, grad, lambda a, g: F.abs(channel_sum(a, g)))
         return let(
             direct,
             lambda scores: F.when(
@@ -215,34 +234,43 @@ def token_saliency(activations: Column, gradients: Column, eps: float = defaults
             ).otherwise(
                 F.struct(
                     F.lit("gradient_activation_fallback").alias("method"),
-                    let(fallback, lambda f: minmax_normalize(f, eps)).alias("scores"),
+                    minmax_normalize(fallback, eps).alias("scores"),
                 )
             ),
         )
 
-    # Column sums of the gradients in one pass over the tokens.
-    totals = F.aggregate(
-        F.slice(gradients, F.lit(2), F.greatest(F.size(gradients) - 1, F.lit(0))),
-        F.transform(F.get(gradients, F.lit(0)), lambda g: g.cast("double")),
-        lambda total, row: F.zip_with(total, row, lambda a, b: a + b.cast("double")),
-    )
-    same = (F.size(activations) == F.size(gradients)) & F.forall(
-        F.zip_with(activations, gradients, lambda a, g: F.size(a) == F.size(g)), lambda ok: ok
-    )
-    problem = F.raise_error(F.lit("Activations and gradients differ in shape."))
-    result = let(F.transform(totals, lambda t: t / F.size(gradients)), with_weights)
-    return F.when(same, result).otherwise(problem.cast("struct<method:string,scores:array<double>>"))
+    def run(given: Column) -> Column:
+        act, grad = given["act"], given["grad"]
+        # Column sums of the gradients in one pass over the tokens.
+        totals = F.aggregate(
+            F.slice(grad, F.lit(2), F.greatest(F.size(grad) - 1, F.lit(0))),
+            F.transform(F.get(grad, F.lit(0)), lambda g: g.cast("double")),
+            lambda total, row: F.zip_with(total, row, lambda a, b: a + b.cast("double")),
+        )
+        same = (F.size(act) == F.size(grad)) & F.forall(
+            F.zip_with(act, grad, lambda a, g: F.size(a) == F.size(g)), lambda ok: ok
+        )
+        result = let(F.transform(totals, lambda t: t / F.size(grad)), lambda w: scored(act, grad, w))
+        problem = F.raise_error(F.lit("Activations and gradients differ in shape."))
+        return F.when(same, result).otherwise(problem.cast("struct<method:string,scores:array<double>>"))
+
+    return let(F.struct(activations.alias("act"), gradients.alias("grad")), run)
 
 
 def spatial_map(scores: Column, t: Column, h: Column, w: Column) -> Column:
     """Mean over the first axis of a ``t x h x w`` token grid, normalised, as ``h*w`` values in row order."""
-    cells = F.transform(
-        F.sequence(F.lit(0), h * w - 1),
-        lambda cell: F.aggregate(
-            F.sequence(F.lit(0), t - 1), F.lit(0.0), lambda total, step: total + F.get(scores, step * h * w + cell)
-        ) / t,
-    )
-    problem = F.raise_error(F.lit("The number of token scores does not match the grid."))
-    return F.when(F.size(scores) == t * h * w, let(cells, minmax_normalize)).otherwise(
-        problem.cast("array<double>")
-    )
+    def run(given: Column) -> Column:
+        v, nt, nh, nw = given["v"], given["t"], given["h"], given["w"]
+        cells = F.transform(
+            F.sequence(F.lit(0), nh * nw - 1),
+            lambda cell: F.aggregate(
+                F.sequence(F.lit(0), nt - 1),
+                F.lit(0.0),
+                lambda total, step: total + F.get(v, step * nh * nw + cell),
+            )
+            / nt,
+        )
+        problem = F.raise_error(F.lit("The number of token scores does not match the grid."))
+        return F.when(F.size(v) == nt * nh * nw, minmax_normalize(cells)).otherwise(problem.cast("array<double>"))
+
+    return let(F.struct(scores.alias("v"), t.alias("t"), h.alias("h"), w.alias("w")), run)

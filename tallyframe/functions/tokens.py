@@ -99,14 +99,10 @@ def column_lookup(header: Column, candidates: Sequence[str]) -> Column:
     Candidates are tried in the order given for the exact match, header fields in file order for the other.
     """
     wanted = F.array(*[F.lit(name) for name in candidates])
-    exact = F.get(
-        F.flatten(
-            F.transform(wanted, lambda name: F.filter(header, lambda field: normalize_token(field) == name))
-        ),
-        F.lit(0),
-    )
-    part = F.get(
-        F.filter(header, lambda field: F.exists(wanted, lambda name: normalize_token(field).contains(name))),
-        F.lit(0),
-    )
-    return F.coalesce(exact, part)
+
+    def find(fields: Column) -> Column:
+        exact = F.transform(wanted, lambda name: F.filter(fields, lambda field: normalize_token(field) == name))
+        part = F.filter(fields, lambda field: F.exists(wanted, lambda name: normalize_token(field).contains(name)))
+        return F.coalesce(F.get(F.flatten(exact), F.lit(0)), F.get(part, F.lit(0)))
+
+    return let(header, find)

@@ -172,7 +172,7 @@ def records_from_lists(
         F.get("words", F.lit(0)).alias("raw_path"),
         first_known(lambda w: tokens.canonical_category(w, aliases)).alias("given_category"),
         F.coalesce(
-            tokens.canonical_split(paths.stem(F.col("source"))), first_known(tokens.canonical_split)
+            tokens.canonical_split(paths.stem(F.col("source"))), first_known(lambda w: tokens.canonical_split(w))
         ).alias("given_split"),
     )
     found = resolve_paths(raw, inventory, root, "raw_path")
