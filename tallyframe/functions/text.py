@@ -25,7 +25,21 @@ def text_lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK)
 
 
-def literal_array(values) -> Column:
-    """An array literal; an empty one keeps its string element type."""
-    values = list(values)
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+def complete_rows(*columns: Column, required: tuple[str, ...]) -> Column:
+    """The columns as a row, left out when a required one is null.
+
+    A filter above a projection would be pushed below it and compute the filtered column a second time; here each
+    expression is evaluated once.
+    """
+    def complete(row: Column) -> Column:
+        found = row[required[0]].isNotNull()
+        for name in required[1:]:
+            found = found & row[name].isNotNull()
+        return found
+
+    return F.inline(F.filter(F.array(F.struct(*columns)), complete))
+
+
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import defaults
 from tallyframe.functions import paths
-from tallyframe.functions.text import let
+from tallyframe.functions.text import let, sql_text
 
 
 def normalize_token(value: Column) -> Column:
@@ -34,19 +34,23 @@ def _ranked_aliases(aliases: Mapping[str, Sequence[str]]) -> list[tuple[str, str
     return [(token, category) for _, _, token, category in sorted(ranked, key=lambda item: item[:2])]
 
 
-def _category_of_token(token: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
+def _alias_table(aliases: Mapping[str, Sequence[str]]) -> Column:
+    """The ranked aliases as one constant array, each alias between underscores."""
+    rows = [f"struct({sql_text(f'_{a}_')} AS alias, {sql_text(c)} AS category)" for a, c in _ranked_aliases(aliases)]
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _category_of_token(token: Column, table: Column) -> Column:
     """First alias, in rank order, whose parts occur side by side in the token."""
-    padded = F.concat(F.lit("_"), token, F.lit("_"))
-    found = None
-    for alias, category in _ranked_aliases(aliases):
-        hit = padded.contains(f"_{alias}_")
-        found = F.when(hit, category) if found is None else found.when(hit, category)
-    return F.lit(None).cast("string") if found is None else found
+    return let(
+        F.concat(F.lit("_"), token, F.lit("_")),
+        lambda padded: F.get(F.filter(table, lambda a: padded.contains(a["alias"])), F.lit(0))["category"],
+    )
 
 
 def canonical_category(value: Column, aliases: Mapping[str, Sequence[str]] = defaults.CATEGORY_ALIASES) -> Column:
     """Class named by a text, or null. The alias with most words wins; parts of words never match."""
-    return let(normalize_token(value), lambda token: _category_of_token(token, aliases))
+    return _category_of_token(normalize_token(value), _alias_table(aliases))
 
 
 def _split_of_token(token: Column, splits: Sequence[str]) -> Column:
@@ -75,12 +79,13 @@ def category_from_path(
 ) -> Column:
     """Class from the directories, nearest first; else from the whole stem; else from the file name."""
     relative = paths.relative_path(path, root)
+    table = _alias_table(aliases)
     stem_token = normalize_token(paths.stem(path))
     by_stem = [F.when(stem_token.rlike(f"^(?:{pattern})$"), category) for pattern, category in stem_patterns]
     return F.coalesce(
-        _nearest(relative, lambda token: _category_of_token(token, aliases)),
+        _nearest(relative, lambda token: _category_of_token(token, table)),
         *by_stem,
-        canonical_category(paths.base_name(path), aliases),
+        _category_of_token(normalize_token(paths.base_name(path)), table),
     )
 
 

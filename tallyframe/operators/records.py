@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import defaults
 from tallyframe.functions import paths, tokens
+from tallyframe.functions.text import complete_rows
 from tallyframe.session import small_table
 
 RECORD_COLUMNS = ("path", "split", "category")
@@ -66,10 +67,13 @@ def records_from_folders(
     """Class and split from the path alone; without a class a file is no record, without a split it is ``unsplit``."""
     path = F.col("path")
     return inventory.where(paths.is_image(path)).select(
-        "path",
-        F.coalesce(tokens.split_from_path(path, root), F.lit("unsplit")).alias("split"),
-        tokens.category_from_path(path, root, aliases).alias("category"),
-    ).where("category is not null")
+        complete_rows(
+            path,
+            F.coalesce(tokens.split_from_path(path, root), F.lit("unsplit")).alias("split"),
+            tokens.category_from_path(path, root, aliases).alias("category"),
+            required=("category",),
+        )
+    )
 
 
 def distinct_records(records: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from tallyframe.session import broadcast_if_small, small_table
 
 def class_order(column: str, classes: Sequence[str]) -> Column:
     """Position of a class in the ordered class list; null for other values."""
-    return F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(column)) - 1 if classes else F.lit(None)
+    return F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(column)) - 1
 
 
 def hash_order(key: str | Column, seed: int) -> Column:

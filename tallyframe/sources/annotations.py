@@ -10,12 +10,13 @@ import csv
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
 from tallyframe.functions import paths, tokens
-from tallyframe.functions.text import strip
+from tallyframe.functions.text import complete_rows, strip
 from tallyframe.operators.records import resolve_paths
 from tallyframe.session import broadcast_if_small, materialize
 from tallyframe.sources.files import annotation_files, source_path, text_rows
@@ -73,7 +74,11 @@ def delimited_rows(spark: SparkSession, heads: Sequence[tuple[str, str]], multi_
         header_rows += [(path, list(last)) for path in files]
     if rows is None:
         return _empty(spark, _ROWS), _empty(spark, _HEADS)
-    return rows, spark.createDataFrame(header_rows, _HEADS)
+    heads = pa.table(
+        {"source": [path for path, _ in header_rows], "header": [names for _, names in header_rows]},
+        schema=pa.schema([("source", pa.string()), ("header", pa.list_(pa.string()))]),
+    )
+    return rows, spark.createDataFrame(heads)
 
 
 def _json_values(spark: SparkSession, files: list[str]) -> DataFrame:
@@ -146,11 +151,14 @@ def records_from_rows(
     )
     found = resolve_paths(raw, inventory, root, "raw_path")
     return found.select(
-        "source",
-        "path",
-        F.coalesce("given_split", "file_split", tokens.split_from_path(F.col("path"), root)).alias("split"),
-        F.coalesce("given_category", tokens.category_from_path(F.col("path"), root, aliases)).alias("category"),
-    ).where("split is not null and category is not null")
+        complete_rows(
+            F.col("source"),
+            F.col("path"),
+            F.coalesce("given_split", "file_split", tokens.split_from_path(F.col("path"), root)).alias("split"),
+            F.coalesce("given_category", tokens.category_from_path(F.col("path"), root, aliases)).alias("category"),
+            required=("split", "category"),
+        )
+    )
 
 
 def records_from_lists(
@@ -177,11 +185,14 @@ def records_from_lists(
     )
     found = resolve_paths(raw, inventory, root, "raw_path")
     return found.select(
-        "source",
-        "path",
-        F.coalesce("given_split", tokens.split_from_path(F.col("path"), root)).alias("split"),
-        F.coalesce("given_category", tokens.category_from_path(F.col("path"), root, aliases)).alias("category"),
-    ).where("split is not null and category is not null")
+        complete_rows(
+            F.col("source"),
+            F.col("path"),
+            F.coalesce("given_split", tokens.split_from_path(F.col("path"), root)).alias("split"),
+            F.coalesce("given_category", tokens.category_from_path(F.col("path"), root, aliases)).alias("category"),
+            required=("split", "category"),
+        )
+    )
 
 
 def annotation_records(

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tallyframe import defaults
 from tallyframe.functions import messages as msg
 from tallyframe.functions import tokens
+from tallyframe.functions.text import complete_rows
 from tallyframe.operators.records import existing_only
 from tallyframe.operators.sampling import first_rows, require_none
+from tallyframe.session import small_table
 from tallyframe.sources.files import exists, indexed_lines, list_entries, source_path, text_rows
 
 
@@ -70,9 +72,10 @@ def listed_records(
     """Records of a split list: one relative path per line; files that do not exist or show no class are skipped."""
     entries = list_entries(spark, list_file)
     located = entries.select(F.concat(F.lit(image_root.rstrip("/") + "/"), F.col("entry")).alias("path"))
+    category = tokens.category_from_path(F.col("path"), root).alias("category")
     return existing_only(located, inventory).select(
-        "path", F.lit(split).alias("split"), tokens.category_from_path(F.col("path"), root).alias("category")
-    ).where("category is not null")
+        complete_rows(F.col("path"), F.lit(split).alias("split"), category, required=("category",))
+    )
 
 
 COCO_SCHEMA = (
@@ -109,7 +112,7 @@ def checkpoint_metrics(
     spark: SparkSession, pattern: str, steps: Sequence[int], step_pattern: str = r"checkpoint-([0-9]+)"
 ) -> DataFrame:
     """One row per expected step with ``found``, and the metrics document of the steps that have one."""
-    expected = spark.createDataFrame([(int(s), i) for i, s in enumerate(steps)], "step bigint, step_order int")
+    expected = small_table(spark, [(int(s), i) for i, s in enumerate(steps)], "step bigint, step_order int")
     try:
         read = spark.read.schema(METRICS_SCHEMA).json(pattern, multiLine=True)
     except Exception as problem:
@@ -120,7 +123,7 @@ def checkpoint_metrics(
         step = F.regexp_extract(source_path(), step_pattern, 1).cast("bigint")
         read = read.select(step.alias("step"), *read.columns)
     return (
-        expected.join(F.broadcast(read), "step", "left")
+        expected.join(read, "step", "left")
         .withColumn("found", F.col("total_samples").isNotNull())
         .orderBy("step_order")
         .drop("step_order")
