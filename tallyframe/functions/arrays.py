@@ -203,7 +203,7 @@ def percentile_normalize(
         return let(
             F.struct(percentile_of(ordered, low).alias("a"), percentile_of(ordered, high).alias("b")),
             lambda p: F.when(p["b"] > p["a"], F.struct(p["a"].alias("low"), p["b"].alias("high"))).otherwise(
-                F.struct(F.get(ordered, F.lit(0)).alias("low"), F.element_at(ordered, -1).alias("high"))
+                F.struct(F.get(ordered, F.lit(0)).alias("low"), F.try_element_at(ordered, F.lit(-1)).alias("high"))
             ),
         )
 

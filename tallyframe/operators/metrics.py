@@ -228,7 +228,7 @@ def compute_metrics(
     )
     doc = rows.groupBy(*by).agg(
         F.sum("support").alias("total_samples"),
-        (F.sum("tp") / F.sum("support")).alias("accuracy"),
+        F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
         F.avg("f1").alias("macro_f1"),
         F.array_sort(F.collect_list(fields)).alias("rows"),
     ).where("total_samples > 0")

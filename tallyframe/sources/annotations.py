@@ -35,7 +35,7 @@ def _file_heads(spark: SparkSession, files: list[str]) -> DataFrame:
     lines = text_rows(spark, files)
     return lines.groupBy("source").agg(
         F.min_by("value", F.struct("block", "seq")).alias("first_line"),
-        F.bool_or(F.col("value").contains("\ufffd")).alias("undecodable"),
+        F.bool_or(~F.is_valid_utf8("value")).alias("undecodable"),
     )
 
 
@@ -84,6 +84,7 @@ def delimited_rows(spark: SparkSession, heads: Sequence[tuple[str, str]], multi_
 def _json_values(spark: SparkSession, files: list[str]) -> DataFrame:
     """Rows of whole JSON documents: the list itself, or the first known key that holds a list."""
     document = spark.read.text(files, wholetext=True).select(source_path().alias("source"), "value")
+    document = document.where(F.is_valid_utf8("value"))
     as_map = F.from_json("value", "map<string,string>")
     held = F.coalesce(
         *[
@@ -103,7 +104,7 @@ def _json_values(spark: SparkSession, files: list[str]) -> DataFrame:
 def _json_lines(spark: SparkSession, files: list[str]) -> DataFrame:
     """Rows of JSON-lines files; one bad line drops its whole file."""
     lines = text_rows(spark, files).where(F.trim("value") != "")
-    bad = lines.where(F.try_parse_json("value").isNull()).select("source").distinct()
+    bad = lines.where(~F.is_valid_utf8("value") | F.try_parse_json("value").isNull()).select("source").distinct()
     return lines.join(bad, "source", "left_anti").select("source", "block", "seq", F.col("value").alias("item"))
 
 

@@ -120,7 +120,7 @@ def checkpoint_metrics(
             raise
         read = spark.createDataFrame([], METRICS_SCHEMA).withColumn("step", F.lit(None).cast("bigint"))
     else:
-        step = F.regexp_extract(source_path(), step_pattern, 1).cast("bigint")
+        step = F.regexp_extract(source_path(), step_pattern, 1).try_cast("bigint")
         read = read.select(step.alias("step"), *read.columns)
     return (
         expected.join(read, "step", "left")
