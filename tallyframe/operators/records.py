@@ -111,14 +111,6 @@ def combine_records(
     return fill_missing_categories(distinct_records(annotated), folders, targets), "annotations"
 
 
-def first_non_empty(*candidates: DataFrame) -> DataFrame:
-    """The first table that has rows, else the last one."""
-    for table in candidates[:-1]:
-        if not table.isEmpty():
-            return table
-    return candidates[-1]
-
-
 def split_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("split").agg(F.count("*").alias("n"))
 

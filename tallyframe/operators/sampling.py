@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
 from tallyframe.operators.ranking import GROUP_LIMIT, global_rank, smallest, smallest_per_group
-from tallyframe.session import broadcast_if_small, small_table
+from tallyframe.session import broadcast_if_small, materialize, small_table
 
 
 def class_order(column: str, classes: Sequence[str]) -> Column:
@@ -57,14 +57,34 @@ def round_robin(df: DataFrame, class_col: str, order: Sequence[str | Column], li
 
 
 def _positions(picked: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    ranked = smallest(picked, order, limit, "__rank")
+    """Number the first ``limit`` of at most classes * limit rows."""
+    if limit > GROUP_LIMIT:
+        ranked = smallest(picked, order, limit, "__rank")
+    else:
+        # Planned as a top-k: every task keeps its first rows, one merges them.
+        rank = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+        ranked = picked.withColumn("__rank", rank).where(F.col("__rank") <= limit)
     return ranked.withColumn("position", F.col("__rank") - 1).drop("__rank")
 
 
 def seeded_sample(df: DataFrame, key: str, count: int, seed: int = 42, split: tuple[str, str] | None = None) -> DataFrame:
-    """Exactly ``count`` rows without replacement, or all rows when there are fewer; optionally of one split."""
+    """Exactly ``count`` rows without replacement, or all rows when there are fewer; optionally of one split.
+
+    The sample is the ``count`` smallest hashes. Hashes are uniform, so a threshold on the hash keeps little more than
+    ``count`` rows before anything is shuffled; should it keep too few, all rows are ranked.
+    """
     rows = df if split is None else df.where(F.col(split[0]) == split[1])
-    return smallest(rows, [hash_order(key, seed), F.col(key)], count, "__rank").drop("__rank")
+    total = rows.count()
+    if total <= count:
+        return rows
+    order = [hash_order(key, seed), F.col(key)]
+    share = (count + 8 * count**0.5 + 64) / total
+    if share < 0.5:
+        threshold = f"{int(share * (1 << 52)):013x}"
+        near = materialize(rows.where(order[0] < threshold), "sample")
+        if near.count() >= count:
+            rows = near
+    return smallest(rows, order, count, "__rank").drop("__rank")
 
 
 def quota_table(spark, quotas: Mapping[str, Mapping[str, int]], class_col: str = "category") -> DataFrame:
@@ -284,6 +304,8 @@ def weighted_draws(
     classes = [tuple(row) for row in weights.orderBy(label_col).limit(GROUP_LIMIT + 1).collect()]
     if len(classes) > GROUP_LIMIT:
         raise ValueError(f"Weighted draws expect at most {GROUP_LIMIT} classes.")
+    if any(label is None for label, _, _ in classes):
+        raise ValueError("Weighted draws need a label in every row.")
     mass = sum(n * weight for _, n, weight in classes)
 
     table, reached = [], 0.0
@@ -291,29 +313,33 @@ def weighted_draws(
         reached += n * weight
         salts = max(1, int(total * (n * weight / mass) / n / rows_per_salt) + 1)
         table.append((label, n, reached / mass, salts))
-    bounds = F.array(*[F.lit(upper) for _, _, upper, _ in table[:-1]]) if len(table) > 1 else F.array().cast("array<double>")
+    bounds = F.array(*[F.lit(upper) for _, _, upper, _ in table[:-1]]).cast("array<double>")
     slot = F.size(F.filter(bounds, lambda upper: F.col("__u") >= upper))
 
     def of_class(position: int) -> Column:
         return F.get(F.array(*[F.lit(entry[position]) for entry in table]), F.col("__slot"))
 
+    def known(value: Column) -> Column:
+        # Never null: keeps Spark from computing the hashes once more to filter the join keys.
+        return F.coalesce(value.cast("bigint"), F.lit(-1).cast("bigint"))
+
     drawn = (
         df.sparkSession.range(total)
         .withColumnRenamed("id", "draw")
         .withColumn("__u", uniform(F.col("draw"), f"{seed}:class"))
         .withColumn("__slot", slot)
-        .withColumn("__rank", F.floor(uniform(F.col("draw"), f"{seed}:row") * of_class(1)).cast("bigint") + 1)
-        .withColumn("__salt", F.pmod(F.col("draw"), of_class(3).cast("bigint")))
-        .select("draw", of_class(0).alias("__label"), "__rank", "__salt")
+        .select(
+            "draw",
+            known(F.col("__slot")).alias("__slot"),
+            known(F.floor(uniform(F.col("draw"), f"{seed}:row") * of_class(1)) + 1).alias("__rank"),
+            known(F.pmod(F.col("draw"), of_class(3).cast("bigint"))).alias("__salt"),
+        )
     )
     ranked = global_rank(df, order, [label_col], "__rank")
-    salts = F.element_at(
-        F.create_map(*[F.lit(x) for label, _, _, count in table for x in (label, count)]), F.col(label_col)
-    )
-    spread = ranked.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1)))
-    same = (
-        (drawn["__label"] == spread[label_col])
-        & (drawn["__rank"] == spread["__rank"])
-        & (drawn["__salt"] == spread["__salt"])
+    places = F.create_map(*[x for i, entry in enumerate(table) for x in (F.lit(entry[0]), F.struct(F.lit(i).alias("slot"), F.lit(entry[3]).alias("salts")))])
+    placed = ranked.withColumn("__place", F.element_at(places, F.col(label_col)))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.col("__place.salts").cast("bigint") - 1)
+    spread = placed.select(
+        *df.columns, F.col("__place.slot").cast("bigint").alias("__slot"), "__rank", F.explode(salts).alias("__salt")
     )
-    return drawn.join(spread, same).select("draw", *[spread[c] for c in df.columns])
+    return drawn.join(spread, ["__slot", "__rank", "__salt"]).select("draw", *df.columns)

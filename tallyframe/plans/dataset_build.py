@@ -56,12 +56,13 @@ def choose_records(
     """Records of all wanted splits; per split the first source that has any: list file, quota folder, annotations."""
     root = root.rstrip("/")
     inventory = materialize(files.file_inventory(spark, root), "inventory")
-    flat = flat_folder_records(inventory, flat_folder, root, quotas)
-    everything = None
+    flat = everything = None
     chosen = []
     for split, list_file in split_lists.items():
-        listed = readers.listed_records(spark, list_file, split, image_root, files.images(inventory), root)
-        found = records.first_non_empty(listed, flat.where(F.col("split") == split))
+        found = readers.listed_records(spark, list_file, split, image_root, files.images(inventory), root)
+        if found.isEmpty() and split in quotas:
+            flat = flat_folder_records(inventory, flat_folder, root, quotas) if flat is None else flat
+            found = flat.where(F.col("split") == split)
         if found.isEmpty():
             everything = load_records(spark, root, inventory)[0] if everything is None else everything
             found = everything.where(F.col("split") == split)
