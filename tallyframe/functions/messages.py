@@ -61,21 +61,31 @@ def training_messages(
     )
 
 
-def parse_messages(json_text: Column, at: str = "$.messages") -> Column:
-    """Parse the messages below ``at``; null when the text is no JSON or holds no message list there."""
+_STORED_MESSAGES = "array<struct<role:string,content:variant>>"
+
+
+def parse_messages(json_text: Column, key: str | None = "messages") -> Column:
+    """Parse the message list below ``key``, or the text itself as a list when ``key`` is None.
+
+    Null when the text is no JSON or holds no message list. Contents are parsed as variants, which keep lists and texts
+    apart even when a text starts with a bracket.
+    """
     def one(item: Column) -> Column:
-        content = F.try_variant_get(item, "$.content", "variant")
-        kind = F.schema_of_variant(content)
-        return F.struct(
-            F.try_variant_get(item, "$.role", "string").alias("role"),
-            F.when(kind == "STRING", F.try_variant_get(content, "$", "string")).alias("text"),
-            F.when(
-                kind.startswith("ARRAY"),
-                F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda part: F.to_json(part)),
-            ).alias("parts"),
+        return let(
+            F.try_variant_get(item["content"], "$", "array<variant>"),
+            lambda parts: F.struct(
+                item["role"].alias("role"),
+                F.when(
+                    parts.isNull() & (F.schema_of_variant(item["content"]) == "STRING"),
+                    F.try_variant_get(item["content"], "$", "string"),
+                ).alias("text"),
+                F.transform(parts, lambda part: F.to_json(part)).alias("parts"),
+            ),
         )
 
-    return F.transform(F.try_variant_get(F.try_parse_json(json_text), at, "array<variant>"), one)
+    if key is None:
+        return F.transform(F.from_json(json_text, _STORED_MESSAGES), one)
+    return F.transform(F.from_json(json_text, f"struct<{key}:{_STORED_MESSAGES}>")[key], one)
 
 
 def messages_json(messages: Column) -> Column:
@@ -112,7 +122,8 @@ def image_path(messages: Column) -> Column:
     lists = F.filter(messages, lambda m: (m["role"] == "user") & m["parts"].isNotNull())
     items = F.flatten(F.transform(lists, lambda m: m["parts"]))
     found = F.transform(
-        items, lambda item: F.when(F.get_json_object(item, "$.type") == "image", F.get_json_object(item, "$.path"))
+        F.transform(items, lambda item: F.from_json(item, "type string, path string")),
+        lambda item: F.when(item["type"] == "image", item["path"]),
     )
     return F.get(F.filter(found, lambda path: path.isNotNull() & (path != "")), F.lit(0))
 
@@ -181,7 +192,7 @@ def candidate_messages(
 
 def feature_messages(messages: Column, stored_json: Column) -> Column:
     """The conversation itself, else the one parsed from its stored JSON text."""
-    return F.coalesce(messages, parse_messages(stored_json, "$"))
+    return F.coalesce(messages, parse_messages(stored_json, None))
 
 
 def prompt_messages(messages: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
+from tallyframe.functions.text import let
 from tallyframe.operators.ranking import GROUP_LIMIT, global_rank, smallest, smallest_per_group
 from tallyframe.session import broadcast_if_small, materialize, small_table
 
@@ -293,9 +294,10 @@ def weighted_draws(
     """Draws with replacement, as many as there are rows unless said otherwise, weighted per class.
 
     Weights are constant inside a class, so a draw picks the class by its cumulative mass and then a uniform rank in
-    the class. A rank of a small, heavy class is drawn very often: such ranks are repeated under ``salt`` numbers and
-    the draws spread over them, so that no join key gets more than about ``rows_per_salt`` draws. The repeats add at
-    most draws / rows_per_salt rows in total. The result has one row per draw with its number in ``draw``.
+    the class. A rank of a small, heavy class is drawn very often: such ranks are repeated under salt numbers and the
+    draws spread over them, so that no join key gets more than about ``rows_per_salt`` draws. The repeats add at most
+    draws / rows_per_salt rows in total. Class, rank and salt are one dense number, which sorts and hashes faster than
+    three. The result has one row per draw with its number in ``draw``.
     """
     weights = class_weights(df, label_col, boost_class, boost, exponent)
     total = draws if draws is not None else df.count()
@@ -308,38 +310,40 @@ def weighted_draws(
         raise ValueError("Weighted draws need a label in every row.")
     mass = sum(n * weight for _, n, weight in classes)
 
-    table, reached = [], 0.0
+    labels, sizes, bounds, salts, starts = [], [], [], [], [0]
+    reached = 0.0
     for label, n, weight in classes:
         reached += n * weight
-        salts = max(1, int(total * (n * weight / mass) / n / rows_per_salt) + 1)
-        table.append((label, n, reached / mass, salts))
-    bounds = F.array(*[F.lit(upper) for _, _, upper, _ in table[:-1]]).cast("array<double>")
-    slot = F.size(F.filter(bounds, lambda upper: F.col("__u") >= upper))
-
-    def of_class(position: int) -> Column:
-        return F.get(F.array(*[F.lit(entry[position]) for entry in table]), F.col("__slot"))
-
-    def known(value: Column) -> Column:
-        # Never null: keeps Spark from computing the hashes once more to filter the join keys.
-        return F.coalesce(value.cast("bigint"), F.lit(-1).cast("bigint"))
-
+        repeats = int(total * n * weight / mass / n / rows_per_salt) + 1
+        labels.append(label)
+        sizes.append(n)
+        bounds.append(reached / mass)
+        salts.append(repeats)
+        starts.append(starts[-1] + n * repeats)
+
+    def constant(values: list, kind: str = "bigint") -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+    def of(values: list) -> Column:
+        return F.get(constant(values), F.col("__slot"))
+
+    # The hash is bound, so that it is computed once and not per class.
+    slot = let(
+        uniform(F.col("draw"), f"{seed}:class"),
+        lambda u: F.size(F.filter(constant(bounds[:-1], "double"), lambda upper: u >= upper)),
+    )
+    place = F.floor(uniform(F.col("draw"), f"{seed}:row") * of(sizes)).cast("bigint")
+    number = of(starts) + place * of(salts) + F.pmod(F.col("draw"), of(salts))
     drawn = (
         df.sparkSession.range(total)
         .withColumnRenamed("id", "draw")
-        .withColumn("__u", uniform(F.col("draw"), f"{seed}:class"))
         .withColumn("__slot", slot)
-        .select(
-            "draw",
-            known(F.col("__slot")).alias("__slot"),
-            known(F.floor(uniform(F.col("draw"), f"{seed}:row") * of_class(1)) + 1).alias("__rank"),
-            known(F.pmod(F.col("draw"), of_class(3).cast("bigint"))).alias("__salt"),
-        )
+        # Never null: keeps Spark from computing the hashes once more to filter the join key.
+        .select("draw", F.coalesce(number, F.lit(-1)).alias("__number"))
     )
-    ranked = global_rank(df, order, [label_col], "__rank")
-    places = F.create_map(*[x for i, entry in enumerate(table) for x in (F.lit(entry[0]), F.struct(F.lit(i).alias("slot"), F.lit(entry[3]).alias("salts")))])
-    placed = ranked.withColumn("__place", F.element_at(places, F.col(label_col)))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.col("__place.salts").cast("bigint") - 1)
-    spread = placed.select(
-        *df.columns, F.col("__place.slot").cast("bigint").alias("__slot"), "__rank", F.explode(salts).alias("__salt")
+    ranked = global_rank(df, order, [label_col], "__rank").withColumn(
+        "__slot", F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label_col)).cast("int") - 1
     )
-    return drawn.join(spread, ["__slot", "__rank", "__salt"]).select("draw", *df.columns)
+    first = of(starts) + (F.col("__rank") - 1) * of(salts)
+    spread = ranked.select(*df.columns, F.explode(F.sequence(first, first + of(salts) - 1)).alias("__number"))
+    return drawn.join(spread, "__number").select("draw", *df.columns)

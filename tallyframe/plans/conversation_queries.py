@@ -118,14 +118,13 @@ def conversation_violations(spark, sf_dir):
 
 
 @query(f"""WITH {_CHAT_SQL} SELECT coalesce(label, '(none)') AS label, count(*) AS n,
-  count(*) FILTER (WHERE image_path IS NOT NULL AND image_path NOT IN (SELECT path FROM files WHERE doc_id % 3 <> 0)) AS missing,
+  count(*) FILTER (WHERE image_path IS NOT NULL AND image_path NOT IN (SELECT path FROM disk)) AS missing,
   count(*) FILTER (WHERE image_path NOT LIKE '/%') AS relative FROM chats GROUP BY 1""")
 def validation_counts(spark, sf_dir):
     parsed = _chats(spark, sf_dir).select(
         msg.answer_label(F.col("messages")).alias("label"), msg.image_path(F.col("messages")).alias("image_path")
     )
-    inventory = fx.document_files(spark, sf_dir).where("doc_id % 3 <> 0").select("path")
-    return conversations.label_path_counts(parsed, inventory).select(
+    return conversations.label_path_counts(parsed, fx.disk_inventory(spark, sf_dir)).select(
         F.coalesce("label", F.lit("(none)")).alias("label"), "n", "missing", "relative"
     )
 

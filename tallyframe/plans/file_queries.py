@@ -55,12 +55,11 @@ def training_rows(spark, sf_dir):
 
 
 @query(f"""WITH {cq.LABELLED_SQL} SELECT split, count(*) AS total_records, count(*) FILTER (WHERE category = 'healthy') AS healthy,
-  count(*) FILTER (WHERE doc_id % 3 = 0) AS missing_paths, 0::BIGINT AS relative_paths, count(*) FILTER (WHERE doc_id % 3 = 0) = 0 AS is_valid
+  count(*) FILTER (WHERE path NOT IN (SELECT path FROM disk)) AS missing_paths, 0::BIGINT AS relative_paths, count(*) FILTER (WHERE path NOT IN (SELECT path FROM disk)) = 0 AS is_valid
   FROM labelled GROUP BY split""")
 def build_dataset(spark, sf_dir):
     chosen = cq.labelled_files(spark, sf_dir).select("path", "split", "category")
-    inventory = fx.document_files(spark, sf_dir).where("doc_id % 3 <> 0").select("path")
-    built = dataset_build.build_dataset(chosen, inventory, scratch_path(spark, "dataset"))
+    built = dataset_build.build_dataset(chosen, fx.disk_inventory(spark, sf_dir), scratch_path(spark, "dataset"))
     parts = [summary.select(F.lit(split).alias("split"), "*") for split, summary in built.summaries.items()]
     return parts[0].unionByName(parts[1]).select(
         "split", "total_records", F.element_at("category_counts", "healthy").alias("healthy"),
@@ -80,14 +79,14 @@ def build_dataset_differences(spark, sf_dir):
 
 
 @query(f"""WITH {fx.PATH_SQL} SELECT path, 'val' AS split, category FROM path_facts
-  WHERE category IS NOT NULL AND {fx.IMAGE_SQL} AND doc_id % 2 = 0""")
+  WHERE category IS NOT NULL AND {fx.IMAGE_SQL} AND path IN (SELECT path FROM disk)""")
 def listed_records(spark, sf_dir):
-    """A list of relative paths with blank lines; odd documents are in the list but not in the inventory."""
+    """A list of relative paths with blank lines; some of the files are not on the disk."""
     found = fx.document_files(spark, sf_dir)
     entry = F.concat(F.lit("  "), F.substring(F.col("path"), len(fx.ROOT) + 2, 1000))
     path = scratch_path(spark, "list")
     found.select(F.explode(F.array(entry, F.lit("  "))).alias("value")).write.text(path)
-    inventory = files.images(found.where("doc_id % 2 = 0").select("path"))
+    inventory = files.images(fx.disk_inventory(spark, sf_dir))
     return readers.listed_records(spark, path, "val", fx.ROOT, inventory, fx.ROOT)
 
 
@@ -243,8 +242,8 @@ def spot_checks(spark, sf_dir):
     return sampling.seeded_sample(rows, "key", 50, 1).select("conv_id", "turn")
 
 
-@query(f"""WITH {cq.LABELLED_SQL} SELECT path AS image_path, 'missing' AS problem FROM labelled WHERE doc_id % 3 = 0""")
+@query(f"""WITH {cq.LABELLED_SQL} SELECT path AS image_path, 'missing' AS problem FROM labelled WHERE path NOT IN (SELECT path FROM disk)""")
 def path_problems(spark, sf_dir):
     path = written_conversations(spark, sf_dir)
-    inventory = fx.document_files(spark, sf_dir).where("doc_id % 3 <> 0").select("path")
-    return conversations.path_problems(readers.parsed_lines(spark, [f"{path}/split=train", f"{path}/split=val"]), inventory)
+    parsed = readers.parsed_lines(spark, [f"{path}/split=train", f"{path}/split=val"])
+    return conversations.path_problems(parsed, fx.disk_inventory(spark, sf_dir))

@@ -36,6 +36,12 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", path.alias("path"))
 
 
+def disk_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All those files as they lie on the disk, where every third one was moved away."""
+    moved = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/moved"), F.col("path"))).otherwise(F.col("path"))
+    return document_files(spark, sf_dir).select(moved.alias("path"))
+
+
 def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -46,7 +52,8 @@ files AS (
     CASE lang WHEN 'en' THEN 'normal' WHEN 'de' THEN 'Sick-But-Non_TB' WHEN 'fr' THEN 'x_latent_tb_y' ELSE 'abnormal' END
     || '/' || list_extract({_sql_list(_STEMS)}, (doc_id % 4 + 1)::INT) || doc_id || '.' ||
     list_extract({_sql_list(_EXTENSIONS)}, (doc_id % 3 + 1)::INT) AS path
-  FROM documents)"""
+  FROM documents),
+disk AS (SELECT CASE WHEN doc_id % 3 = 0 THEN '/moved' || path ELSE path END AS path FROM files)"""
 
 IMAGE_SQL = "regexp_matches(lower(path), '[^/][.](jpg|jpeg|png|bmp|tif|tiff|webp)$')"
 

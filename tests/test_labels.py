@@ -19,7 +19,7 @@ def test_canonical_category(spark):
     expected = {
         "healthy": "healthy", "active_tb": "active_tb", "latent_tb": "latent_tb", "sick-but-non-tb": "sick_but_non_tb",
         "no_tb_case": "healthy", "latent_tb_case": "latent_tb", "sick_non_tb_case": "sick_but_non_tb",
-        "abnormal": None, "unhealthy": None, "tbx": None, "": None, None: None, "tb or sick": "active_tb",
+        "abnormal": None, "unhealthy": None, "tb11": None, "": None, None: None, "tb or sick": "active_tb",
     }
     found = column(spark, list(expected), tokens.canonical_category(F.col("v")))
     assert dict(zip(expected, found)) == expected
