@@ -100,6 +100,49 @@ def build_dataset(
     return DatasetBuild(summaries, differences)
 
 
+def listed_samples(
+    entries: DataFrame,
+    inventory: DataFrame,
+    image_root: str,
+    prefixes: Mapping[str, str],
+    coco: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    annotated: tuple[str, str] | None = None,
+) -> DataFrame:
+    """``path, category``: per class the first list entry below a folder, or the first annotated image that is listed.
+
+    ``entries`` is ``files.list_entries``; ``prefixes`` maps a class to its folder; ``annotated`` is (class, name of the
+    category in the ``coco`` tables). Files that do not exist are passed over.
+    """
+    root = image_root.rstrip("/") + "/"
+    path = F.concat(F.lit(root), F.col("entry")).alias("path")
+    present = records.existing_only(entries.select("entry", "position", path), inventory)
+    folder = F.create_map(*[F.lit(x) for category, prefix in prefixes.items() for x in (f"{prefix}/", category)])
+    category = F.try_element_at(folder, F.concat(F.substring_index("entry", "/", 1), F.lit("/")))
+    firsts = (
+        present.withColumn("category", category)
+        .where("category is not null")
+        .groupBy("category")
+        .agg(F.min_by("path", "position").alias("path"))
+        .select("path", "category")
+    )
+    if coco is None or annotated is None:
+        return firsts
+    wanted, name = annotated
+    marked = records.annotated_listed_images(*coco, entries, name)
+    located = marked.select("position", F.concat(F.lit(root), F.col("file_name")).alias("path"))
+    first = sampling.first_row(records.existing_only(located, inventory), "path", "position")
+    return firsts.unionByName(first.select("path", F.lit(wanted).alias("category")))
+
+
+def dataset_size(spark: SparkSession, list_files: Mapping[str, str], root: str) -> tuple[int, int]:
+    """Rows for training and validation: from the list files when both exist, else from the records of the folder."""
+    listed = {split: files.count_list_entries(spark, path) for split, path in list_files.items()}
+    if listed.get("train") is not None and listed.get("val") is not None:
+        return listed["train"], listed["val"]
+    row = records.dataset_counts(load_records(spark, root)[0]).first()
+    return row["train"], row["val"]
+
+
 def sample_records(
     listed: DataFrame | None, fallback: DataFrame, classes: Sequence[str] = defaults.SAMPLE_ORDER
 ) -> DataFrame:

@@ -132,6 +132,47 @@ def annotation_formats(spark, sf_dir):
     return _annotated(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+_DOCUMENT_ROWS = 500
+
+
+def _write_documents(rows: DataFrame, path: str) -> None:
+    """One JSON document per row and file."""
+    rows.write.option("maxRecordsPerFile", 1).json(path)
+
+
+@query(f"WITH {fx.PATH_SQL}, {fx.ANNOTATION_SQL} SELECT path, split, category FROM annotated WHERE {fx.IMAGE_SQL}")
+def annotation_documents(spark, sf_dir):
+    """JSON documents of at most 500 annotations each."""
+    notes = fx.raw_annotations(spark, sf_dir)
+    item = F.struct(F.col("path").alias("file_name"), F.col("label_text").alias("finding"), F.col("split_text").alias("phase"))
+    packed = notes.groupBy(F.floor(F.col("doc_id") / _DOCUMENT_ROWS)).agg(F.collect_list(item).alias("records"))
+    root = scratch_path(spark, "documents")
+    _write_documents(packed.select(F.lit("v1").alias("data"), "records"), root)
+    pictures = files.images(fx.document_files(spark, sf_dir).select("path"))
+    inventory = files.file_inventory(spark, root).select("path").unionByName(pictures)
+    return annotations.annotation_records(spark, fx.ROOT, inventory).select("path", "split", "category")
+
+
+@query(f"""WITH {fx.FILES_SQL} SELECT path AS file_name FROM files JOIN documents USING (doc_id)
+  WHERE lang = 'fr' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def coco_documents(spark, sf_dir):
+    """COCO documents of at most 500 images: images of one category that also stand in a list."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    names = ("en", "fr", "de", "es")
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang"))
+    rows = fx.document_files(spark, sf_dir).join(docs, "doc_id")
+    packed = rows.groupBy(F.floor(F.col("doc_id") / _DOCUMENT_ROWS)).agg(
+        F.collect_list(F.struct(F.col("doc_id").alias("image_id"), number.alias("category_id"))).alias("annotations"),
+        F.collect_list(F.struct(F.col("doc_id").alias("id"), F.col("path").alias("file_name"))).alias("images"),
+    )
+    categories = F.array(*[F.struct(F.lit(i + 1).alias("id"), F.lit(n).alias("name")) for i, n in enumerate(names)])
+    root = scratch_path(spark, "coco")
+    _write_documents(packed.select(categories.alias("categories"), "annotations", "images"), root)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    entries = fx.document_files(spark, sf_dir).join(good, "doc_id").select(F.col("path").alias("entry"))
+    return records.annotated_listed_images(*readers.coco_tables(spark, root), entries, "fr").select("file_name")
+
+
 def _written_orders(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_path(spark, "orders")
     line = F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderpriority").alias("value")

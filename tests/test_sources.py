@@ -134,6 +134,28 @@ def test_coco_chain(spark, tmp_path):
     assert [t.count() for t in empty] == [0, 0, 0]
 
 
+def test_listed_samples(spark, tmp_path):
+    root = tmp_path / "d"
+    for name in ("imgs/health/b.png", "imgs/sick/c.png", "imgs/tb/b.png"):
+        put(root, name)
+    listing = put(root, "lists/train.txt", "health/gone.png\nsick/c.png\nhealth/b.png\ntb/b.png\nhealthy2/z.png\n")
+    document = {"categories": [{"id": 1, "name": "Active"}], "annotations": [{"image_id": 7, "category_id": 1}],
+                "images": [{"id": 7, "file_name": "tb/b.png"}]}
+    coco = readers.coco_tables(spark, put(root, "coco.json", json.dumps(document)))
+    inventory = files.image_inventory(spark, str(root))
+    prefixes = {"healthy": "health", "sick_but_non_tb": "sick"}
+    entries = files.list_entries(spark, listing)
+    found = dataset_build.listed_samples(entries, inventory, f"{root}/imgs", prefixes, coco, ("active_tb", "Active"))
+    assert {r["category"]: r["path"][len(str(root)) + 6:] for r in found.collect()} == {
+        "healthy": "health/b.png", "sick_but_non_tb": "sick/c.png", "active_tb": "tb/b.png"}
+    fallback = found.withColumn("path", F.lit("/other")).withColumn("split", F.lit("train"))
+    assert "/other" not in {r["path"] for r in dataset_build.sample_records(found, fallback).collect()}
+    partial = dataset_build.listed_samples(entries, inventory, f"{root}/imgs", prefixes)
+    assert {r["path"] for r in dataset_build.sample_records(partial, fallback).collect()} == {"/other"}
+    assert dataset_build.dataset_size(spark, {"train": listing, "val": listing}, str(root)) == (5, 5)
+    assert dataset_build.dataset_size(spark, {"train": listing, "val": listing + ".no"}, str(root))[1] == 0
+
+
 def test_image_audit(spark, tmp_path):
     root = tmp_path / "im"
     put(root, "good.png", png(512, 512))
