@@ -136,8 +136,8 @@ _DOCUMENT_ROWS = 500
 
 
 def _write_documents(rows: DataFrame, path: str) -> None:
-    """One JSON document per row and file."""
-    rows.write.option("maxRecordsPerFile", 1).json(path)
+    """One JSON document per row and file; nulls are written, since the first item of a document names its fields."""
+    rows.write.options(maxRecordsPerFile=1, ignoreNullFields="false").json(path)
 
 
 @query(f"WITH {fx.PATH_SQL}, {fx.ANNOTATION_SQL} SELECT path, split, category FROM annotated WHERE {fx.IMAGE_SQL}")
