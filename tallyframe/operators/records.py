@@ -22,7 +22,8 @@ def resolve_paths(
 
     In order: the path itself (below ``root`` when relative), its base name directly in ``root``, any file with that
     base name. Several files with one base name give the smallest path. Two equi-joins with the inventory; the second
-    one with one row per base name, so that neither repeats rows.
+    one with one row per base name, so that neither repeats rows. A path that very many rows share makes one large join
+    partition, which adaptive execution splits: the inventory side has a single row for it.
     """
     root = root.rstrip("/")
     raw = F.col(raw_col)

@@ -102,10 +102,15 @@ def _json_values(spark: SparkSession, files: list[str]) -> DataFrame:
 
 
 def _json_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Rows of JSON-lines files; one bad line drops its whole file."""
+    """Rows of JSON-lines files; one bad line drops its whole file, whose lines are not read again."""
     lines = text_rows(spark, files).where(F.trim("value") != "")
-    bad = lines.where(~F.is_valid_utf8("value") | F.try_parse_json("value").isNull()).select("source").distinct()
-    return lines.join(bad, "source", "left_anti").select("source", "block", "seq", F.col("value").alias("item"))
+    unreadable = ~F.is_valid_utf8("value") | F.try_parse_json("value").isNull()
+    bad = {row["source"] for row in lines.where(unreadable).select("source").distinct().collect()}
+    good = [path for path in files if path not in bad]
+    if not good:
+        return lines.limit(0).withColumnRenamed("value", "item")
+    kept = text_rows(spark, good).where(F.trim("value") != "")
+    return kept.withColumnRenamed("value", "item")
 
 
 def json_rows(spark: SparkSession, files: Sequence[str]):

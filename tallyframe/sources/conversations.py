@@ -46,7 +46,8 @@ def training_rows(
     ``strict`` raises when a line has no answer; otherwise such rows have a null label.
     """
     require_path(spark, path)
-    rows = first_rows(parsed_lines(spark, path), limit, ["source", "block", "seq"])
+    lines = text_rows(spark, path).where(F.trim("value") != "")
+    rows = _with_fields(first_rows(lines, limit, ["source", "block", "seq"]))
     if strict:
         require_none(rows.where("label is null").select("source", "block", "seq"), "Lines without an answer")
     return rows.select(msg.messages_json(F.col("messages")).alias("messages_json"), "label")
