@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm.quality import _bind
 from tallyframe.session import materialize
 
 WEIGHTS = (1, 2, 3)
@@ -21,9 +22,12 @@ MAX_COPIES = 3
 BLOCK_ROWS = 128
 # Size classes per doubling of the size.
 CLASSES = 4
+# The last carriers of a source, at most 64 * CLASSES, are rounded under so many seeds; the one whose words come nearest
+# to the target stays.
+TRIALS = 64
 
 _UNIT = "struct<size bigint, key bigint, uid bigint, p double>"
-_DONE = "array<struct<uid: bigint, extra: int>>"
+_DONE = "array<struct<__llm_unit: bigint, extra: int, words: bigint>>"
 
 
 def source_targets(
@@ -55,12 +59,20 @@ def source_targets(
     )
 
 
-def _chance(seed: int, *keys: Column) -> Column:
+def _chance(seed: Column, *keys: Column) -> Column:
     """A number in [0, 1) from the hash of ``keys``."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) * F.lit(2.0**-53)
+    return F.shiftrightunsigned(F.xxhash64(seed, *keys), 11) * F.lit(2.0**-53)
 
 
-def _round_block(units: Column, seed: int) -> Column:
+def _settled(unit: Column, extra: Column) -> Column:
+    return F.array(
+        F.struct(
+            unit["uid"].alias("__llm_unit"), extra.cast("int").alias("extra"), (extra * unit["size"]).alias("words")
+        )
+    ).cast(_DONE)
+
+
+def _round_block(units: Column, seed: Column) -> Column:
     """Pair the units of an array in order: a struct of the last carrier and of the units that came out as 0 or 1."""
 
     def step(state: Column, unit: Column) -> Column:
@@ -73,7 +85,7 @@ def _round_block(units: Column, seed: int) -> Column:
         kept = F.when(unit_goes_on, F.struct(unit["size"], unit["key"], unit["uid"])).otherwise(
             F.struct(carrier["size"], carrier["key"], carrier["uid"])
         )
-        gone = F.when(unit_goes_on, carrier["uid"]).otherwise(unit["uid"])
+        gone = F.when(unit_goes_on, carrier).otherwise(unit)
         return F.struct(
             F.struct(
                 kept["size"].alias("size"),
@@ -81,10 +93,7 @@ def _round_block(units: Column, seed: int) -> Column:
                 kept["uid"].alias("uid"),
                 F.when(below, total).otherwise(total - 1).alias("p"),
             ).cast(_UNIT).alias("carrier"),
-            F.concat(
-                state["done"],
-                F.array(F.struct(gone.alias("uid"), F.when(below, 0).otherwise(1).cast("int").alias("extra"))),
-            ).cast(_DONE).alias("done"),
+            F.concat(state["done"], _settled(gone, F.when(below, 0).otherwise(1))).cast(_DONE).alias("done"),
         )
 
     start = F.struct(units[0].cast(_UNIT).alias("carrier"), F.array().cast(_DONE).alias("done"))
@@ -122,7 +131,7 @@ def mix(
         "target",
         F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)).alias("__llm_x"),
     )
-    known = stored.drop("source_size", "target", "copies", "taken", "__llm_x")
+    known = stored.drop("source_size", "target", "copies", "taken")
     aimed = known.join(targets, known[source_col].eqNullSafe(targets["__llm_source"]))
     extra = F.col("__llm_x") - F.floor("__llm_x")
     units = aimed.where(extra > 0).select(
@@ -135,9 +144,12 @@ def mix(
             extra.alias("p"),
         ).alias("unit"),
     )
-    decided = _round_all(units, seed)
-    copies = (F.floor("__llm_x") + F.coalesce("extra", F.lit(0))).cast("int")
-    whole = aimed.join(decided, aimed["__llm_uid"] == decided["uid"], "left").withColumn("copies", copies)
+    goals = targets.select(
+        F.col("__llm_source").alias("__s"), (F.col("target") - F.floor("__llm_x") * F.col("source_size")).alias("goal")
+    )
+    decided = _round_all(units, goals, seed)
+    copies = (F.floor("__llm_x") + F.coalesce("__llm_extra", F.lit(0))).cast("int")
+    whole = aimed.join(decided, aimed["__llm_uid"] == decided["__llm_unit"], "left").withColumn("copies", copies)
     return whole.withColumn("taken", F.col("copies").cast("bigint") * F.col(size_col)).select(
         *[c for c in docs.columns if c.lower() not in ("source_size", "target", "copies", "taken")],
         "source_size",
@@ -147,37 +159,56 @@ def mix(
     )
 
 
-def _round_all(units: DataFrame, seed: int) -> DataFrame:
-    """``uid`` and ``extra`` (0 or 1) of every unit, from the tree over ``source`` and ``class``."""
+def _round_all(units: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
+    """``__llm_unit`` and ``__llm_extra`` (0 or 1) of every unit, from the tree over source, class and block.
+
+    ``goals`` has the words (``goal``) that each source (``__s``) should take from its units.
+    """
     counts = units.groupBy("source", "class").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
     counts = materialize(counts, "mix-blocks")
     most = counts.agg(F.max("blocks")).first()[0] or 1
     sizes = counts.withColumnsRenamed({"source": "__s", "class": "__c"})
-    level = units.join(
-        sizes, units["source"].eqNullSafe(sizes["__s"]) & (units["class"] == sizes["__c"])
-    ).select("source", "class", F.pmod(F.xxhash64(F.lit(seed + 1), "unit.key"), "blocks").alias("block"), "unit")
-    done, number = [], 0
-    while True:
-        number += 1
-        # The last two levels: all carriers of a class, then those of a source (at most 64 * CLASSES).
-        over = ["source", "class", "block"] if "class" in level.columns else ["source"]
+    level = units.join(sizes, units["source"].eqNullSafe(sizes["__s"]) & (units["class"] == sizes["__c"])).select(
+        "source", "class", F.pmod(F.xxhash64(F.lit(seed + 1), "unit.key"), "blocks").alias("block"), "unit"
+    )
+    over = ["source", "class", "block"]
+    done: DataFrame | None = None
+    for number in range(2, 100):
         gathered = level.groupBy(*over).agg(F.sort_array(F.collect_list("unit")).alias("units"))
-        rounded = materialize(gathered.select(*over, _round_block(F.col("units"), seed + 2 + number).alias("r")), "mix-level")
-        done.append(rounded.select(F.inline("r.done")))
-        if over == ["source"]:
+        rounded = materialize(gathered.select(*over, _round_block(F.col("units"), F.lit(seed + number)).alias("r")), "mix-level")
+        settled = rounded.select("source", F.inline("r.done"))
+        done = settled if done is None else done.unionByName(settled)
+        if most == 1:
             break
-        if most > 1:
-            level = rounded.select("source", "class", F.floor(F.col("block") / BLOCK_ROWS).alias("block"), F.col("r.carrier").alias("unit"))
-            most = -(-most // BLOCK_ROWS)
-        else:
-            level = rounded.select("source", F.col("r.carrier").alias("unit"))
-    last = rounded.select(
-        F.col("r.carrier.uid").alias("uid"),
-        (_chance(seed, F.col("r.carrier.key")) < F.col("r.carrier.p")).cast("int").alias("extra"),
-    )
-    for part in done:
-        last = last.unionByName(part)
-    return last
+        level = rounded.select("source", "class", F.floor(F.col("block") / BLOCK_ROWS).alias("block"), F.col("r.carrier").alias("unit"))
+        most = -(-most // BLOCK_ROWS)
+
+    # One carrier per class is left. Those of a source meet in one row.
+    below = done.groupBy("source").agg(F.sum("words").alias("below")).withColumnRenamed("source", "__b")
+    last = rounded.groupBy("source").agg(F.sort_array(F.collect_list("r.carrier")).alias("units"))
+    last = last.join(goals, last["source"].eqNullSafe(goals["__s"]))
+    last = last.join(below, last["source"].eqNullSafe(below["__b"]), "left")
+    open_words = F.col("goal") - F.coalesce("below", F.lit(0))
+
+    def trial(number: Column) -> Column:
+        def end(result: Column) -> Column:
+            carrier = result["carrier"]
+            filled = (_chance(number - 1, carrier["key"]) < carrier["p"]).cast("int")
+            settled = F.concat(result["done"], _settled(carrier, filled))
+            return _bind(
+                settled,
+                lambda units: F.struct(
+                    F.abs(open_words - F.aggregate(units, F.lit(0).cast("bigint"), lambda n, u: n + u["words"])).alias("miss"),
+                    number.alias("number"),
+                    units.alias("done"),
+                ),
+            )
+
+        return _bind(_round_block(F.col("units"), number), end)
+
+    trials = F.transform(F.sequence(F.lit(1), F.lit(TRIALS)), lambda n: trial(n.cast("int") * 1000 + seed))
+    ended = last.select("source", F.inline(F.array_min(trials)["done"]))
+    return done.unionByName(ended).select("__llm_unit", F.col("extra").alias("__llm_extra"))
 
 
 def repeat_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
