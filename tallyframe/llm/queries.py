@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import byte_bpe, lines, mixing, quality, token_counts
+from tallyframe.llm import byte_bpe, lines, mixing, quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +106,24 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(quality.WORD)).cast("bigint")
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", size.alias("size")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(spark, sf_dir).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
+    )
+    placed = sharding.shard_by_size(rows, "text_hash", "doc_id", "size")
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
