@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import byte_bpe, lines, mixing, quality, sharding, token_counts
+from tallyframe.llm import byte_bpe, lines, mixing, quality, sharding, token_counts, token_files
+from tallyframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +128,11 @@ def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(token_files.tokenize(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), path)
+    read = token_files.read_tokens(spark, path)
+    return read.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
