@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import byte_bpe, lines, mixing, quality, sharding, token_counts, token_files
+from tallyframe.llm import byte_bpe, lines, mixing, quality, sharding, simhash, token_counts, token_files
 from tallyframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write_tokens(token_files.tokenize(documents(spark, sf_dir).select("doc_id", "text")).drop("text"), path)
     read = token_files.read_tokens(spark, path)
     return read.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).alias("text")
+    return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", text)).drop("text")
