@@ -29,8 +29,8 @@ def count_tokens(
 
     @F.arrow_udf("bigint")
     def tokens(texts: pa.Array) -> pa.Array:
-        rows = length_table(data.value).values(texts.to_pylist())
-        return pa.array([sum(row) for row in rows], pa.int64())
+        table = length_table(data.value)
+        return pa.array([sum(table.values(text.as_py())) for text in texts], pa.int64())
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.withColumns(

@@ -51,8 +51,8 @@ def tokenize(docs: DataFrame, text_col: str = "text", vocabulary: str = vocab.WO
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
         end = _pack_ids([end_id])
-        rows = _id_table(data.value).values(texts.to_pylist())
-        return pa.array([b"".join(row) + end for row in rows], pa.binary())
+        table = _id_table(data.value)
+        return pa.array([b"".join(table.values(text.as_py())) + end for text in texts], pa.binary())
 
     return docs.withColumn("ids", ids(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
@@ -62,13 +62,8 @@ def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for row in batch.column(0).to_pylist():
-            ids = np.frombuffer(row, np.uint16)
-            # Short rows touch few counters.
-            if len(ids) < 4096:
-                np.add.at(total, ids, 1)
-            else:
-                total += np.bincount(ids, minlength=1 << 16)
+        ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16)
+        total += np.bincount(ids, minlength=1 << 16)
     used = np.flatnonzero(total)
     yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 

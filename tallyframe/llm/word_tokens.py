@@ -19,7 +19,7 @@ import re
 from tallyframe.llm import vocab
 
 # Pieces kept per Python worker; a full table starts anew. Longer pieces are encoded each time.
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 800_000
 TABLE_PIECE_BYTES = 64
 # Longer pre-tokens are left to the tokenizer, which merges them in one pass over a queue.
 MERGE_BYTES = 256
@@ -75,6 +75,24 @@ def proven_tokens(data: bytes) -> dict[bytes, tuple[int, int]]:
     return proven
 
 
+class _Known(dict):
+    """Values of the pieces that a ``PieceTable`` has met, and of the strings that are one token."""
+
+    def __init__(self, table: "PieceTable"):
+        self.table = table
+        self.seed = {text.encode(): table.value([number]) for text, number in table.whole.items()}
+        super().__init__(self.seed)
+
+    def __missing__(self, piece: bytes):
+        value = self.table.value(self.table.encode(piece))
+        if len(piece) <= TABLE_PIECE_BYTES:
+            if len(self) >= TABLE_ENTRIES:
+                self.clear()
+                self.update(self.seed)
+            self[piece] = value
+        return value
+
+
 class PieceTable:
     """Ids of pieces (UTF-8 bytes between ASCII white space), as a value of any kind made by ``value(ids)``."""
 
@@ -90,50 +108,39 @@ class PieceTable:
         ranks.setdefault(END_BYTE, 255)
         self.ids = {rank: number for rank, number in proven.values()}
         self.merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
-        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, object] = self._seed()
-
-    def _seed(self) -> dict[bytes, object]:
-        return {text.encode(): self.value([number]) for text, number in self.whole.items()}
-
-    def values(self, texts: list[bytes]) -> list[list]:
-        """The values of each text's pieces in order."""
-        pieces = [text.split() for text in texts]
-        missing = set().union(*pieces).difference(self.known) if pieces else set()
-        found = self.known
-        if missing:
-            new = {piece: self.value(ids) for piece, ids in self._encode(missing)}
-            kept = {piece: value for piece, value in new.items() if len(piece) <= TABLE_PIECE_BYTES}
-            if len(self.known) + len(kept) > TABLE_ENTRIES:
-                # This batch still needs what it has looked up so far.
-                self.known.update(new)
-                found, self.known = self.known, self._seed()
+        special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.known = _Known(self)
+
+    def values(self, text: bytes) -> list:
+        """The values of a text's pieces in order."""
+        return list(map(self.known.__getitem__, self.split(text)))
+
+    def split(self, text: bytes) -> list[bytes]:
+        """Pieces with the same tokens as the text's; A-Z in lower case where that changes none.
+
+        Before a combining mark (U+0300 to U+036F) case decides what is composed, and special tokens are spelt in one case.
+        """
+        if b"<" in text or b"\xcc" in text or b"\xcd" in text:
+            return text.split()
+        return text.lower().split()
+
+    def encode(self, piece: bytes) -> list[int]:
+        """The ids of a piece: merges of its pre-tokens, or what the tokenizer says where the piece is not plain."""
+        ids_of, merge = self.ids, self.merge._core_bpe.encode_single_piece
+        if piece.isalpha() and len(piece) <= MERGE_BYTES:
+            return [ids_of[rank] for rank in merge(piece.lower() + END_BYTE)]
+        text = piece.decode("utf-8", "replace")
+        if len(piece) > MERGE_BYTES or not PLAIN.fullmatch(text) or self.special.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids: list[int] = []
+        for part in PRE_TOKEN.findall(text.lower()):
+            number = self.whole.get(part)
+            if number is None:
+                ids += [ids_of[rank] for rank in merge(part.encode() + END_BYTE)]
             else:
-                self.known.update(kept)
-                found = self.known if len(kept) == len(new) else {**self.known, **new}
-        get = found.__getitem__
-        return [list(map(get, row)) for row in pieces]
-
-    def _encode(self, missing):
-        others = []
-        whole, merge, ids_of = self.whole, self.merge._core_bpe.encode_single_piece, self.ids
-        special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        for piece in missing:
-            text = piece.decode("utf-8", "replace")
-            if len(piece) > MERGE_BYTES or not PLAIN.fullmatch(text) or special.search(text):
-                others.append((piece, text))
-                continue
-            ids: list[int] = []
-            for part in PRE_TOKEN.findall(text.lower()):
-                number = whole.get(part)
-                if number is None:
-                    ids += [ids_of[rank] for rank in merge(part.encode() + END_BYTE)]
-                else:
-                    ids.append(number)
-            yield piece, ids
-        encoded = self.tokenizer.encode_batch_fast([text for _, text in others], add_special_tokens=False)
-        for (piece, _), found in zip(others, encoded):
-            yield piece, found.ids
+                ids.append(number)
+        return ids
 
 
 def _is_word(token: bytes) -> bool:
