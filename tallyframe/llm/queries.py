@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import byte_bpe, lines, mixing, quality, sharding, simhash, token_counts, token_files
+from tallyframe.llm import byte_bpe, lines, mixing, pii, quality, sharding, simhash, token_counts, token_files
 from tallyframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).alias("text")
     return simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", text)).drop("text")
+
+
+# Stands for a secret of the user's own.
+DEMONSTRATION_KEY = b"a key for demonstrations only"
+
+
+@query
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), DEMONSTRATION_KEY)
