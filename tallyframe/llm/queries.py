@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import byte_bpe, lines, mixing, pii, quality, sharding, simhash, token_counts, token_files
+from tallyframe.llm import audio, byte_bpe, lines, mixing, pii, quality, sharding, simhash, token_counts, token_files
 from tallyframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,44 @@ DEMONSTRATION_KEY = b"a key for demonstrations only"
 @query
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), DEMONSTRATION_KEY)
+
+
+# A vector sounds as one note per number: SAMPLES_PER_NOTE samples, pitched by SEMITONES per unit around FIRST_HZ.
+SAMPLES_PER_NOTE = 512
+SEMITONES = 40.0
+FIRST_HZ = 220.0
+
+
+def sounded(vector: Column) -> Column:
+    """Audio of a vector of numbers (signed 16-bit samples, ``audio.RATE`` per second); null for null."""
+
+    @F.arrow_udf("binary")
+    def render(column: pa.Array) -> pa.Array:
+        import numpy as np
+
+        out = []
+        for row in column.to_pylist():
+            if row is None:
+                out.append(None)
+                continue
+            steps = np.clip(np.round(np.nan_to_num(np.array(row, float)) * SEMITONES), -24, 24)
+            hertz = np.repeat(FIRST_HZ * 2 ** (steps / 12), SAMPLES_PER_NOTE)
+            wave = np.sin(2 * np.pi * np.cumsum(hertz) / audio.RATE)
+            out.append((wave * 16000).astype("<i2").tobytes())
+        return pa.array(out, pa.binary())
+
+    return render(vector)
+
+
+@query
+def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector sounds; its second half is that of the query vector below it, so that recordings quote each other."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    asked = F.col("vec_id") % 50 == 0
+    quoted = vectors.where(asked).select(F.col("vec_id").alias("quoted_id"), F.col("embedding").alias("quoted"))
+    medley = vectors.join(quoted, F.col("vec_id") - F.col("vec_id") % 50 == F.col("quoted_id"), "left").select(
+        "vec_id",
+        F.concat(F.slice("embedding", 1, 32), F.slice(F.coalesce("quoted", "embedding"), 33, 32)).alias("notes"),
+    )
+    recordings = medley.select("vec_id", audio.fingerprint(sounded(F.col("notes"))).alias("ints"))
+    return audio.align_recordings(recordings, asked, "vec_id")
