@@ -171,4 +171,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     found = blocks.select("part", "first", "docs", "sizes", "bits", "checkpoints").mapInArrow(documents, _DOCUMENTS)
-    return found.join(offsets, "part").select("doc", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids")
+    # As many rows as the write had tasks, whatever the table holds.
+    return found.join(F.broadcast(offsets), "part").select("doc", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids")
