@@ -34,7 +34,7 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 _PATTERN = re.compile(
     r"""
     (?P<email>(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)+)
-  | (?P<secret>(?<=["'=:\ ])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?!\w))
+  | (?P<secret>(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?!\w))
   | (?P<iban>(?<!\w)[A-Z]{2}\d\d(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
   | (?P<ymd>(?<![\w-])\d{4}-\d\d-\d\d(?![\w-]))
   | (?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w))

@@ -292,7 +292,7 @@ def test_mix_of_awkward_and_empty_tables(awkward, nothing):
 
 def test_shards(spark):
     rng = random.Random(4)
-    rows = [(n, rng.getrandbits(63), int(rng.paretovariate(1.1) * 50)) for n in range(8000)]
+    rows = [(n, rng.getrandbits(63), int(rng.paretovariate(2) * 50)) for n in range(8000)]
     # One hash holds a third of the rows, one id a tenth, and many rows are as small as can be.
     rows += [(10_000 + n, 77, 60) for n in range(4000)] + [(5, 99, 10)] * 1200 + [(None, -5, 1)] * 500
     docs = spark.createDataFrame(rows, "doc_id bigint, h bigint, size bigint").withColumn("slot", F.lit("x"))
