@@ -8,7 +8,7 @@ overlap confirm it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,20 +93,22 @@ def packed(frames: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-def fingerprint(audio: Column, rate: int = RATE) -> Column:
-    """Packed integers of audio (binary: signed 16-bit little-endian samples, one channel, ``rate`` per second).
+def pcm16(raw: bytes | None) -> np.ndarray:
+    """Samples of signed 16-bit little-endian audio with one channel; a last odd byte is left out."""
+    raw = raw or b""
+    return np.frombuffer(raw[: len(raw) // 2 * 2], "<i2") / 32768.0
 
-    A null or too short recording has none; a last odd byte is left out.
+
+def fingerprint(audio: Column, rate: int = RATE, decode: Callable[[object], np.ndarray] = pcm16) -> Column:
+    """Packed integers of a media column; ``decode`` turns one of its values into samples, ``rate`` per second.
+
+    One recording at a time is decoded, so only values, not samples, of a batch are held. A null or too short recording
+    has no integers.
     """
 
     @F.arrow_udf("array<int>")
     def ints(column: pa.Array) -> pa.Array:
-        out = []
-        for raw in column.to_pylist():
-            raw = raw or b""
-            samples = np.frombuffer(raw[: len(raw) // 2 * 2], "<i2") / 32768.0
-            out.append(packed(chroma(samples, rate)).tolist())
-        return pa.array(out, pa.list_(pa.int32()))
+        return pa.array([packed(chroma(decode(value.as_py()), rate)) for value in column], pa.list_(pa.int32()))
 
     return ints(audio)
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import audio, byte_bpe, lines, mixing, pii, quality, sharding, simhash, token_counts, token_files
@@ -160,25 +159,13 @@ SEMITONES = 40.0
 FIRST_HZ = 220.0
 
 
-def sounded(vector: Column) -> Column:
-    """Audio of a vector of numbers (signed 16-bit samples, ``audio.RATE`` per second); null for null."""
+def sounded(vector: list[float] | None) -> "np.ndarray":  # noqa: F821
+    """Samples of a vector of numbers, ``audio.RATE`` per second; none for null."""
+    import numpy as np
 
-    @F.arrow_udf("binary")
-    def render(column: pa.Array) -> pa.Array:
-        import numpy as np
-
-        out = []
-        for row in column.to_pylist():
-            if row is None:
-                out.append(None)
-                continue
-            steps = np.clip(np.round(np.nan_to_num(np.array(row, float)) * SEMITONES), -24, 24)
-            hertz = np.repeat(FIRST_HZ * 2 ** (steps / 12), SAMPLES_PER_NOTE)
-            wave = np.sin(2 * np.pi * np.cumsum(hertz) / audio.RATE)
-            out.append((wave * 16000).astype("<i2").tobytes())
-        return pa.array(out, pa.binary())
-
-    return render(vector)
+    steps = np.clip(np.round(np.nan_to_num(np.array(vector or [], float)) * SEMITONES), -24, 24)
+    hertz = np.repeat(FIRST_HZ * 2 ** (steps / 12), SAMPLES_PER_NOTE)
+    return 0.5 * np.sin(2 * np.pi * np.cumsum(hertz) / audio.RATE)
 
 
 @query
@@ -191,5 +178,5 @@ def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id",
         F.concat(F.slice("embedding", 1, 32), F.slice(F.coalesce("quoted", "embedding"), 33, 32)).alias("notes"),
     )
-    recordings = medley.select("vec_id", audio.fingerprint(sounded(F.col("notes"))).alias("ints"))
+    recordings = medley.select("vec_id", audio.fingerprint(F.col("notes"), decode=sounded).alias("ints"))
     return audio.align_recordings(recordings, asked, "vec_id")

@@ -428,7 +428,7 @@ def test_audio_query_matches_brute_force(spark):
     by_id = {r.vec_id: r.embedding for r in vectors.collect()}
     medley = [(v, by_id[v][:32] + by_id.get(v - v % 50, by_id[v])[32:]) for v in by_id]
     sounded = spark.createDataFrame(medley, "vec_id bigint, notes array<double>")
-    ints = {r[0]: np.array(r[1], np.int32) for r in sounded.select("vec_id", audio.fingerprint(queries.sounded(F.col("notes")))).collect()}
+    ints = {r[0]: np.array(r[1], np.int32) for r in sounded.select("vec_id", audio.fingerprint(F.col("notes"), decode=queries.sounded)).collect()}
     firsts = {}
     for vec in sorted(ints):
         firsts.setdefault(ints[vec].tobytes(), vec)
