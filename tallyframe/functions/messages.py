@@ -64,12 +64,35 @@ def training_messages(
 _STORED_MESSAGES = "array<struct<role:string,content:variant>>"
 
 
+_TEXT_MESSAGES = "array<struct<role:string,content:string>>"
+_LIST_MESSAGES = "array<struct<content:array<string>>>"
+# The parsers' own limit on one string, 20 million characters, is lifted to what a column can hold.
+JSON_OPTIONS = {"maxStringLen": str((1 << 31) - 1)}
+
+
 def parse_messages(json_text: Column, key: str | None = "messages") -> Column:
     """Parse the message list below ``key``, or the text itself as a list when ``key`` is None.
 
     Null when the text is no JSON or holds no message list. Contents are parsed as variants, which keep lists and texts
-    apart even when a text starts with a bracket.
+    apart even when a text starts with a bracket. A variant holds 16 MB; where it cannot be made, contents are read once
+    as texts and once as lists, which tells the same apart. There, numbers and truth values count as texts.
     """
+    def read(schema: str) -> Column:
+        if key is None:
+            return F.from_json(json_text, schema, JSON_OPTIONS)
+        return F.from_json(json_text, f"struct<{key}:{schema}>", JSON_OPTIONS)[key]
+
+    def large(lists: Column) -> Column:
+        def one_large(item: Column, i: Column) -> Column:
+            parts = F.get(lists, i)["content"]
+            quoted = F.transform(
+                parts, lambda part: F.when(part.rlike(r"^[\[{]"), part).otherwise(F.to_json(F.array(part)).substr(F.lit(2), F.length(F.to_json(F.array(part))) - 2))
+            )
+            text = F.when(parts.isNull() & ~F.coalesce(item["content"].startswith("{"), F.lit(False)), item["content"])
+            return F.struct(item["role"].alias("role"), text.alias("text"), quoted.alias("parts"))
+
+        return F.transform(read(_TEXT_MESSAGES), one_large)
+
     def one(item: Column) -> Column:
         return let(
             F.try_variant_get(item["content"], "$", "array<variant>"),
@@ -83,9 +106,7 @@ def parse_messages(json_text: Column, key: str | None = "messages") -> Column:
             ),
         )
 
-    if key is None:
-        return F.transform(F.from_json(json_text, _STORED_MESSAGES), one)
-    return F.transform(F.from_json(json_text, f"struct<{key}:{_STORED_MESSAGES}>")[key], one)
+    return F.coalesce(F.transform(read(_STORED_MESSAGES), one), let(read(_LIST_MESSAGES), large))
 
 
 def messages_json(messages: Column) -> Column:
@@ -114,7 +135,7 @@ def answer_label(messages: Column) -> Column:
     answers = F.filter(messages, lambda m: (m["role"] == "assistant") & m["text"].isNotNull())
     lines = F.flatten(F.transform(answers, lambda m: text_lines(m["text"])))
     line = F.get(F.filter(lines, lambda text: text.startswith(defaults.ANSWER_PREFIX)), F.lit(0))
-    return strip(F.substring(line, len(defaults.ANSWER_PREFIX) + 1, 1 << 30))
+    return strip(F.substr(line, F.lit(len(defaults.ANSWER_PREFIX) + 1)))
 
 
 def image_path(messages: Column) -> Column:
@@ -122,7 +143,7 @@ def image_path(messages: Column) -> Column:
     lists = F.filter(messages, lambda m: (m["role"] == "user") & m["parts"].isNotNull())
     items = F.flatten(F.transform(lists, lambda m: m["parts"]))
     found = F.transform(
-        F.transform(items, lambda item: F.from_json(item, "type string, path string")),
+        F.transform(items, lambda item: F.from_json(item, "type string, path string", JSON_OPTIONS)),
         lambda item: F.when(item["type"] == "image", item["path"]),
     )
     return F.get(F.filter(found, lambda path: path.isNotNull() & (path != "")), F.lit(0))
@@ -133,7 +154,7 @@ def structured_label(text: Column, classes: Sequence[str] = defaults.CLASS_LABEL
     prefix = defaults.ANSWER_PREFIX
 
     def check(stripped: Column) -> Column:
-        label = strip(F.substring(stripped, len(prefix) + 1, 1 << 30))
+        label = strip(F.substr(stripped, F.lit(len(prefix) + 1)))
         return F.when(
             ~stripped.contains("\n") & stripped.startswith(prefix) & label.isin(*classes),
             label,
@@ -142,10 +163,6 @@ def structured_label(text: Column, classes: Sequence[str] = defaults.CLASS_LABEL
     return let(strip(text), check)
 
 
-def is_structured(text: Column, classes: Sequence[str] = defaults.CLASS_LABELS) -> Column:
-    return structured_label(text, classes).isNotNull()
-
-
 def has_locked_format(messages: Column) -> Column:
     """Whether the second message is one line with the answer prefix."""
     answer = F.get(messages, F.lit(1))["text"]
@@ -162,10 +179,10 @@ def vision_messages(messages: Column, include_answer: bool = False, base_dir: st
         return paths.clean_path(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(prefix), path)))
 
     def rewrite(item: Column) -> Column:
-        path = F.get_json_object(item, "$.path")
-        image = F.get_json_object(item, "$.image")
+        parsed = F.from_json(item, "type string, path string, image string", JSON_OPTIONS)
+        path, image = parsed["path"], parsed["image"]
         convert = (
-            (F.get_json_object(item, "$.type") == "image")
+            (parsed["type"] == "image")
             & (F.coalesce(image, F.lit("")) == "")
             & (F.coalesce(path, F.lit("")) != "")
         )

@@ -64,7 +64,7 @@ def relative_path(path: Column, root: str | None) -> Column:
     if not root:
         return path
     prefix = root.rstrip("/") + "/"
-    return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
+    return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
 
 
 def directories_nearest_first(path: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ def violations(rows: DataFrame) -> DataFrame:
         .when(F.col("label").isNull(), "missing answer")
     )
     return rows.select(
-        *[c for c in ("source", "block", "seq", "index") if c in rows.columns], problem.alias("problem")
+        *[c for c in ("split", "source", "block", "seq", "index") if c in rows.columns], problem.alias("problem")
     ).where("problem is not null")
 
 
@@ -64,6 +64,37 @@ def validation_summary(rows: DataFrame, inventory: DataFrame, strict: bool = Fal
     )
 
 
+def split_summaries(rows: DataFrame, inventory: DataFrame, splits: Sequence[str]) -> DataFrame:
+    """What ``validation_summary`` tells, one row per ``split``: the wanted ones, also without rows, and all others met."""
+    counted = rows.groupBy("split", "label", "image_path").agg(F.count("*").alias("n"))
+    known = inventory.select(F.col("path").alias("image_path"), F.lit(True).alias("known")).distinct()
+    given = F.col("image_path").isNotNull()
+    n_if = lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(0))
+    per_label = counted.join(known, "image_path", "left").groupBy("split", "label").agg(
+        F.sum("n").alias("n"),
+        n_if(given & F.col("known").isNull()).alias("missing"),
+        n_if(given & ~F.col("image_path").startswith("/")).alias("relative"),
+    )
+    entries = F.array_sort(F.collect_list(F.struct(F.col("label").alias("key"), F.col("n").alias("value"))))
+    found = per_label.groupBy("split").agg(
+        F.sum("n").alias("total_records"),
+        F.map_from_entries(F.filter(entries, lambda e: e["key"].isNotNull())).alias("category_counts"),
+        F.sum("missing").alias("missing_paths"),
+        F.sum("relative").alias("relative_paths"),
+    )
+    wanted = small_table(rows.sparkSession, [(s,) for s in splits], "wanted string")
+    joined = found.join(F.broadcast(wanted), F.col("split").eqNullSafe(F.col("wanted")), "full_outer")
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return joined.select(
+        F.coalesce("split", "wanted").alias("split"),
+        F.col("wanted").isNotNull().alias("expected_split"),
+        F.coalesce("total_records", F.lit(0)).alias("total_records"),
+        F.coalesce("category_counts", nothing).alias("category_counts"),
+        F.coalesce("missing_paths", F.lit(0)).alias("missing_paths"),
+        F.coalesce("relative_paths", F.lit(0)).alias("relative_paths"),
+    ).withColumn("is_valid", (F.col("missing_paths") == 0) & (F.col("relative_paths") == 0))
+
+
 def path_problems(rows: DataFrame, inventory: DataFrame) -> DataFrame:
     """Every image path that is missing or relative, with the kind of problem."""
     given = rows.where("image_path is not null").select("image_path")

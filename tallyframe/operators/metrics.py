@@ -8,12 +8,12 @@ pre-counted. Every function takes ``by`` columns to compute one result per check
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
-from tallyframe.session import small_table
 
 _TRUE, _PRED, _SCORE = "true_label", "predicted_label", "binary_score"
 
@@ -115,21 +115,20 @@ def confusion(
     pred_col: str = _PRED,
 ) -> DataFrame:
     """Long confusion matrix: one row per pair of labels, zero-filled."""
-    rows = _label_rows(pair_counts(df, by, true_col, pred_col), by, classes)
-    doc = rows.groupBy(*by).agg(F.collect_list(F.struct("label", "cells")).alias("labels"))
-    grid = F.flatten(
-        F.transform(
-            "labels",
-            lambda t: F.transform(
-                F.col("labels"),
-                lambda p: F.struct(
-                    t["label"].alias("true_label"), p["label"].alias("predicted_label"),
-                    _cell(t["cells"], p["label"]).alias("n"),
-                ),
-            ),
-        )
-    )
-    return doc.select(*by, F.inline(grid))
+    pairs = pair_counts(df, by, true_col, pred_col)
+    labels = _label_rows(pairs, by, classes).select(*by, F.col("label").alias(_TRUE))
+    # A row per true label carries all labels; the counts, which stay sparse, join the pairs.
+    listed = labels.groupBy(*by).agg(F.collect_list(_TRUE).alias("__labels"))
+    names = [*by, _TRUE, _PRED]
+    if by:
+        side = listed.withColumnsRenamed({name: f"__{i}" for i, name in enumerate(by)})
+        grid = labels.join(side, reduce(Column.__and__, [labels[n].eqNullSafe(side[f"__{i}"]) for i, n in enumerate(by)]))
+    else:
+        grid = labels.withColumn("__labels", listed.scalar())
+    grid = grid.select(*by, _TRUE, F.explode("__labels").alias(_PRED))
+    counts = pairs.select(*[F.col(name).alias(f"__c{i}") for i, name in enumerate(names)], "n")
+    same = reduce(Column.__and__, [grid[name].eqNullSafe(counts[f"__c{i}"]) for i, name in enumerate(names)])
+    return grid.join(counts, same, "left").select(*names, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _cell(cells: Column, label: Column) -> Column:
@@ -274,8 +273,10 @@ def compute_metrics(
     auc = roc_auc(df, F.col(true_col).isin(*positive), score_col, by).withColumnRenamed("roc_auc", "binary_roc_auc")
     if not by:
         return out.withColumn("binary_roc_auc", auc.scalar())
-    # One row per group on both sides.
-    return out.join(auc, list(by), "left")
+    # One row per group on both sides; a null group is a group.
+    side = auc.select(*[F.col(name).alias(f"__{i}") for i, name in enumerate(by)], "binary_roc_auc")
+    same = [out[name].eqNullSafe(side[f"__{i}"]) for i, name in enumerate(by)]
+    return out.join(side, reduce(Column.__and__, same), "left").drop(*[f"__{i}" for i in range(len(by))])
 
 
 def zero_recall_labels(
@@ -300,7 +301,3 @@ def best_checkpoint(df: DataFrame, step_col: str = "step", metric: str = "macro_
     """The document with the largest metric; of equal ones the first step."""
     best = F.max_by(F.struct(*df.columns), F.struct(F.col(metric).alias("m"), (-F.col(step_col)).alias("s")))
     return df.agg(best.alias("b")).where("b is not null").select("b.*")
-
-
-def label_table(spark, classes: Sequence[str]) -> DataFrame:
-    return small_table(spark, [(c, i) for i, c in enumerate(classes)], "label string, label_order bigint")

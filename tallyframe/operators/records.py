@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
@@ -163,10 +164,12 @@ def count_differences(
     records: DataFrame, expected: DataFrame, keys: Sequence[str] = ("split", "category")
 ) -> DataFrame:
     """Groups whose row count differs from ``expected(keys..., n)``, also those only one side has."""
-    actual = records.groupBy(*keys).agg(F.count("*").alias("actual"))
+    actual = records.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("actual"))
     wanted = expected.select(*keys, F.col("n").alias("expected"))
+    same = reduce(Column.__and__, [wanted[k].eqNullSafe(actual[f"__{k}"]) for k in keys])
     return (
-        wanted.join(actual, list(keys), "full_outer")
+        wanted.join(actual, same, "full_outer")
+        .select(*[F.coalesce(k, f"__{k}").alias(k) for k in keys], "expected", "actual")
         .na.fill(0, ["expected", "actual"])
         .where("expected <> actual")
     )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
-from tallyframe.functions.text import let
 from tallyframe.operators.ranking import GROUP_LIMIT, global_rank, smallest, smallest_per_group
 from tallyframe.session import broadcast_if_small, materialize, small_table
 
@@ -276,8 +275,9 @@ def class_weights(
 
 
 def attach_weights(df: DataFrame, weights: DataFrame, label_col: str = "label") -> DataFrame:
-    """Every row with the weight of its class. Classes are counted before they are broadcast."""
-    return df.join(broadcast_if_small(weights.select(label_col, "weight")), label_col)
+    """Every row with the weight of its class; a null label is a class. Classes are counted before they are broadcast."""
+    side = weights.select(F.col(label_col).alias("__class"), "weight")
+    return df.join(broadcast_if_small(side), df[label_col].eqNullSafe(side["__class"])).drop("__class")
 
 
 def weighted_draws(
@@ -297,53 +297,79 @@ def weighted_draws(
     the class. A rank of a small, heavy class is drawn very often: such ranks are repeated under salt numbers and the
     draws spread over them, so that no join key gets more than about ``rows_per_salt`` draws. The repeats add at most
     draws / rows_per_salt rows in total. Class, rank and salt are one dense number, which sorts and hashes faster than
-    three. The result has one row per draw with its number in ``draw``.
+    three. The result has one row per draw with its number in ``draw``. Classes may be many: they stay a table of one
+    row each, which one task puts in order.
     """
-    weights = class_weights(df, label_col, boost_class, boost, exponent)
     total = draws if draws is not None else df.count()
     if total <= 0:
         raise ValueError("Balanced sampling needs at least one row.")
-    classes = [tuple(row) for row in weights.orderBy(label_col).limit(GROUP_LIMIT + 1).collect()]
-    if len(classes) > GROUP_LIMIT:
-        raise ValueError(f"Weighted draws expect at most {GROUP_LIMIT} classes.")
-    if any(label is None for label, _, _ in classes):
+    classes = materialize(class_weights(df, label_col, boost_class, boost, exponent), "classes")
+    if not classes.where(F.col(label_col).isNull()).isEmpty():
         raise ValueError("Weighted draws need a label in every row.")
-    mass = sum(n * weight for _, n, weight in classes)
-
-    labels, sizes, bounds, salts, starts = [], [], [], [], [0]
-    reached = 0.0
-    for label, n, weight in classes:
-        reached += n * weight
-        repeats = int(total * n * weight / mass / n / rows_per_salt) + 1
-        labels.append(label)
-        sizes.append(n)
-        bounds.append(reached / mass)
-        salts.append(repeats)
-        starts.append(starts[-1] + n * repeats)
-
-    def constant(values: list, kind: str = "bigint") -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
-
-    def of(values: list) -> Column:
-        return F.get(constant(values), F.col("__slot"))
-
-    # The hash is bound, so that it is computed once and not per class.
-    slot = let(
-        uniform(F.col("draw"), f"{seed}:class"),
-        lambda u: F.size(F.filter(constant(bounds[:-1], "double"), lambda upper: u >= upper)),
-    )
-    place = F.floor(uniform(F.col("draw"), f"{seed}:row") * of(sizes)).cast("bigint")
-    number = of(starts) + place * of(salts) + F.pmod(F.col("draw"), of(salts))
-    drawn = (
+    table = materialize(_draw_table(classes, label_col, total, rows_per_salt), "class-bounds")
+
+    # Draws find their class by cells of the unit interval; a class lies in as many cells as its mass covers.
+    cells = max(1024, min(table.count(), 1 << 20))
+    covered = table.select(
+        F.explode(F.sequence(F.floor(F.col("__lower") * cells), F.least(F.lit(cells - 1), F.floor(F.col("__upper") * cells)))).alias("__cell"),
+        "__lower", "__upper", "__size", "__salts", "__start", "__last",
+    )
+    # The hash is bound to a column of its own, so that it is computed once.
+    placed = (
         df.sparkSession.range(total)
         .withColumnRenamed("id", "draw")
-        .withColumn("__slot", slot)
-        # Never null: keeps Spark from computing the hashes once more to filter the join key.
-        .select("draw", F.coalesce(number, F.lit(-1)).alias("__number"))
+        .withColumn("__u", uniform(F.col("draw"), f"{seed}:class"))
+        .withColumn("__cell", F.floor(F.col("__u") * cells))
+    )
+    found = placed.join(broadcast_if_small(covered), "__cell").where(
+        (F.col("__u") >= F.col("__lower")) & (F.col("__last") | (F.col("__u") < F.col("__upper")))
+    )
+    place = F.floor(uniform(F.col("draw"), f"{seed}:row") * F.col("__size")).cast("bigint")
+    number = F.col("__start") + place * F.col("__salts") + F.pmod(F.col("draw"), F.col("__salts"))
+    drawn = found.select("draw", number.alias("__number"))
+
+    ranked = global_rank(df, order, [label_col], "__rank").join(
+        broadcast_if_small(table.select(label_col, "__salts", "__start")), label_col
     )
-    ranked = global_rank(df, order, [label_col], "__rank").withColumn(
-        "__slot", F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label_col)).cast("int") - 1
+    first = F.col("__start") + (F.col("__rank") - 1) * F.col("__salts")
+    # Two steps, so that a row with many repeats needs no long array.
+    runs = ranked.select(
+        *df.columns, first.alias("__first"), "__salts", F.explode(F.sequence(F.lit(0), F.floor((F.col("__salts") - 1) / _RUN))).alias("__run")
     )
-    first = of(starts) + (F.col("__rank") - 1) * of(salts)
-    spread = ranked.select(*df.columns, F.explode(F.sequence(first, first + of(salts) - 1)).alias("__number"))
+    begin = F.col("__first") + F.col("__run") * _RUN
+    end = F.least(begin + _RUN, F.col("__first") + F.col("__salts")) - 1
+    spread = runs.select(*df.columns, F.explode(F.sequence(begin, end)).alias("__number"))
     return drawn.join(spread, "__number").select("draw", *df.columns)
+
+
+# Repeats of a row that are made at once.
+_RUN = 4096
+
+
+def _draw_table(classes: DataFrame, label_col: str, total: int, rows_per_salt: int) -> DataFrame:
+    """Interval, size, repeats and first number of each class, in the order of the labels; one row per class."""
+    order = Window.orderBy(label_col)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mass = F.col("n") * F.col("weight")
+    summed = classes.select(
+        label_col,
+        F.col("n").alias("__size"),
+        F.col("weight").alias("__weight"),
+        F.sum(mass).over(so_far).alias("__reached"),
+        F.sum(mass).over(whole).alias("__mass"),
+        F.lead("n").over(order).isNull().alias("__last"),
+    )
+    per_row = F.lit(total) * F.col("__size") * F.col("__weight") / F.col("__mass") / F.col("__size")
+    salted = summed.withColumn("__salts", F.floor(per_row / rows_per_salt) + 1)
+    upper = F.col("__reached") / F.col("__mass")
+    return salted.select(
+        label_col,
+        "__size",
+        "__salts",
+        "__last",
+        F.coalesce(F.lag(upper).over(order), F.lit(0.0)).alias("__lower"),
+        upper.alias("__upper"),
+        F.coalesce(F.sum(F.col("__size") * F.col("__salts")).over(before), F.lit(0)).alias("__start"),
+    )

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
@@ -65,15 +66,27 @@ def score_conversations(
 ) -> DataFrame:
     """Score every candidate answer of every sample with ``scorer(conversation_json, prompt_json) -> float``.
 
-    ``samples`` has ``index, messages, true_label, image_path``.
+    ``samples`` has ``index, messages, true_label, image_path``. One user function gets the prompt and the answers of a
+    sample once and calls ``scorer`` once per batch, for all candidates of all samples in it.
     """
-    run = F.pandas_udf(scorer, "double")
+    count = len(labels)
+
+    @F.pandas_udf("array<double>")
+    def run(prompts: pd.Series, answers: pd.Series) -> pd.Series:
+        # A conversation is its prompt, a list of at most one message, and the answer.
+        talks = [
+            prompt[:-1] + ("," if len(prompt) > 2 else "") + answer + "]"
+            for prompt, listed in zip(prompts, answers)
+            for answer in listed
+        ]
+        scores = scorer(pd.Series(talks), prompts.repeat(count).reset_index(drop=True))
+        return pd.Series(list(np.asarray(scores, dtype=float).reshape(-1, count)))
 
-    def one(label: str) -> Column:
-        talk = msg.candidate_messages(F.col("messages"), label, labels)
-        return run(msg.messages_json(talk), msg.messages_json(msg.prompt_messages(talk)))
-
-    scored = samples.withColumn("scores", F.array(*[one(label) for label in labels])).drop("messages")
+    talk = F.col("messages")
+    answers = [msg.messages_json(F.slice(msg.candidate_messages(talk, label, labels), 2, 1)) for label in labels]
+    bare = F.array(*[F.substr(answer, F.lit(2), F.length(answer) - 2) for answer in answers])
+    prompt = F.coalesce(msg.messages_json(msg.prompt_messages(talk)), F.lit("[]"))
+    scored = samples.withColumn("scores", run(prompt, bare)).drop("messages")
     return predictions_from_scores(scored, labels, positive)
 
 
@@ -109,8 +122,8 @@ def collate(
     if batch_col is None:
         rows = rows.withColumn("__width", F.size("__ids"))
     else:
-        widths = rows.groupBy(batch_col).agg(F.max(F.size("__ids")).alias("__width"))
-        rows = rows.join(widths, batch_col)
+        # A batch is small, and the tokenizer need not run once more for the widths.
+        rows = rows.withColumn("__width", F.max(F.size("__ids")).over(Window.partitionBy(batch_col)))
     gap = F.col("__width") - F.size("__ids")
     ids, pad = F.col("__ids"), F.array_repeat(F.lit(pad_id).cast("bigint"), gap)
     on = F.transform(ids, lambda x: F.lit(1).cast("bigint"))
@@ -136,7 +149,7 @@ def batch_problems(df: DataFrame, ignore: int = defaults.IGNORE_INDEX) -> DataFr
 
 def batch_summary(
     df: DataFrame,
-    required: Sequence[str] = ("input_ids", "attention_mask", "labels"),
+    required: Sequence[str] = defaults.REQUIRED_BATCH_FIELDS,
     ignore: int = defaults.IGNORE_INDEX,
     strict: bool = False,
 ) -> DataFrame:

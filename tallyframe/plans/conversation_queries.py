@@ -234,7 +234,8 @@ def batch_summary(spark, sf_dir):
     rows = token_rows(spark, sf_dir).withColumn("labels", targets)
     fits = arrays.prompt_fits(F.col("attention_mask"), F.col("prompt_length"))
     dims = arrays.shapes({"input_ids": (F.col("input_ids"), 1)})
-    return scoring.batch_summary(rows).select(
+    image = {name: F.lit(None).cast("array<int>") for name in ("mm_token_type_ids", "pixel_values", "image_grid_thw")}
+    return scoring.batch_summary(rows.withColumns(image)).select(
         "vec_id", "label_tokens", "masked_tokens",
         F.get(F.element_at(dims, "input_ids"), F.lit(0)).alias("width"), fits.alias("fits"),
     )

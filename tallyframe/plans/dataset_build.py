@@ -37,7 +37,7 @@ def flat_folder_records(
     """Images directly in one folder, split by quota in the order of their names."""
     prefix = folder.rstrip("/") + "/"
     direct = files.images(inventory).where(
-        F.col("path").startswith(prefix) & ~F.substring(F.col("path"), len(prefix) + 1, 1 << 30).contains("/")
+        F.col("path").startswith(prefix) & ~F.substr(F.col("path"), F.lit(len(prefix) + 1)).contains("/")
     )
     classed = direct.select("path", tokens.category_from_path(F.col("path"), root).alias("category"))
     if strict and not classed.isEmpty():
@@ -75,7 +75,9 @@ def choose_records(
 
 @dataclass(frozen=True)
 class DatasetBuild:
-    summaries: dict[str, DataFrame]
+    """``summaries`` has one row per split, ``differences`` the groups of split and class whose counts are not as expected."""
+
+    summaries: DataFrame
     differences: DataFrame
 
 
@@ -86,18 +88,19 @@ def build_dataset(
     splits: Sequence[str] = ("train", "val"),
     expected: Mapping[str, Mapping[str, int]] = defaults.SPLIT_QUOTAS,
 ) -> DatasetBuild:
-    """Write one folder of conversations per split in one job, then validate what was written."""
+    """Write one folder of conversations per split in one job, then read all of them once and validate them.
+
+    A wanted split without rows has a summary of zeros; splits that were not asked for are summed up and compared too.
+    """
     spark = chosen.sparkSession
     talks = chosen.select("split", msg.training_messages(F.col("path"), F.col("category")).alias("messages"))
     sinks.write_conversations(talks, output, by_split=True)
-    summaries, labels = {}, None
-    for split in splits:
-        parsed = readers.parsed_lines(spark, f"{output}/split={split}")
-        summaries[split] = conversations.validation_summary(parsed, inventory, strict=True)
-        part = parsed.select(F.lit(split).alias("split"), F.col("label").alias("category"))
-        labels = part if labels is None else labels.unionByName(part)
+    lines = readers.parsed_splits(spark, output)
+    parsed = materialize(lines.withColumn("messages", F.when(F.col("messages").isNotNull(), True)), "written")
+    sampling.require_none(conversations.violations(parsed), "Invalid rows")
+    labels = parsed.select("split", F.col("label").alias("category"))
     differences = records.count_differences(labels, conversations.expectation_table(spark, expected))
-    return DatasetBuild(summaries, differences)
+    return DatasetBuild(conversations.split_summaries(parsed, inventory, splits), differences)
 
 
 def listed_samples(

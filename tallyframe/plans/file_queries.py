@@ -60,8 +60,7 @@ def training_rows(spark, sf_dir):
 def build_dataset(spark, sf_dir):
     chosen = cq.labelled_files(spark, sf_dir).select("path", "split", "category")
     built = dataset_build.build_dataset(chosen, fx.disk_inventory(spark, sf_dir), scratch_path(spark, "dataset"))
-    parts = [summary.select(F.lit(split).alias("split"), "*") for split, summary in built.summaries.items()]
-    return parts[0].unionByName(parts[1]).select(
+    return built.summaries.select(
         "split", "total_records", F.element_at("category_counts", "healthy").alias("healthy"),
         "missing_paths", "relative_paths", "is_valid",
     )
@@ -83,7 +82,7 @@ def build_dataset_differences(spark, sf_dir):
 def listed_records(spark, sf_dir):
     """A list of relative paths with blank lines; some of the files are not on the disk."""
     found = fx.document_files(spark, sf_dir)
-    entry = F.concat(F.lit("  "), F.substring(F.col("path"), len(fx.ROOT) + 2, 1000))
+    entry = F.concat(F.lit("  "), F.substr(F.col("path"), F.lit(len(fx.ROOT) + 2)))
     path = scratch_path(spark, "list")
     found.select(F.explode(F.array(entry, F.lit("  "))).alias("value")).write.text(path)
     inventory = files.images(fx.disk_inventory(spark, sf_dir))
@@ -104,7 +103,7 @@ def written_annotations(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_path(spark, "annotations")
     notes = fx.raw_annotations(spark, sf_dir)
     named = notes.select(
-        "doc_id", F.substring(F.col("path"), len(fx.ROOT) + 2, 1000).alias("Image Path"), F.col("label_text").alias("Finding"),
+        "doc_id", F.substr(F.col("path"), F.lit(len(fx.ROOT) + 2)).alias("Image Path"), F.col("label_text").alias("Finding"),
         F.col("split_text").alias("Data Set"),
     )
     named.where("doc_id % 3 = 0").drop("doc_id").write.option("header", True).csv(f"{root}/comma")
@@ -203,7 +202,7 @@ def folder_structure(spark, sf_dir):
     plain = files.file_inventory(spark, root)
     top = plain.select(F.regexp_extract("path", r"^(.*)/lines/", 1).alias("top")).first()["top"]
     tree = files.files_per_directory(plain, top)
-    below = F.regexp_replace(F.substring(F.col("directory"), len(top) + 1, 1000), "^/", "")
+    below = F.regexp_replace(F.substr(F.col("directory"), F.lit(len(top) + 1)), "^/", "")
     return tree.select(below.alias("directory"), "depth", (F.col("direct_files") > 0).alias("has_files"))
 
 

@@ -106,7 +106,7 @@ def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.compute_metrics(
         fx.quality_predictions(spark, sf_dir), _CLASSES, _POSITIVE, ["source"], score_col=None
     )
-    return found.withColumn("step", F.substring("source", 4, 10).cast("bigint"))
+    return found.withColumn("step", F.substr(F.col("source"), F.lit(4)).cast("bigint"))
 
 
 @query(f"""{_BY_SOURCE_SQL} SELECT source, total_samples::BIGINT AS total_samples, round(accuracy, 6) AS accuracy,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,18 @@ def parsed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _with_fields(lines)
 
 
+def parsed_splits(spark: SparkSession, path: str) -> DataFrame:
+    """``split`` and the columns of ``parsed_lines`` of a folder with one sub-folder ``split=...`` per split, in one read."""
+    lines = spark.read.schema("value string, split string").text(path).select(
+        "split",
+        source_path().alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+    )
+    return _with_fields(lines.where(F.trim("value") != ""))
+
+
 def _with_fields(lines: DataFrame) -> DataFrame:
     parsed = lines.withColumn("messages", msg.parse_messages(F.col("value")))
     return parsed.select(
@@ -116,8 +129,8 @@ def checkpoint_metrics(
     expected = small_table(spark, [(int(s), i) for i, s in enumerate(steps)], "step bigint, step_order int")
     try:
         read = spark.read.schema(METRICS_SCHEMA).json(pattern, multiLine=True)
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         read = spark.createDataFrame([], METRICS_SCHEMA).withColumn("step", F.lit(None).cast("bigint"))
     else:

@@ -6,8 +6,8 @@ not visible.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +18,11 @@ INVENTORY_SCHEMA = "path string, length bigint"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether any file is found under ``path``."""
-    try:
-        spark.read.format("binaryFile").load(path)
-        return True
-    except AnalysisException as problem:
-        if "PATH_NOT_FOUND" in str(problem):
-            return False
-        raise
+    """Whether ``path``, which may hold wildcards, is there; the store is asked for that path alone."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.globStatus(hadoop)
+    return found is not None and len(found) > 0
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -115,8 +112,13 @@ def pixel_ranges(spark: SparkSession, files: list[str]) -> DataFrame:
     """Smallest and largest byte of the decoded pixels of a few chosen images."""
     @F.pandas_udf("low int, high int")
     def extent(data: pd.Series) -> pd.DataFrame:
-        present = data.map(lambda raw: raw if raw else None)
-        return pd.DataFrame({"low": present.map(min, na_action="ignore"), "high": present.map(max, na_action="ignore")})
+        pixels = [np.frombuffer(raw, np.uint8) if raw else None for raw in data]
+        return pd.DataFrame(
+            {
+                "low": pd.Series([None if p is None else int(p.min()) for p in pixels], dtype="Int32"),
+                "high": pd.Series([None if p is None else int(p.max()) for p in pixels], dtype="Int32"),
+            }
+        )
 
     decoded = spark.read.format("image").load(files)
     return decoded.select(
@@ -148,7 +150,7 @@ def files_per_directory(inventory: DataFrame, root: str) -> DataFrame:
     root = root.rstrip("/")
     directory = paths.parent_dir(F.col("path"))
     counts = inventory.groupBy(directory.alias("directory")).agg(F.count("*").alias("direct_files"))
-    below = F.filter(F.split(F.substring(F.col("directory"), len(root) + 1, 1 << 30), "/"), lambda p: p != "")
+    below = F.filter(F.split(F.substr(F.col("directory"), F.lit(len(root) + 1)), "/"), lambda p: p != "")
     levels = counts.withColumn("parts", below).select(
         "parts", "direct_files", F.posexplode(F.sequence(F.lit(0), F.size("parts"))).alias("depth", "n")
     )

@@ -71,6 +71,9 @@ def test_batch_checks(spark):
     )
     assert {r["i"]: r["problem"] for r in scoring.batch_problems(rows).collect()} == {
         2: "no scored token", 3: "no masked token", 4: "labels and input_ids differ in length"}
+    with pytest.raises(ValueError, match="lacks fields: image_grid_thw, mm_token_type_ids, pixel_values"):
+        scoring.batch_summary(rows)
+    rows = rows.withColumns({name: F.lit(0) for name in ("mm_token_type_ids", "pixel_values", "image_grid_thw")})
     good = scoring.batch_summary(rows.where("i = 1"), strict=True).first()
     assert (good["label_tokens"], good["masked_tokens"]) == (1, 1)
     with pytest.raises(ValueError, match="Invalid batch rows"):

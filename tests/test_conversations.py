@@ -142,3 +142,21 @@ def test_sample_document(spark, tmp_path):
     assert [m["messages"][1]["content"] for m in stored] == [
         "Classification: healthy", "Classification: active_tb", "Classification: sick_but_non_tb"]
     assert stored[0]["messages"][0]["content"] == [{"type": "image", "path": "/h.png"}, {"type": "text", "text": defaults.PROMPT}]
+
+
+def test_strings_beyond_the_parsers_own_limit(spark, tmp_path):
+    long = "x" * 25_000_000
+    rows = [
+        (1, '{"messages":[{"role":"user","content":[{"type":"image","path":"/a.png"},{"type":"text","text":"%s"}]},'
+            '{"role":"assistant","content":"Classification: healthy"}]}' % long),
+        (2, '{"messages":[{"role":"user","content":"[%s"},{"role":"assistant","content":"Classification: active_tb"}]}' % long),
+    ]
+    lines = spark.createDataFrame(rows, "i int, value string").withColumn("m", msg.parse_messages(F.col("value")))
+    found = lines.select(
+        "i", msg.answer_label(F.col("m")).alias("label"), msg.image_path(F.col("m")).alias("path"),
+        F.length(F.get("m", F.lit(0))["text"]).alias("text"),
+        F.length(F.get(F.get("m", F.lit(0))["parts"], F.lit(1))).alias("part"),
+    ).collect()
+    assert sorted((r["i"], r["label"], r["path"], r["text"]) for r in found) == [
+        (1, "healthy", "/a.png", None), (2, "active_tb", None, len(long) + 1)]
+    assert [r["part"] for r in found if r["i"] == 1] == [len(long) + len('{"type":"text","text":""}')]

@@ -124,3 +124,15 @@ def test_best_checkpoint_prefers_the_first_of_equals(spark):
     rows = spark.createDataFrame([(800, 0.5), (400, 0.7), (1600, 0.7)], "step int, macro_f1 double")
     assert metrics.best_checkpoint(rows).first()["step"] == 400
     assert metrics.best_checkpoint(rows.limit(0)).count() == 0
+
+
+def test_groups_with_null_keys(spark):
+    rows = spark.createDataFrame(
+        [(None, 0, "active_tb", "active_tb", 0.9), (None, 1, "healthy", "healthy", 0.1), ("a", 0, "healthy", "active_tb", 0.9),
+         ("a", 1, "active_tb", "active_tb", 0.2)],
+        "run string, index bigint, true_label string, predicted_label string, binary_score double")
+    found = {r["run"]: r["binary_roc_auc"] for r in metrics.compute_metrics(rows, positive=["active_tb"], by=["run"]).collect()}
+    assert found == {None: 1.0, "a": 0.0}
+    grid = {(r["run"], r["true_label"], r["predicted_label"]): r["n"] for r in metrics.confusion(rows, by=["run"]).collect()}
+    assert len(grid) == 18 and grid[None, "healthy", "healthy"] == 1 and grid["a", "healthy", "active_tb"] == 1
+    assert sum(grid.values()) == 4

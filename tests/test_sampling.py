@@ -146,3 +146,25 @@ def test_first_index(spark):
     rows = frame(spark, [(5, "a"), (2, "b"), (3, "a")])
     found = {r["label"]: r["first_index"] for r in sampling.first_index_per_label(rows, "label", "key", ("a", "z")).collect()}
     assert found == {"a": 3, "z": None}
+
+
+def test_weighted_draws_over_many_classes(spark):
+    rows = spark.range(6000).select(F.col("id").alias("key"), F.concat(F.lit("c"), F.col("id") % 1500).alias("label"))
+    drawn = sampling.weighted_draws(rows, "label", ["key"], seed=3, draws=30_000).collect()
+    assert sorted(r["draw"] for r in drawn) == list(range(30_000))
+    counts = {}
+    for row in drawn:
+        assert row["label"] == f"c{row['key'] % 1500}"
+        counts[row["label"]] = counts.get(row["label"], 0) + 1
+    assert len(counts) == 1500 and max(counts.values()) < 60
+    # One row that takes all draws is repeated in steps.
+    one = spark.createDataFrame([(1, "a")], "key bigint, label string")
+    assert sampling.weighted_draws(one, "label", ["key"], draws=20_000, rows_per_salt=2).count() == 20_000
+
+
+def test_null_labels_are_a_class_of_their_own(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, "a")], "key bigint, label string")
+    weighted = sampling.attach_weights(rows, sampling.class_weights(rows))
+    assert sorted((r["key"], r["weight"]) for r in weighted.collect()) == [(1, 0.5), (2, 0.5), (3, 1.0)]
+    with pytest.raises(ValueError, match="label in every row"):
+        sampling.weighted_draws(rows, "label", ["key"])

@@ -107,7 +107,14 @@ def test_lists_and_choice_of_records(spark, tmp_path):
         ("val", "flat/images/h2.png", "healthy"), ("val", "flat/images/tb2.png", "active_tb")]
     built = dataset_build.build_dataset(chosen, files.file_inventory(spark, str(root)), str(tmp_path / "out"), expected=quotas)
     assert built.differences.count() == 0
-    assert [s.first()["is_valid"] for s in built.summaries.values()] == [True, True]
+    assert [(r["split"], r["is_valid"], r["total_records"]) for r in built.summaries.orderBy("split").collect()] == [
+        ("train", True, 2), ("val", True, 2)]
+    # A split without rows, one that was not asked for, and a row without a split.
+    odd = chosen.select("path", F.when(F.col("split") == "val", "test").when(F.col("category") == "healthy", "train").alias("split"), "category")
+    built = dataset_build.build_dataset(odd, files.file_inventory(spark, str(root)), str(tmp_path / "odd"), expected=quotas)
+    assert sorted((str(r["split"]), r["expected_split"], r["total_records"]) for r in built.summaries.collect()) == [
+        ("None", False, 1), ("test", False, 2), ("train", True, 1), ("val", True, 0)]
+    assert built.differences.count() == 6
     with pytest.raises(ValueError, match="Too few images"):
         dataset_build.flat_folder_records(files.file_inventory(spark, str(root)), f"{root}/flat/images", str(root), {"train": {"healthy": 9}})
 
