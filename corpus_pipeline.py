@@ -45,8 +45,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``source``, the ids of the text and their number, and digests of the ids and of the decoded bytes."""
-    decoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "text")).drop("text"))
-    return decoded.select(
+    coded = byte_bpe.encode(docs.select("doc_id", "source", "text"), decoded_col="decoded")
+    return coded.select(
         "doc_id",
         "source",
         "n_tokens",

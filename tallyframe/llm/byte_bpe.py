@@ -9,6 +9,7 @@ text's ids. Texts within one chunk are encoded where they are, without a shuffle
 
 from __future__ import annotations
 
+import base64
 import functools
 import re
 
@@ -88,6 +89,35 @@ def _chunks(raw: Column, chunk: int, overlap: int) -> Column:
     )
 
 
+@functools.lru_cache(maxsize=4)
+def _token_bytes(data: bytes) -> tuple["np.ndarray", "np.ndarray", "np.ndarray"]:  # noqa: F821
+    """All tokens' bytes one after another by id, and where each starts and how long it is."""
+    import numpy as np
+
+    ranks = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, data.splitlines()) if token)
+    sizes = np.zeros(ranks[-1][0] + 1, np.int64)
+    sizes[[rank for rank, _ in ranks]] = [len(token) for _, token in ranks]
+    return np.frombuffer(b"".join(token for _, token in ranks), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def decode_ids(data: bytes, raw: bytes) -> bytes:
+    """The bytes of the tokens whose ids, unsigned 32-bit little-endian, are in ``raw``."""
+    import numpy as np
+
+    whole, starts, sizes = _token_bytes(data)
+    out = []
+    ids = np.frombuffer(raw, "<u4")
+    # A part at a time bounds the memory for texts of any length.
+    for at in range(0, len(ids), 1 << 16):
+        part = ids[at : at + (1 << 16)]
+        size = sizes[part]
+        if not size.all():
+            raise ValueError("an id is not in the vocabulary")
+        first = starts[part] - (np.cumsum(size) - size)
+        out.append(whole[np.repeat(first, size) + np.arange(size.sum())].tobytes())
+    return b"".join(out)
+
+
 def encode(
     docs: DataFrame,
     text_col: str = "text",
@@ -95,21 +125,30 @@ def encode(
     pattern: str = vocab.BYTE_PATTERN,
     chunk_bytes: int = CHUNK_BYTES,
     overlap_bytes: int = OVERLAP_BYTES,
+    decoded_col: str | None = None,
 ) -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens`` to every row.
 
     Ids are those of the tiktoken library for the ranks in ``vocabulary``, without special tokens. A null or empty text
     has no ids. Repeated long texts are encoded once. A text that has no meeting point near one of its cuts (no white
     space in ``overlap_bytes``) is encoded as a whole in one task. Bytes that are not UTF-8 are read as U+FFFD.
-    ``overlap_bytes`` must be less than ``chunk_bytes``.
+    ``overlap_bytes`` must be less than ``chunk_bytes``. With ``decoded_col`` the same tasks decode the ids again, as
+    ``decode`` does, into that column.
     """
     data = vocab.broadcast_file(docs.sparkSession, vocabulary)
 
-    @F.arrow_udf("binary")
-    def whole(texts: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<ids binary, decoded binary>")
+    def coded(known: pa.Array, texts: pa.Array) -> pa.Array:
+        """Ids that are known, or else those of the text."""
         encoding = vocab.byte_encoding(data.value, pattern)
-        rows = ((text or b"").decode("utf-8", "replace") for text in texts.to_pylist())
-        return pa.array([encode_text(encoding, text) for text in rows], pa.binary())
+        ids, decoded = [], []
+        for found, text in zip(known, texts):
+            found = found.as_py()
+            if found is None:
+                found = encode_text(encoding, (text.as_py() or b"").decode("utf-8", "replace"))
+            ids.append(found)
+            decoded.append(decode_ids(data.value, found) if decoded_col else None)
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["ids", "decoded"])
 
     @F.arrow_udf("binary")
     def piece(firsts: pa.Array, lasts: pa.Array, chunks: pa.Array) -> pa.Array:
@@ -128,8 +167,10 @@ def encode(
         return pa.array(out, pa.binary())
 
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    nothing = F.lit(None).cast("binary")
+    code = "__llm_code"
     long = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) > chunk_bytes
-    short_rows = docs.where(~long).withColumn("ids", whole(raw))
+    short_rows = docs.where(~long).withColumn(code, coded(nothing, raw))
 
     key = "__llm_text_key"
     long_rows = docs.where(long).withColumn(key, F.sha2(raw, 256))
@@ -150,13 +191,14 @@ def encode(
         ).alias("__llm_ids"),
     )
     found = long_rows.join(joined, key, "left")
-    open_text = F.when(F.col("__llm_ids").isNull(), raw)
-    long_encoded = found.withColumn("__llm_whole", whole(open_text)).withColumn(
-        "ids", F.coalesce("__llm_ids", "__llm_whole")
-    )
-    columns = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
-    out = short_rows.select(*columns, "ids").unionByName(long_encoded.select(*columns, "ids"))
-    return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("bigint"))
+    unknown = F.when(F.col("__llm_ids").isNull(), raw)
+    long_encoded = found.withColumn(code, coded(F.col("__llm_ids"), unknown))
+    named = {"ids": F.col(f"{code}.ids"), "n_tokens": (F.octet_length(f"{code}.ids") / 4).cast("bigint")}
+    if decoded_col:
+        named[decoded_col] = F.col(f"{code}.decoded")
+    columns = [c for c in docs.columns if c.lower() not in {name.lower() for name in named}]
+    out = short_rows.select(*columns, code).unionByName(long_encoded.select(*columns, code))
+    return out.withColumns(named).drop(code)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str = vocab.BYTE_BPE) -> DataFrame:
@@ -168,10 +210,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", voca
 
     @F.arrow_udf("binary")
     def text(ids: pa.Array) -> pa.Array:
-        import numpy as np
-
-        encoding = vocab.byte_encoding(data.value)
-        out = (None if row is None else encoding.decode_bytes(np.frombuffer(row, "<u4").tolist()) for row in ids.to_pylist())
-        return pa.array(list(out), pa.binary())
+        out = [None if row.as_py() is None else decode_ids(data.value, row.as_py()) for row in ids]
+        return pa.array(out, pa.binary())
 
     return rows.withColumn(out_col, text(ids_col))

@@ -31,9 +31,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"))
-    decoded = byte_bpe.decode(encoded.drop("text"))
-    return decoded.select(
+    coded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), decoded_col="decoded")
+    return coded.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

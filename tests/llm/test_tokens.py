@@ -64,6 +64,9 @@ def test_token_counts(awkward, nothing, word_file):
 def test_byte_bpe_round_trip(awkward, ranks, chunk, overlap):
     encoded = byte_bpe.encode(awkward, chunk_bytes=chunk, overlap_bytes=overlap)
     rows = byte_bpe.decode(encoded).collect()
+    at_once = byte_bpe.encode(awkward, chunk_bytes=chunk, overlap_bytes=overlap, decoded_col="Decoded").collect()
+    key = lambda row: (str(row.doc_id), bytes(row.ids), bytes(row[-1]))
+    assert sorted(map(key, rows)) == sorted(map(key, at_once))
     assert len(rows) == awkward.count()
     for row in rows:
         ids = np.array(ranks.encode_ordinary(row.text or ""), "<u4")
