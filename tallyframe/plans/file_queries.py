@@ -114,9 +114,10 @@ def written_annotations(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = files.file_inventory(spark, written_annotations(spark, sf_dir)).select("path")
+    folder = written_annotations(spark, sf_dir)
+    written = files.file_inventory(spark, folder).select("path")
     pictures = files.images(fx.document_files(spark, sf_dir).select("path"))
-    return annotations.annotation_records(spark, fx.ROOT, written.unionByName(pictures))
+    return annotations.annotation_records(spark, fx.ROOT, written.unionByName(pictures), folder=folder)
 
 
 @query(f"WITH {fx.PATH_SQL}, {fx.ANNOTATION_SQL} SELECT DISTINCT path, split, category FROM annotated WHERE {fx.IMAGE_SQL}")
@@ -131,6 +132,44 @@ def annotation_formats(spark, sf_dir):
     return _annotated(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {fx.PATH_SQL}, {fx.ANNOTATION_SQL} SELECT path, split, category FROM annotated WHERE {fx.IMAGE_SQL}")
+def annotation_line_breaks(spark, sf_dir):
+    """Headed CSV whose notes, in front of the class, hold line breaks and quotes."""
+    notes = fx.raw_annotations(spark, sf_dir)
+    note = F.concat(F.lit('first, "'), F.col("doc_id"), F.lit('"\nsecond'))
+    named = notes.select(F.substr(F.col("path"), F.lit(len(fx.ROOT) + 2)).alias("Image Path"), note.alias("Note\nof it"),
+                         F.col("label_text").alias("Finding"), F.col("split_text").alias("Data Set"))
+    root = scratch_path(spark, "breaks")
+    named.write.options(header=True, escape='"').csv(root)
+    pictures = files.images(fx.document_files(spark, sf_dir).select("path"))
+    inventory = files.file_inventory(spark, root).select("path").unionByName(pictures)
+    return annotations.annotation_records(spark, fx.ROOT, inventory, folder=root).select("path", "split", "category")
+
+
+def _renamed(spark: SparkSession, folder: str, suffix: str) -> None:
+    """Give the part files of a written folder another suffix."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.globStatus(path(f"{folder}/part-*")):
+        store.rename(status.getPath(), path(f"{folder}/{status.getPath().getName().split('.')[0]}{suffix}"))
+
+
+@query(f"WITH {fx.PATH_SQL}, {fx.ANNOTATION_SQL} SELECT path, split, category FROM annotated WHERE {fx.IMAGE_SQL} AND doc_id % 2 = 0")
+def annotation_lines(spark, sf_dir):
+    """JSON lines; one folder has a bad line in each of its files, which drops them."""
+    notes = fx.raw_annotations(spark, sf_dir)
+    item = F.struct(F.col("path").alias("file_name"), F.col("label_text").alias("finding"), F.col("split_text").alias("phase"))
+    line = F.to_json(item, {"ignoreNullFields": "false"})
+    root = scratch_path(spark, "lines")
+    notes.where("doc_id % 2 = 0").select(line.alias("value")).write.text(f"{root}/good")
+    notes.where("doc_id % 2 = 1").select(F.concat(line, F.lit("\n{broken")).alias("value")).write.text(f"{root}/bad")
+    for part in ("good", "bad"):
+        _renamed(spark, f"{root}/{part}", ".jsonl")
+    pictures = files.images(fx.document_files(spark, sf_dir).select("path"))
+    inventory = files.file_inventory(spark, root).select("path").unionByName(pictures)
+    return annotations.annotation_records(spark, fx.ROOT, inventory, folder=root).select("path", "split", "category")
+
+
 _DOCUMENT_ROWS = 500
 
 
@@ -149,7 +188,7 @@ def annotation_documents(spark, sf_dir):
     _write_documents(packed.select(F.lit("v1").alias("data"), "records"), root)
     pictures = files.images(fx.document_files(spark, sf_dir).select("path"))
     inventory = files.file_inventory(spark, root).select("path").unionByName(pictures)
-    return annotations.annotation_records(spark, fx.ROOT, inventory).select("path", "split", "category")
+    return annotations.annotation_records(spark, fx.ROOT, inventory, folder=root).select("path", "split", "category")
 
 
 @query(f"""WITH {fx.FILES_SQL} SELECT path AS file_name FROM files JOIN documents USING (doc_id)

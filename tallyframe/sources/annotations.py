@@ -1,129 +1,172 @@
 """Annotation files of mixed formats (CSV, TSV, TXT, JSON, JSON lines) as record rows.
 
-Rows of every format become ``(source, row map<string,string>)``, headers become one row per file. Which header field
-holds the image, the class and the split is decided once per file.
+Files are found by the pattern of their names and read as lines, all of them in one scan; what belongs to a file (its
+header, whether it can be decoded) is an aggregate per file that is joined back. No list of files or lines reaches the
+driver. Which header field holds the image, the class and the split is decided once per file.
 """
 
 from __future__ import annotations
 
-import csv
-from collections import defaultdict
 from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
 from tallyframe.functions import paths, tokens
+from tallyframe.functions.messages import JSON_OPTIONS
 from tallyframe.functions.text import complete_rows, strip
 from tallyframe.operators.records import resolve_paths
 from tallyframe.session import broadcast_if_small, materialize
-from tallyframe.sources.files import annotation_files, source_path, text_rows
+from tallyframe.sources.files import annotation_files, exists, source_path
 
 RECORD_SCHEMA = "source string, path string, split string, category string"
-_ROWS = "source string, row map<string,string>"
-_HEADS = "source string, header array<string>"
+TEXT_SUFFIXES = (".csv", ".tsv", ".txt")
+DELIMITERS = (",", "\t", " ")
 
 
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def _pattern(*suffixes: str) -> str:
+    """A file name pattern for the suffixes in any case."""
+    any_case = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in suffixes]
+    return "{" + ",".join(f"*{suffix}" for suffix in any_case) + "}"
 
 
-def _file_heads(spark: SparkSession, files: list[str]) -> DataFrame:
-    """First line of every text file, and whether the file could be decoded."""
-    lines = text_rows(spark, files)
-    return lines.groupBy("source").agg(
-        F.min_by("value", F.struct("block", "seq")).alias("first_line"),
-        F.bool_or(~F.is_valid_utf8("value")).alias("undecodable"),
+def _lines(spark: SparkSession, folder: str, listed: DataFrame, *suffixes: str, whole: bool = False) -> DataFrame:
+    """``source, block, seq, value`` of every line (or whole file) of the ``listed`` files with these suffixes."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _pattern(*suffixes))
+    rows = reader.text(folder, wholetext=whole).select(
+        source_path().alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
     )
+    names = listed.select(F.col("path").alias("source")).distinct()
+    return rows.join(broadcast_if_small(names), "source", "left_semi")
 
 
-def sniff_delimiter(path: str, first_line: str) -> str | None:
+def sniff_delimiter(path: Column, first_line: Column) -> Column:
     """Comma for .csv, tab for .tsv; for .txt the first of tab, comma, space that the first line holds."""
-    lower = path.lower()
-    if lower.endswith(".tsv"):
-        return "\t"
-    if lower.endswith(".csv"):
-        return ","
-    return next((mark for mark in ("\t", ",", " ") if mark in first_line), None)
+    lower = F.lower(path)
+    found = F.when(first_line.contains("\t"), "\t").when(first_line.contains(","), ",").when(first_line.contains(" "), " ")
+    return F.when(lower.endswith(".tsv"), "\t").when(lower.endswith(".csv"), ",").otherwise(found)
 
 
-def delimited_rows(spark: SparkSession, heads: Sequence[tuple[str, str]], multi_line: bool = False):
-    """Headed rows of delimited files: ``(rows, headers)``. Files are grouped by delimiter and header, one scan each.
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
 
-    ``heads`` lists (file, first line); files without a second header field are left out.
+
+def logical_records(lines: DataFrame) -> DataFrame:
+    """``source, place, value``: lines, joined where a quoted field goes on over a line break.
+
+    Only files with a line of an odd number of quotes are put together, each in one task, as a reader of quoted line
+    breaks has to; the lines of all others stay where they are.
     """
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = defaultdict(list)
-    for path, first_line in heads:
-        mark = sniff_delimiter(path, first_line)
-        fields = next(csv.reader([first_line], delimiter=mark), []) if mark else []
-        if len(fields) > 1:
-            groups[mark, tuple(fields)].append(path)
-
-    rows, header_rows = None, []
-    for (mark, fields), files in groups.items():
-        schema = ", ".join(f"c{i} string" for i in range(len(fields)))
-        table = spark.read.schema(schema).csv(
-            files, header=True, sep=mark, quote='"', escape='"', multiLine=multi_line, enforceSchema=True
+    odd = lines.groupBy("source").agg(F.bool_or(_quotes(F.col("value")) % 2 == 1).alias("odd")).where("odd").select("source")
+    odd = broadcast_if_small(odd)
+    place = F.struct("block", "seq").alias("place")
+    plain = lines.join(odd, "source", "left_anti").select("source", place, "value")
+    order = Window.partitionBy("source").orderBy("block", "seq")
+    before = F.coalesce(F.sum(_quotes(F.col("value"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = lines.join(odd, "source", "left_semi").withColumn("begins", (before % 2 == 0).cast("int"))
+    numbered = begun.withColumn("record", F.sum("begins").over(order))
+    joined = numbered.groupBy("source", "record").agg(
+        F.sort_array(F.collect_list(F.struct("block", "seq", "value"))).alias("parts")
+    )
+    first = F.get("parts", F.lit(0))
+    return plain.unionByName(
+        joined.select(
+            "source",
+            F.struct(first["block"].alias("block"), first["seq"].alias("seq")).alias("place"),
+            F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"),
         )
-        last = {name: i for i, name in enumerate(fields)}
-        pairs = [x for name, i in last.items() for x in (F.lit(name), F.col(f"c{i}"))]
-        part = table.select(source_path().alias("source"), F.create_map(*pairs).alias("row"))
-        rows = part if rows is None else rows.unionByName(part)
-        header_rows += [(path, list(last)) for path in files]
-    if rows is None:
-        return _empty(spark, _ROWS), _empty(spark, _HEADS)
-    heads = pa.table(
-        {"source": [path for path, _ in header_rows], "header": [names for _, names in header_rows]},
-        schema=pa.schema([("source", pa.string()), ("header", pa.list_(pa.string()))]),
     )
-    return rows, spark.createDataFrame(heads)
 
 
-def _json_values(spark: SparkSession, files: list[str]) -> DataFrame:
+def _fields(record: Column, mark: Column, width: int) -> Column:
+    """The fields of a delimited record, ``width`` of them."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+
+    def split(sep: str) -> Column:
+        parsed = F.from_csv(record, schema, {"sep": sep, "quote": '"', "escape": '"'})
+        return F.array(*[parsed[f"c{i}"] for i in range(width)])
+
+    out = F.when(mark == DELIMITERS[0], split(DELIMITERS[0]))
+    for sep in DELIMITERS[1:]:
+        out = out.when(mark == sep, split(sep))
+    return out
+
+
+def text_heads(records: DataFrame) -> DataFrame:
+    """``source, first, mark, header``: the first record of each file, its delimiter, and the fields of its header."""
+    firsts = records.groupBy("source").agg(F.min("place").alias("first"), F.min_by("value", "place").alias("head"))
+    marked = firsts.withColumn("mark", sniff_delimiter(F.col("source"), F.col("head")))
+    # No file has more fields in its header than delimiters and one.
+    count = F.when(F.col("mark").isNotNull(), F.length("head") - F.length(F.replace("head", F.col("mark"), F.lit(""))) + 1)
+    width = max(1, marked.agg(F.max(count)).first()[0] or 1)
+    names = F.filter(_fields(F.col("head"), F.col("mark"), width), lambda name: name.isNotNull())
+    all_fields = F.slice(_fields(F.col("head"), F.col("mark"), width), 1, F.coalesce(count, F.lit(0)))
+    return marked.select("source", "first", "mark", F.when(F.size(names) > 1, all_fields).alias("header"), count.alias("width"))
+
+
+def delimited_rows(records: DataFrame, heads: DataFrame) -> DataFrame:
+    """``source, fields, header`` of every record below its file's header; of equal header names the last one counts.
+
+    ``heads`` is what ``text_heads`` gives; files without a second header field are left out.
+    """
+    headed = heads.where(F.col("header").isNotNull())
+    width = max(1, headed.agg(F.max("width")).first()[0] or 1)
+    below = records.join(broadcast_if_small(headed), "source").where(F.col("place") > F.col("first"))
+    return below.where("value <> ''").select("source", "header", _fields(F.col("value"), F.col("mark"), width).alias("fields"))
+
+
+def _known(name: Column, header: Column, fields: Column) -> Column:
+    """The field below the last header of that name."""
+    place = F.size(header) - F.array_position(F.reverse(header), name)
+    return F.when(F.array_contains(header, name), F.get(fields, place.cast("int")))
+
+
+def _json_values(documents: DataFrame) -> DataFrame:
     """Rows of whole JSON documents: the list itself, or the first known key that holds a list."""
-    document = spark.read.text(files, wholetext=True).select(source_path().alias("source"), "value")
-    document = document.where(F.is_valid_utf8("value"))
-    as_map = F.from_json("value", "map<string,string>")
-    held = F.coalesce(
-        *[
-            F.when(
-                F.try_element_at(as_map, F.lit(key)).startswith("["),
-                F.from_json(F.try_element_at(as_map, F.lit(key)), "array<string>"),
-            )
-            for key in defaults.JSON_ROW_KEYS
-        ]
+    document = documents.where(F.is_valid_utf8("value"))
+    as_map = F.from_json("value", "map<string,string>", JSON_OPTIONS)
+
+    def listed(held_map: Column) -> Column:
+        return F.coalesce(
+            *[
+                F.when(
+                    F.try_element_at(held_map, F.lit(key)).startswith("["),
+                    F.from_json(F.try_element_at(held_map, F.lit(key)), "array<string>", JSON_OPTIONS),
+                )
+                for key in defaults.JSON_ROW_KEYS
+            ]
+        )
+
+    items = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>", JSON_OPTIONS)).otherwise(
+        F.transform(F.array(as_map), listed)[0]
     )
-    items = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(held)
     return document.select("source", F.posexplode(items).alias("seq", "item")).select(
         "source", F.lit(0).cast("bigint").alias("block"), F.col("seq").cast("bigint").alias("seq"), "item"
     )
 
 
-def _json_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Rows of JSON-lines files; one bad line drops its whole file, whose lines are not read again."""
-    lines = text_rows(spark, files).where(F.trim("value") != "")
-    unreadable = ~F.is_valid_utf8("value") | F.try_parse_json("value").isNull()
-    bad = {row["source"] for row in lines.where(unreadable).select("source").distinct().collect()}
-    good = [path for path in files if path not in bad]
-    if not good:
-        return lines.limit(0).withColumnRenamed("value", "item")
-    kept = text_rows(spark, good).where(F.trim("value") != "")
-    return kept.withColumnRenamed("value", "item")
-
-
-def json_rows(spark: SparkSession, files: Sequence[str]):
-    """``(rows, headers)`` of JSON and JSON-lines files; items that are no objects are dropped."""
-    documents = [f for f in files if not f.lower().endswith(".jsonl")]
-    line_files = [f for f in files if f.lower().endswith(".jsonl")]
-    parts = ([_json_values(spark, documents)] if documents else []) + (
-        [_json_lines(spark, line_files)] if line_files else []
-    )
-    if not parts:
-        return _empty(spark, _ROWS), _empty(spark, _HEADS)
-    items = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = items.where(F.ltrim("item").startswith("{")).withColumn("row", F.from_json("item", "map<string,string>"))
+def _unreadable(line: Column) -> Column:
+    """Whether a line is no JSON. Variants end at 16 MB, so a line that gives none is read as an object or a list."""
+    checked = F.from_json(line, "__other string, __bad string", {**JSON_OPTIONS, "columnNameOfCorruptRecord": "__bad"})
+    as_list = F.ltrim(line).startswith("[") & F.from_json(line, "array<string>", JSON_OPTIONS).isNotNull()
+    return F.when(F.try_parse_json(line).isNotNull(), False).otherwise(checked["__bad"].isNotNull() & ~as_list)
+
+
+def _json_lines(lines: DataFrame) -> DataFrame:
+    """Rows of JSON-lines files; one bad line drops its whole file."""
+    kept = lines.where(F.trim("value") != "")
+    bad = kept.where(~F.is_valid_utf8("value") | _unreadable(F.col("value"))).select("source").distinct()
+    return kept.join(broadcast_if_small(materialize(bad, "bad-files")), "source", "left_anti").withColumnRenamed("value", "item")
+
+
+def json_rows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(rows, headers)`` of JSON items (``source, block, seq, item``); items that are no objects are dropped."""
+    parsed = items.where(F.ltrim("item").startswith("{")).withColumn("row", F.from_json("item", "map<string,string>", JSON_OPTIONS))
+    rows = materialize(parsed.select("source", "block", "seq", "row"), "json-rows")
     heads = rows.groupBy("source").agg(F.min_by(F.map_keys("row"), F.struct("block", "seq")).alias("header"))
     return rows.select("source", "row"), heads
 
@@ -146,14 +189,23 @@ def records_from_rows(
     root: str,
     aliases: Mapping[str, Sequence[str]] = defaults.CATEGORY_ALIASES,
 ) -> DataFrame:
-    """Resolve the image, then class and split of each row; rows that lack any of them are dropped."""
+    """Resolve the image, then class and split of each row; rows that lack any of them are dropped.
+
+    ``rows`` has a map ``row``, or the arrays ``header`` and ``fields``.
+    """
     located = rows.join(broadcast_if_small(header_columns(heads)), "source").where("image_col is not null")
+
+    def field(name: str) -> Column:
+        if "row" in rows.columns:
+            return F.try_element_at("row", F.col(name))
+        return _known(F.col(name), F.col("header"), F.col("fields"))
+
     raw = located.select(
         "source",
         "file_split",
-        F.try_element_at("row", F.col("image_col")).alias("raw_path"),
-        tokens.canonical_category(F.try_element_at("row", F.col("label_col")), aliases).alias("given_category"),
-        tokens.canonical_split(F.try_element_at("row", F.col("split_col"))).alias("given_split"),
+        field("image_col").alias("raw_path"),
+        tokens.canonical_category(field("label_col"), aliases).alias("given_category"),
+        tokens.canonical_split(field("split_col")).alias("given_split"),
     )
     found = resolve_paths(raw, inventory, root, "raw_path")
     return found.select(
@@ -206,33 +258,32 @@ def annotation_records(
     root: str,
     inventory: DataFrame,
     aliases: Mapping[str, Sequence[str]] = defaults.CATEGORY_ALIASES,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Records of all annotation files below ``root``, with their source file, before removing duplicates.
+    """Records of all annotation files of the inventory, with their source file, before removing duplicates.
 
-    A delimited file that yields no record under its header is read again as a headerless list. Only file names and
-    header lines reach the driver.
+    The files lie below ``folder`` (``root`` unless given). A delimited file that yields no record under its header is
+    taken for a headerless list; one that is not UTF-8 is passed over.
     """
-    names = [row["path"] for row in annotation_files(inventory).collect()]
-    json_files = [n for n in names if n.lower().endswith((".json", ".jsonl"))]
-    text_files = [n for n in names if n not in set(json_files)]
+    folder = folder or root
+    if not exists(spark, folder):
+        return spark.createDataFrame([], RECORD_SCHEMA)
+    listed = annotation_files(inventory)
     pictures = inventory.where(paths.is_image(F.col("path")))
 
-    parts = []
-    if json_files:
-        rows, heads = json_rows(spark, json_files)
-        parts.append(records_from_rows(rows, heads, pictures, root, aliases))
-    if text_files:
-        heads = [tuple(r) for r in _file_heads(spark, text_files).where("not undecodable").drop("undecodable").collect()]
-        rows, headers = delimited_rows(spark, heads)
-        headed = materialize(records_from_rows(rows, headers, pictures, root, aliases), "annotations")
-        parts.append(headed)
-        done = {row["source"] for row in headed.select("source").distinct().collect()}
-        rest = [path for path, _ in heads if path not in done]
-        if rest:
-            parts.append(records_from_lists(text_rows(spark, rest), pictures, root, aliases))
-    if not parts:
-        return _empty(spark, RECORD_SCHEMA)
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    documents = _json_values(_lines(spark, folder, listed, ".json", whole=True))
+    rows, heads = json_rows(documents.unionByName(_json_lines(_lines(spark, folder, listed, ".jsonl"))))
+    from_json = records_from_rows(rows, heads, pictures, root, aliases)
+
+    lines = _lines(spark, folder, listed, *TEXT_SUFFIXES)
+    broken = lines.where(~F.is_valid_utf8("value")).select("source").distinct()
+    # The positions must be the same for all that follows.
+    lines = materialize(lines.join(broadcast_if_small(broken), "source", "left_anti"), "annotation-lines")
+    records = logical_records(lines)
+    heads = materialize(text_heads(records), "annotation-heads")
+    rows = delimited_rows(records, heads)
+    headed = records_from_rows(rows, heads.where(F.col("header").isNotNull()), pictures, root, aliases)
+    headed = materialize(headed, "annotations")
+    done = headed.select("source").distinct()
+    rest = lines.join(broadcast_if_small(done), "source", "left_anti").select("source", "value")
+    return from_json.unionByName(headed).unionByName(records_from_lists(rest, pictures, root, aliases))

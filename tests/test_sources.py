@@ -81,6 +81,32 @@ def test_annotation_records(spark, dataset):
     assert records.missing_categories(combined).count() == 0
 
 
+def test_quoted_line_breaks_and_long_strings(spark, tmp_path):
+    root = tmp_path / "d"
+    for name in ("imgs/h1.png", "imgs/h2.png", "imgs/tb1.png"):
+        put(root, name)
+    put(root, "meta/a.csv", 'path,"a\nlong ""name""",label,split\nimgs/h1.png,"two\nlines, ""quoted""",latent tb,train\n\nimgs/tb1.png,x,healthy,val\n')
+    put(root, "meta/b.tsv", 'path\tlabel\tlabel\tset\nimgs/h2.png\thealthy\t"active\n tb"\ttest\n')
+    put(root, "meta/c.jsonl", json.dumps({"path": "imgs/h1.png", "note": "y" * 21_000_000, "label": "healthy", "set": "val"}) + "\n5\n[1]\n")
+    put(root, "meta/d.json", json.dumps({"records": [{"path": "imgs/h2.png", "note": "z" * 21_000_000, "label": "tb", "set": "val"}]}))
+    found = annotations.annotation_records(spark, str(root), files.file_inventory(spark, str(root))).collect()
+    assert sorted((r["source"][-5:], r["path"][-6:], r["split"], r["category"]) for r in found) == [
+        (".json", "h2.png", "val", "active_tb"), ("a.csv", "b1.png", "val", "healthy"),
+        ("a.csv", "h1.png", "train", "latent_tb"), ("b.tsv", "h2.png", "test", "active_tb"), ("jsonl", "h1.png", "val", "healthy")]
+
+
+def test_many_small_annotation_files(spark, tmp_path):
+    root = tmp_path / "d"
+    for number in range(1500):
+        put(root, f"imgs/{number}.png")
+        put(root, f"meta/{number}.csv", f"path,label,c{number % 7}\nimgs/{number}.png,healthy,x\n")
+    found = annotations.annotation_records(spark, str(root), files.file_inventory(spark, str(root)))
+    assert found.where("category = 'healthy'").count() == 0  # no split is told
+    put(root, "meta/train.csv", "path,label\n" + "".join(f"imgs/{n}.png,healthy\n" for n in range(1500)))
+    found = annotations.annotation_records(spark, str(root), files.file_inventory(spark, str(root)))
+    assert found.count() == 1500
+
+
 def test_folder_dataset(spark, tmp_path):
     root = tmp_path / "d"
     for name in ("train/h1.png", "val/tb2.png", "misc/s3.png", "misc/other.png"):
