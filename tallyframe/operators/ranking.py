@@ -11,6 +11,8 @@ from tallyframe.session import BROADCAST_ROW_LIMIT, broadcast_if_small, material
 
 # Up to this k Spark keeps only k rows per group before a shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
+# Larger k: a sample with about SAMPLE_BELOW rows among the first k of a group shows where to cut, SAMPLE_RANK rows on.
+SAMPLE_BELOW, SAMPLE_RANK = 400, 520
 # First-stage pieces per group; the second stage then sees at most SALTS * k rows of any group.
 SALTS = 64
 
@@ -60,16 +62,41 @@ def global_rank(
     )
 
 
+def _cut(df: DataFrame, order: Sequence[str | Column], group: Sequence[str], k: int) -> DataFrame:
+    """The rows of ``df`` that can be among the first ``k`` of their group, and some more.
+
+    Groups with too few sampled rows are kept whole. Should a cut leave fewer than ``k`` rows of a group, all rows are
+    kept; so are they for descending orders.
+    """
+    keys = _columns(order)
+    if any(" DESC" in str(key) or " ASC" in str(key) for key in keys):
+        return df
+    key = F.struct(*[column.alias(f"k{i}") for i, column in enumerate(keys)])
+    share = int(SAMPLE_BELOW / k * (1 << 30))
+    drawn = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share)
+    names = [f"__g{i}" for i in range(len(group))]
+    drawn = drawn.select(*[F.col(g).alias(n) for g, n in zip(group, names)], key.alias("__cut"))
+    last = smallest_per_group(drawn, ["__cut"], names, SAMPLE_RANK, "__rank").where(F.col("__rank") == SAMPLE_RANK)
+    # One row per group that is cut.
+    cuts = broadcast_if_small(materialize(last.select(*names, "__cut"), "cuts"))
+    same = F.lit(True)
+    for g, n in zip(group, names):
+        same = same & df[g].eqNullSafe(cuts[n])
+    near = materialize(df.join(cuts, same, "left").where(F.col("__cut").isNull() | (key <= F.col("__cut"))), "near")
+    short = near.where(F.col("__cut").isNotNull()).groupBy(*names).count().where(F.col("count") < k)
+    return near.select(*df.columns) if short.isEmpty() else df
+
+
 def smallest_per_group(
     df: DataFrame, order: Sequence[str | Column], group: Sequence[str], k: int, rank_col: str = "rank"
 ) -> DataFrame:
     """The first ``k`` rows of each group with their 1-based rank; ``order`` must be unique inside a group.
 
-    Small k: each task keeps k rows per group, pieces of a group are reduced in parallel, then merged. Large k: the
-    distributed rank.
+    Small k: each task keeps k rows per group, pieces of a group are reduced in parallel, then merged. Large k: a cut
+    taken from a sample leaves little more than k rows of each group, and these are ranked.
     """
     if k > GROUP_LIMIT:
-        return global_rank(df, order, group, rank_col).where(F.col(rank_col) <= k)
+        return global_rank(_cut(df, order, group, k), order, group, rank_col).where(F.col(rank_col) <= k)
     keys = _columns(order)
     salted = df.withColumn("__salt", F.spark_partition_id() % SALTS)
     first = Window.partitionBy(*group, "__salt").orderBy(*keys)
@@ -85,7 +112,5 @@ def smallest_per_group(
 
 def smallest(df: DataFrame, order: Sequence[str | Column], k: int, rank_col: str = "rank") -> DataFrame:
     """The first ``k`` rows of the table with their 1-based rank."""
-    if k > GROUP_LIMIT:
-        return global_rank(df, order, (), rank_col).where(F.col(rank_col) <= k)
     whole = df.withColumn("__all", F.lit(0))
     return smallest_per_group(whole, order, ["__all"], k, rank_col).drop("__all")

@@ -29,10 +29,10 @@ def choose_samples(
     samples: DataFrame, limit_per_class: int | None = None, limit: int | None = None,
     classes: Sequence[str] = defaults.CLASS_LABELS,
 ) -> DataFrame:
-    """A stratified choice, else the first ``limit`` samples, else all."""
+    """A stratified choice, else the first ``limit`` samples (``index`` is dense), else all."""
     if limit_per_class is not None:
         return sampling.stratified_limit(samples, "true_label", ["index"], limit_per_class, classes, strict=True)
-    return sampling.first_rows(samples, limit, ["index"])
+    return samples if limit is None else samples.where(F.col("index") < limit)
 
 
 def evaluate(

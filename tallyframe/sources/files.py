@@ -62,21 +62,22 @@ def text_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def indexed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Non-blank lines with a dense 0-based ``index`` in file order; nothing is shuffled or sorted.
+    """Non-blank lines with a dense 0-based ``index`` in file order; no line is shuffled, sorted or written.
 
-    Lines are counted per block of a file; a line's index is the number of lines in earlier blocks plus its place in
-    its own block.
+    A first pass counts lines per block of a file; a line's index is the number of lines in earlier blocks plus its
+    place in its own block. Both passes split the same files alike, so their places agree.
     """
     kept = spark.read.text(path).select(
         source_path().alias("source"), F.col("_metadata.file_block_start").alias("block"), "value"
     ).where(F.trim("value") != "")
-    placed = materialize(kept.withColumn("slot", F.monotonically_increasing_id()), "lines")
+    placed = kept.withColumn("slot", F.monotonically_increasing_id())
     blocks = placed.groupBy("source", "block").agg(F.count("*").alias("n"), F.min("slot").alias("first"))
     # One row per block of the input.
     earlier = Window.orderBy("source", "block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
         "source", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")
     )
+    offsets = materialize(offsets, "blocks")
     return placed.join(broadcast_if_small(offsets), ["source", "block"]).select(
         "source", (F.col("slot") + F.col("shift")).alias("index"), "value"
     )

@@ -168,3 +168,23 @@ def test_null_labels_are_a_class_of_their_own(spark):
     assert sorted((r["key"], r["weight"]) for r in weighted.collect()) == [(1, 0.5), (2, 0.5), (3, 1.0)]
     with pytest.raises(ValueError, match="label in every row"):
         sampling.weighted_draws(rows, "label", ["key"])
+
+
+@pytest.mark.parametrize("k", [1001, 3000, 20_000])
+def test_large_k_is_cut_before_it_is_ranked(spark, k):
+    rows = spark.range(40_000).select(
+        F.xxhash64("id").alias("key"), F.when(F.col("id") % 3 != 0, F.col("id") % 2).alias("group"), F.lit("text").alias("t"))
+    ranked = ranking.smallest_per_group(rows, ["key"], ["group"], k).collect()
+    wanted = {}
+    for row in sorted(rows.collect(), key=lambda r: r["key"]):
+        listed = wanted.setdefault(row["group"], [])
+        if len(listed) < k:
+            listed.append(row["key"])
+    found = {}
+    for row in sorted(ranked, key=lambda r: r["rank"]):
+        found.setdefault(row["group"], []).append(row["key"])
+        assert len(found[row["group"]]) == row["rank"]
+    assert found == wanted
+    if k < 20_000:
+        assert ranking._cut(rows, ["key"], ["group"], k).count() < 3 * 1.6 * k
+    assert [r["key"] for r in ranking.smallest(rows, ["key"], k).orderBy("rank").collect()] == sorted(r["key"] for r in rows.collect())[:k]
