@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm.batches import bound_batches
 from tallyframe.session import materialize
 
 RATE = 4000
@@ -159,6 +160,7 @@ def align_recordings(recordings: DataFrame, queries: Column, id_col: str = "rec_
     Candidates share one of the query's rarer pairs. As many of the commonest are left out as a match can do without, so
     no match is lost, and pairs that most recordings hold are not joined.
     """
+    bound_batches(recordings.sparkSession)
     stored = materialize(
         recordings.select(F.col(id_col), F.col(ints_col).alias("ints"), queries.alias("is_query")), "audio-prints"
     )

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.batches import bound_batches
+
 ROUNDS = 8
 
 # Letters that stay within their kind; other characters of a value stay as they are.
@@ -258,6 +260,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     """
     if not 16 <= len(key) <= 64:
         raise ValueError("a key has 16 to 64 bytes")
+    bound_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<text string, n bigint>")
     def masked(texts: pa.Array) -> pa.Array:

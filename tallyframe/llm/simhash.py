@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from tallyframe.llm.batches import bound_batches
 from tallyframe.llm.components import connected_components
 from tallyframe.session import materialize
 
@@ -168,6 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id (null ids aside) that is reached over links of fingerprints differing in at most
     four bits; copies share a fingerprint, and so do texts without words. It is null only where all ids are.
     """
+    bound_batches(docs.sparkSession)
     bits = "__llm_bits"
     stored = materialize(docs.withColumn(bits, fingerprint(F.col(text_col))).drop("fingerprint", "component_id"), "simhash-rows")
     prints = materialize(
@@ -186,6 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that with the smallest id (null first, any one of equal ids), columns unchanged."""
+    bound_batches(docs.sparkSession)
     uid = "__llm_uid"
     stored = materialize(
         docs.withColumns({"__llm_bits": fingerprint(F.col(text_col)), uid: F.monotonically_increasing_id()}), "keep-one"

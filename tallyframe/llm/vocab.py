@@ -10,6 +10,8 @@ import public_tokenizers
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
+from tallyframe.llm.batches import bound_batches
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_PATTERN = public_tokenizers.PATTERN
@@ -19,7 +21,8 @@ MAX_VOCABULARY_BYTES = 64 << 20
 
 
 def broadcast_file(spark: SparkSession, path: str) -> Broadcast:
-    """The bytes of the vocabulary file at ``path`` (a folder of the driver), for use in tasks."""
+    """The bytes of the vocabulary file at ``path`` (a folder of the driver), for use in tasks that read texts."""
+    bound_batches(spark)
     size = os.path.getsize(path)
     if size > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path} has {size} bytes; a vocabulary has {MAX_VOCABULARY_BYTES} at most")
