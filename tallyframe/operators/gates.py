@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
+from tallyframe.functions.messages import structured_label
 from tallyframe.operators.metrics import prediction_count, zero_recall_labels
 
 GATES = ("none", "run3-diagnostic", "run4-diagnostic", "run3-full")
@@ -190,6 +191,12 @@ def ablation_checks(
     return metrics.select(*by, F.lit("ablation").alias("gate"), F.inline(F.array(*checks)))
 
 
+def all_structured(answers: DataFrame, classes: Sequence[str] = defaults.CLASS_LABELS) -> DataFrame:
+    """Whether every ``text`` is nothing but one answer line with a known class; one row, false without answers."""
+    good = structured_label(F.col("text"), classes).isNotNull()
+    return answers.agg(F.coalesce(F.bool_and(F.coalesce(good, F.lit(False))), F.lit(False)).alias("passed"))
+
+
 def combined_verdict(*parts: DataFrame | None, by: Sequence[str] = ()) -> DataFrame:
     """Whether all given results passed; a part that is None is left out."""
     present = [part.select(*by, "passed") for part in parts if part is not None]

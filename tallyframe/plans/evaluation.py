@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
@@ -21,8 +22,8 @@ class Evaluation:
     predictions: DataFrame
     metrics: DataFrame
     gate_checks: DataFrame | None
-    delta: DataFrame
-    verdict: DataFrame
+    delta: DataFrame | None
+    verdict: DataFrame | None
 
 
 def choose_samples(
@@ -41,23 +42,59 @@ def evaluate(
     gate: str = "none",
     classes: Sequence[str] = defaults.CLASS_LABELS,
     positive: Sequence[str] = defaults.POSITIVE_LABELS,
-    baseline=defaults.FULL_PRECISION_BASELINE,
+    baseline: Mapping | None = defaults.FULL_PRECISION_BASELINE,
     output: str | None = None,
+    answers: DataFrame | None = None,
+    metadata: Mapping[str, str] | None = None,
 ) -> Evaluation:
-    """Score every sample once and derive everything else from the written predictions."""
+    """Score every sample once and derive everything else from the written predictions.
+
+    Without ``baseline`` nothing is compared. ``answers`` (a column ``text``) adds the check that each of them is one
+    answer line with a known class. The verdict is over the gate, the comparison and the answers, as far as there are
+    any; None without all three. The stored document holds them too, and ``metadata``.
+    """
     scored = scoring.score_conversations(samples, scorer, classes, positive)
     predictions = materialize(scored, "predictions")
     document = materialize(metrics.compute_metrics(predictions, classes, positive), "metrics")
     if document.isEmpty():
         raise ValueError("There are no predictions to evaluate.")
     checks = gates.gate_checks(document, gate, classes=classes)
-    delta = gates.baseline_delta(document, baseline)
-    verdict = gates.combined_verdict(gates.gate_result(checks) if checks is not None else None, delta)
+    result = gates.gate_result(checks) if checks is not None else None
+    delta = gates.baseline_delta(document, baseline) if baseline is not None else None
+    structured = None if answers is None else gates.all_structured(answers, classes)
+    parts = [part for part in (result, delta, structured) if part is not None]
+    verdict = gates.combined_verdict(*parts) if parts else None
     if output is not None:
-        sinks.write_evaluation(document, predictions, output)
+        stored = with_results(document, result, delta, structured)
+        for name, value in (metadata or {}).items():
+            stored = stored.withColumn(name, F.lit(value))
+        sinks.write_evaluation(stored, predictions, output)
     return Evaluation(predictions, document, checks, delta, verdict)
 
 
+def with_results(
+    document: DataFrame, gate: DataFrame | None = None, delta: DataFrame | None = None, structured: DataFrame | None = None,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """The document with what was decided on it: ``gate`` (name, passed), ``delta`` and ``structured_output``."""
+
+    def joined(left: DataFrame, right: DataFrame, name: str, value) -> DataFrame:
+        # One row per document on both sides.
+        side = right.select(*[F.col(key).alias(f"__{i}") for i, key in enumerate(by)], value.alias(name))
+        if not by:
+            return left.withColumn(name, side.scalar())
+        same = reduce(Column.__and__, [left[key].eqNullSafe(side[f"__{i}"]) for i, key in enumerate(by)])
+        return left.join(side, same, "left").drop(*[f"__{i}" for i in range(len(by))])
+
+    if gate is not None:
+        document = joined(document, gate, "gate", F.struct(F.col("gate").alias("name"), "passed"))
+    if delta is not None:
+        document = joined(document, delta, "delta", F.struct(*[c for c in delta.columns if c not in by]))
+    if structured is not None:
+        document = joined(document, structured, "structured_output", F.col("passed"))
+    return document
+
+
 def class_centroids(df: DataFrame, label_col: str, vector_col: str) -> DataFrame:
     """Mean vector per class as ``(label, centroid)``; sums are combined before the shuffle."""
     cells = df.select(label_col, F.posexplode(vector_col).alias("pos", "x"))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators import gates, metrics, records
+from tallyframe.plans import evaluation
 from tallyframe.plans import fixtures as fx
 from tallyframe.plans import label_queries as lq
 from tallyframe.plans import metric_queries as mq
 from tallyframe.plans.registry import query, table
+from tallyframe.session import materialize, scratch_path
+from tallyframe.sources import conversations as readers
 
 _CLASSES = fx.QUALITY_CLASSES
 _EVENTS_SQL = """
@@ -80,6 +83,32 @@ def verdict_of_events(spark, sf_dir):
     return gates.combined_verdict(gate, gates.baseline_delta(documents, mq._BASELINE, 0.02, ["source"]), by=["source"])
 
 
+_STEP_SQL = "CASE source WHEN 'exact' THEN 1 WHEN 'large' THEN 2 WHEN 'middle' THEN 3 WHEN 'flat' THEN 4 ELSE 5 END"
+
+
+@query(f"""{_BY_SOURCE_SQL} SELECT {_STEP_SQL}::BIGINT AS step, true AS found, 'run3-diagnostic' AS gate, bool_and(passed) AS gate_passed,
+  bool_and(passed) AND any_value(f1) - 0.33::DOUBLE > 0.005 AND any_value(acc) - 0.52::DOUBLE > 0.005 AS better
+  FROM ({mq._EARLY_SQL}) JOIN (SELECT source, macro_f1 AS f1, accuracy AS acc FROM totals) USING (source) GROUP BY source
+  UNION ALL SELECT 9, false, NULL, NULL, NULL""")
+def stored_gates(spark, sf_dir):
+    """Documents with their gates are written, read back per step, and judged against an earlier run."""
+    documents = materialize(event_documents(spark, sf_dir), "documents")
+    result = gates.gate_result(gates.gate_checks(documents, "run3-diagnostic", 200, _CLASSES, ["source"]), ["source"])
+    names = F.array(*[F.lit(name) for name in ("exact", "large", "middle", "flat", "blind")])
+    stored = evaluation.with_results(documents, result, by=["source"])
+    path = scratch_path(spark, "gates")
+    step = F.array_position(names, F.col("source")).alias("step")
+    document = F.to_json(F.struct(*sorted(stored.columns)), {"ignoreNullFields": "false"}).alias("value")
+    stored.select(step, document).write.partitionBy("step").text(path)
+    read = readers.checkpoint_metrics(spark, f"{path}/step=*", [1, 2, 3, 4, 5, 9], r"step=([0-9]+)")
+    baseline = {**mq._BASELINE, "per_class_f1": {}}
+    checked = gates.ablation_checks(read.where("found"), F.col("gate.passed"), baseline, 0.005, {}, ["step"])
+    better = checked.groupBy("step").agg(F.bool_and("passed").alias("better"))
+    return read.join(better, "step", "left").select(
+        "step", "found", F.col("gate.name").alias("gate"), F.col("gate.passed").alias("gate_passed"), "better"
+    )
+
+
 def _without_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lq.annotated(spark, sf_dir).where("category <> 'active_tb'")
 

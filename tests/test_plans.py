@@ -42,10 +42,22 @@ def test_evaluate(spark, samples, tmp_path):
     row = done.predictions.where("index = 1").first()
     assert row["predicted_label"] == "active_tb" and row["class_log_likelihoods"]["healthy"] == -2.0
     assert sum(row["class_probabilities"].values()) == pytest.approx(1.0)
+    stored = json.loads(spark.read.text(str(tmp_path / "e" / "eval_results.json")).first()[0])
+    assert stored["gate"] == {"name": "run3-diagnostic", "passed": False} and stored["delta"]["passed"] is False
     with pytest.raises(ValueError, match="no predictions"):
         evaluation.evaluate(samples.limit(0), knowing_scorer)
 
 
+def test_evaluate_without_baseline(spark, samples, tmp_path):
+    answers = spark.createDataFrame([("Classification: healthy",), ("Classification: active_tb",)], "text string")
+    done = evaluation.evaluate(samples, knowing_scorer, baseline=None, output=str(tmp_path / "e"), answers=answers, metadata={"run": "4"})
+    stored = json.loads(spark.read.text(str(tmp_path / "e" / "eval_results.json")).first()[0])
+    assert done.delta is None and done.verdict.first()["passed"] and stored["structured_output"] is True and stored["run"] == "4"
+    loose = answers.unionByName(spark.createDataFrame([("Finding: healthy",)], "text string"))
+    assert not evaluation.evaluate(samples, knowing_scorer, baseline=None, answers=loose).verdict.first()["passed"]
+    assert evaluation.evaluate(samples, knowing_scorer, baseline=None).verdict is None
+
+
 def test_choose_samples(samples):
     assert evaluation.choose_samples(samples, limit_per_class=2).count() == 6
     assert [r["index"] for r in evaluation.choose_samples(samples, limit=3).orderBy("index").collect()] == [0, 1, 2]
