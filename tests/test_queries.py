@@ -26,3 +26,19 @@ def test_driver_contract(spark):
     first = driver.entry(spark)
     assert first.columns == ["metric", "label", "other", "value"]
     assert first.count() > 0
+
+
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(driver.queries()) == set(QUERIES) and "pipeline" not in driver.queries()
+    assert set(driver.oracle_sql()) <= set(QUERIES)
+
+
+def test_nothing_imports_the_optional_subpackage():
+    import pathlib
+
+    root = pathlib.Path(driver.__file__).parent
+    others = [f for f in (root / "tallyframe").rglob("*.py") if "llm" not in f.relative_to(root).parts]
+    assert len(others) > 20 and not any("llm" in f.read_text() for f in others)
