@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe import session
 from tallyframe.operators import audit, metrics, records
 from tallyframe.plans import dataset_build
 from tallyframe.sources import annotations, files, sinks
@@ -245,3 +246,12 @@ def test_count_differences(spark):
     expected = spark.createDataFrame([("train", "a", 2), ("train", "b", 1)], "split string, category string, n bigint")
     found = records.count_differences(rows, expected).orderBy("split").collect()
     assert [tuple(r) for r in found] == [("train", "b", 1, 0), ("val", "z", 0, 1)]
+
+
+def test_scratch_tables_are_deleted_by_their_owner(spark):
+    kept = session.materialize(spark.range(3), "kept")
+    with session.scratch_tables(spark):
+        path = session.scratch_path(spark, "mine")
+        spark.range(3).write.parquet(path)
+        assert files.exists(spark, path) and session.materialize(spark.range(2), "inner").count() == 2
+    assert not files.exists(spark, path) and kept.count() == 3
