@@ -268,12 +268,23 @@ def annotation_records(
     folder = folder or root
     if not exists(spark, folder):
         return spark.createDataFrame([], RECORD_SCHEMA)
-    listed = annotation_files(inventory)
+    listed = materialize(annotation_files(inventory).select("path"), "annotation-names")
+    name = F.lower("path")
+    kinds = listed.agg(
+        F.bool_or(name.endswith(".json")).alias("documents"),
+        F.bool_or(name.endswith(".jsonl")).alias("lines"),
+        F.bool_or(~name.rlike("[.]jsonl?$")).alias("text"),
+    ).first()
     pictures = inventory.where(paths.is_image(F.col("path")))
+    found = spark.createDataFrame([], RECORD_SCHEMA)
 
-    documents = _json_values(_lines(spark, folder, listed, ".json", whole=True))
-    rows, heads = json_rows(documents.unionByName(_json_lines(_lines(spark, folder, listed, ".jsonl"))))
-    from_json = records_from_rows(rows, heads, pictures, root, aliases)
+    items = [_json_values(_lines(spark, folder, listed, ".json", whole=True))] if kinds["documents"] else []
+    items += [_json_lines(_lines(spark, folder, listed, ".jsonl"))] if kinds["lines"] else []
+    if items:
+        rows, heads = json_rows(items[0] if len(items) == 1 else items[0].unionByName(items[1]))
+        found = found.unionByName(records_from_rows(rows, heads, pictures, root, aliases))
+    if not kinds["text"]:
+        return found
 
     lines = _lines(spark, folder, listed, *TEXT_SUFFIXES)
     broken = lines.where(~F.is_valid_utf8("value")).select("source").distinct()
@@ -286,4 +297,4 @@ def annotation_records(
     headed = materialize(headed, "annotations")
     done = headed.select("source").distinct()
     rest = lines.join(broadcast_if_small(done), "source", "left_anti").select("source", "value")
-    return from_json.unionByName(headed).unionByName(records_from_lists(rest, pictures, root, aliases))
+    return found.unionByName(headed).unionByName(records_from_lists(rest, pictures, root, aliases))
