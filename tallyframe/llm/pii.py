@@ -31,12 +31,13 @@ ALPHABETS = (
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
 )
 _KIND = {letter: alphabet for alphabet in ALPHABETS for letter in alphabet}
+HEX_OF_BOTH_CASES = "0123456789abcdefABCDEF"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 _PATTERN = re.compile(
     r"""
     (?P<email>(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)+)
-  | (?P<secret>(?<!\w)(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?!\w))
+  | (?P<secret>(?<!\w)(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?!\w))
   | (?P<iban>(?<!\w)[A-Z]{2}\d\d(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
   | (?P<ymd>(?<![\w-])\d{4}-\d\d-\d\d(?![\w-]))
   | (?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w))
@@ -193,8 +194,26 @@ def _email(value: str, key: bytes, undo: bool) -> str | None:
     return _letters(f"{name}@{labels}", key, "email", undo) + "." + top
 
 
+def _one_case(value: str) -> bool:
+    return value in (value.lower(), value.upper())
+
+
 def _secret(value: str, key: bytes, undo: bool) -> str:
-    return f"{permute(int(value, 16), 16 ** len(value), key, 'secret', undo):0{len(value)}x}"
+    if _one_case(value):
+        other = f"{permute(int(value, 16), 16 ** len(value), key, 'secret', undo):0{len(value)}x}"
+        return other.upper() if value == value.upper() else other
+    # Both cases in one value: each digit is one of 22, and what would have one case only is permuted again.
+    size = len(HEX_OF_BOTH_CASES)
+    number = functools.reduce(lambda n, digit: n * size + HEX_OF_BOTH_CASES.index(digit), value, 0)
+    while True:
+        number = rest = permute(number, size ** len(value), key, "secret of both cases", undo)
+        digits = []
+        for _ in value:
+            rest, place = divmod(rest, size)
+            digits.append(HEX_OF_BOTH_CASES[place])
+        other = "".join(reversed(digits))
+        if not _one_case(other):
+            return other
 
 
 KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {
@@ -255,7 +274,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
 
     Found: e-mail addresses, phone numbers, payment cards (Luhn), IBANs (modulo 97), social security numbers, IPv4
     addresses, dates (year-month-day; day.month.year; month/day/year; 1900 to 2099) and keys of 32 to 64 hexadecimal
-    digits. What fails its validation stays as it is; so do all other characters. ``key`` has 16 to 64 bytes. A null
+    digits in lower, upper or both cases. What fails its validation stays as it is; so do all other characters. ``key`` has 16 to 64 bytes. A null
     text stays null with 0 values. Rows and other columns stay.
     """
     if not 16 <= len(key) <= 64:

@@ -378,6 +378,17 @@ def test_pseudonymize_documents(spark, awkward, nothing):
     assert pii.pseudonymize(nothing, KEY).collect() == []
 
 
+def test_keys_of_either_case():
+    lower = VALUES["secret"][0]
+    mixed = lower[:20].upper() + lower[20:]
+    other = pii.pseudonym("secret", lower, KEY)
+    assert pii.replace(f'TOKEN = "{lower.upper()}"', KEY) == (f'TOKEN = "{other.upper()}"', 1)
+    assert pii.pseudonym("secret", other.upper(), KEY, True) == lower.upper()
+    text, count = pii.replace(f"{mixed};", KEY)
+    assert count == 1 and text != f"{mixed};" and text not in (text.lower(), text.upper())
+    assert pii.pseudonym("secret", text[:-1], KEY, True) == mixed
+
+
 def test_planted_values_are_gone(spark):
     texts = {r.doc_id: r.text for r in queries.documents(spark, SF.replace("0.001", "0.01")).collect()}
     planted = r"\S+@mail\d\.example\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{1,3}(?:\.\d{1,3}){3}\b"
