@@ -39,17 +39,29 @@ _PATTERN = re.compile(
     (?P<email>(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)+)
   | (?P<secret>(?<!\w)(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?!\w))
   | (?P<iban>(?<!\w)[A-Z]{2}\d\d(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
-  | (?P<ymd>(?<![\w-])\d{4}-\d\d-\d\d(?![\w-]))
+  | (?P<ymd>(?<![\w-])\d{4}-\d\d-\d\d(?:(?![\w-])|(?=T\d\d|t\d\d|Z\b)))
   | (?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w))
-  | (?P<dmy>(?<![\w./])\d{1,2}(?P<mark>[./])\d{1,2}(?P=mark)\d{4}(?![\w/]))
+  | (?P<dmy>(?<![\w./])\d{1,2}(?P<mark>[./])\d{1,2}(?P=mark)\d{4}(?:(?![\w/])|(?=T\d\d)))
   | (?P<phone>(?<![\w+])\+1[\ .-]?(?:\(\d{3}\)|\d{3})[\ .-]?\d{3}[\ .-]?\d{4}(?!\w)
       |(?<![\w+])\+\d{1,3}[\ .-]?(?:\(\d{1,4}\)[\ .-]?|\d{1,4}[\ .-])\d{2,4}(?:[\ .-]?\d{2,4}){1,3}(?!\w)
+      |(?<![\w+])\+\d{7,15}(?!\w|\.\d)
       |(?<!\w)\(\d{3}\)\ ?\d{3}[\ .-]\d{4}(?!\w)|(?<![\w-])\d{3}(?P<between>[.-])\d{3}(?P=between)\d{4}(?![\w-]))
   | (?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
   | (?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<fours>[\ -])\d{4}(?P=fours)\d{4}(?P=fours)\d{1,7}|\d{4}(?P<six>[\ -])\d{6}(?P=six)\d{5})(?!\w))
     """,
     re.VERBOSE,
 )
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _SIGN = re.compile(r"[0-9@]\S*+")
 # Characters behind a word with a digit that may belong to the same value.
 REACH = 40
@@ -121,6 +133,16 @@ def _iban_remainder(letters: str) -> int:
     return int("".join(str(int(letter, 36)) for letter in letters[4:] + letters[:4])) % 97
 
 
+def _ibans(value: str) -> list[str]:
+    """What may be the IBAN at the start of ``value``, which can hold words behind it: of its country's length, or all of
+    it; for other countries any beginning."""
+    beginnings = [value[:at] for at in range(len(value), 0, -1) if at == len(value) or value[at] == " "]
+    length = IBAN_LENGTHS.get(value[:2])
+    if length is None:
+        return beginnings
+    return sorted((v for v in beginnings if v == value or len(v.replace(" ", "")) == length), key=len)
+
+
 def _iban(value: str, key: bytes, undo: bool) -> str | None:
     letters = value.replace(" ", "")
     if _iban_remainder(letters) != 1:
@@ -131,7 +153,8 @@ def _iban(value: str, key: bytes, undo: bool) -> str | None:
     return "".join(letter if letter == " " else next(rest) for letter in value)
 
 
-def _date(year: str, month: str, day: str, key: bytes, undo: bool) -> datetime.date | None:
+def _date(year: str, month: str, day: str, key: bytes, undo: bool, first_day: int = 1) -> datetime.date | None:
+    """The pseudonym of a date among the dates from ``first_day`` of their months on, to which it must belong."""
     try:
         date = datetime.date(int(year), int(month), int(day))
     except ValueError:
@@ -139,7 +162,10 @@ def _date(year: str, month: str, day: str, key: bytes, undo: bool) -> datetime.d
     if not FIRST_DAY <= date <= LAST_DAY:
         return None
     days = (LAST_DAY - FIRST_DAY).days + 1
-    return FIRST_DAY + datetime.timedelta(permute((date - FIRST_DAY).days, days, key, "date", undo))
+    while True:
+        date = FIRST_DAY + datetime.timedelta(permute((date - FIRST_DAY).days, days, key, "date", undo))
+        if date.day >= first_day:
+            return date
 
 
 def _ymd(value: str, key: bytes, undo: bool) -> str | None:
@@ -150,9 +176,10 @@ def _ymd(value: str, key: bytes, undo: bool) -> str | None:
 def _dmy(value: str, key: bytes, undo: bool) -> str | None:
     mark = "." if "." in value else "/"
     first, second, year = value.split(mark)
-    # Day first with points, month first with slashes.
-    day_first = mark == "."
-    date = _date(year, *((second, first) if day_first else (first, second)), key, undo)
+    # Day first with points. With slashes month first; what has no such month is day first and stays a date like that.
+    swapped = mark == "/" and int(first) > 12
+    day_first = mark == "." or swapped
+    date = _date(year, *((second, first) if day_first else (first, second)), key, undo, 13 if swapped else 1)
     if date is None:
         return None
     one, two = (date.day, date.month) if day_first else (date.month, date.day)
@@ -170,7 +197,7 @@ def _ip(value: str, key: bytes, undo: bool) -> str | None:
 def _phone(value: str, key: bytes, undo: bool) -> str | None:
     country, rest = re.fullmatch(r"(\+\d{1,3}(?=[ .(-]))?(.*)", value, re.DOTALL).groups()
     digits = "".join(filter(str.isdigit, rest))
-    if not 7 <= len(digits) <= 14:
+    if not 7 <= len(digits) <= (14 if country else 15):
         return None
     return (country or "") + _fill(rest, _letters(digits, key, "phone" + (country or ""), undo))
 
@@ -259,13 +286,15 @@ def replace(text: str, key: bytes) -> tuple[str, int]:
         begin = max(at, begin)
         while found := _PATTERN.search(text, begin, end):
             kind = next(kind for kind in KINDS if found[kind] is not None)
-            other = pseudonym(kind, found[kind], key)
             # What fails validation may still begin with a value.
             begin = found.start() + 1
-            if other is not None:
-                out += [text[at : found.start()], other]
-                begin = at = found.end()
-                count += 1
+            for value in _ibans(found[kind]) if kind == "iban" else [found[kind]]:
+                other = pseudonym(kind, value, key)
+                if other is not None:
+                    out += [text[at : found.start()], other]
+                    begin = at = found.start() + len(value)
+                    count += 1
+                    break
     return ("".join(out) + text[at:], count) if count else (text, 0)
 
 
@@ -273,9 +302,10 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     """Replace personal values in every whole text by pseudonyms of the same format; add ``n_values``.
 
     Found: e-mail addresses, phone numbers, payment cards (Luhn), IBANs (modulo 97), social security numbers, IPv4
-    addresses, dates (year-month-day; day.month.year; month/day/year; 1900 to 2099) and keys of 32 to 64 hexadecimal
-    digits in lower, upper or both cases. What fails its validation stays as it is; so do all other characters. ``key`` has 16 to 64 bytes. A null
-    text stays null with 0 values. Rows and other columns stay.
+    addresses, dates with or without a time behind them (year-month-day; day.month.year; month/day/year, or
+    day/month/year where that is none; 1900 to 2099) and keys of 32 to 64 hexadecimal digits in lower, upper or both
+    cases. What fails its validation stays as it is; so do all other characters. ``key`` has 16 to 64 bytes. A null text
+    stays null with 0 values. Rows and other columns stay.
     """
     if not 16 <= len(key) <= 64:
         raise ValueError("a key has 16 to 64 bytes")

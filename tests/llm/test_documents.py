@@ -389,6 +389,34 @@ def test_keys_of_either_case():
     assert pii.pseudonym("secret", text[:-1], KEY, True) == mixed
 
 
+@pytest.mark.parametrize(
+    "kind, value, after",
+    [("ymd", "2024-01-05", "T10:00:00Z"), ("ymd", "2024-01-05", "Z"), ("dmy", "05.01.2024", "T10:00"), ("dmy", "25/12/2024", " 10:00"),
+     ("phone", "+442079460958", ""), ("phone", "+123456789012345", ", 3"), ("iban", "BE68 5390 0754 7034", " EUR"),
+     ("iban", "BE68539007547034", " EURO 1234"), ("iban", "ES91 2100 0418 4502 0005 1332", " ABCD"),
+     ("iban", "PL61 1090 1014 0000 0712 1981 2874", " A1"), ("iban", "DE89 3704 0044 0532 0130 00", " EUR")],
+)
+def test_forms_of_values(kind, value, after):
+    other = pii.pseudonym(kind, value, KEY)
+    assert other != value and pii.pseudonym(kind, other, KEY, True) == value
+    assert pii.replace(f"see {value}{after} here", KEY) == (f"see {other}{after} here", 1)
+    assert pii.replace(f"see {other} here", KEY)[1] == 1
+
+
+def test_value_behind_an_iban():
+    ibans, days = "BE68 5390 0754 7034", "2024-01-05"
+    wanted = f"{pii.pseudonym('iban', ibans, KEY)} {pii.pseudonym('ymd', days, KEY)}"
+    assert pii.replace(f"{ibans} {days}", KEY) == (wanted, 2)
+
+
+def test_day_first_dates_stay_day_first():
+    days = [f"{day}/{month:02d}/2024" for month in range(1, 13) for day in range(13, 29)]
+    others = [pii.pseudonym("dmy", day, KEY) for day in days]
+    assert len(set(others)) == len(days) and all(12 < int(o[:2]) <= 31 and int(o[3:5]) <= 12 for o in others)
+    assert [pii.pseudonym("dmy", o, KEY, True) for o in others] == days
+    assert pii.replace("31/02/2024 or 25/13/2024", KEY)[1] == 0
+
+
 def test_planted_values_are_gone(spark):
     texts = {r.doc_id: r.text for r in queries.documents(spark, SF.replace("0.001", "0.01")).collect()}
     planted = r"\S+@mail\d\.example\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{1,3}(?:\.\d{1,3}){3}\b"
