@@ -12,7 +12,10 @@ import datetime
 import functools
 import hashlib
 import re
-from collections.abc import Callable
+import sys
+import unicodedata
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,8 @@ from tallyframe.llm.batches import bound_batches
 
 ROUNDS = 8
 
-# Letters that stay within their kind; other characters of a value stay as they are.
+# Letters that stay within their kind. Other letters, digits and marks have an alphabet by ``_alphabet``; all other
+# characters of a value stay as they are.
 ALPHABETS = (
     "0123456789",
     "abcdefghijklmnopqrstuvwxyz",
@@ -34,9 +38,24 @@ _KIND = {letter: alphabet for alphabet in ALPHABETS for letter in alphabet}
 HEX_OF_BOTH_CASES = "0123456789abcdefABCDEF"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
+
+
+def _ranges(codes: Iterable[int]) -> str:
+    """Code points in rising order as the inside of a character class."""
+    spans: list[list[int]] = []
+    for code in codes:
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+
+
+# Marks and joiners inside words, which \w leaves out.
+_MARKS = _ranges(n for n in range(0x300, 0x20000) if unicodedata.category(chr(n))[0] == "M" or n in (0x200C, 0x200D))
 _PATTERN = re.compile(
+    rf"(?P<email>(?<![\w{_MARKS}.+%-])[\w{_MARKS}.+%-]++@[\w{_MARKS}-]++(?:\.[\w{_MARKS}-]++)+)"
     r"""
-    (?P<email>(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)+)
   | (?P<secret>(?<!\w)(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?!\w))
   | (?P<iban>(?<!\w)[A-Z]{2}\d\d(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
   | (?P<ymd>(?<![\w-])\d{4}-\d\d-\d\d(?:(?![\w-])|(?=T\d\d|t\d\d|Z\b)))
@@ -62,7 +81,7 @@ IBAN_LENGTHS = {
     }.items()
     for country in countries.split()
 }
-_SIGN = re.compile(r"[0-9@]\S*+")
+_SIGN = re.compile(r"[\d@]\S*+")
 # Characters behind a word with a digit that may belong to the same value.
 REACH = 40
 
@@ -92,13 +111,46 @@ def permute(number: int, size: int, key: bytes, tweak: str, undo: bool = False)
             return number
 
 
+def _group(letter: str) -> tuple[str, str, int]:
+    return unicodedata.category(letter), unicodedata.name(letter, "").split(" ")[0], ord(letter) >> 16
+
+
+@functools.cache
+def _groups() -> dict[tuple, str]:
+    """Letters, digits and marks outside ``ALPHABETS`` by category (so by case), script and plane, in rising order.
+
+    Groups of fewer than ten are put together by category, and the smallest categories with each other.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for letter in map(chr, range(128, sys.maxunicode + 1)):
+        if unicodedata.category(letter)[0] in "LNM" and letter not in _KIND:
+            groups.setdefault(_group(letter), []).append(letter)
+    for part in (lambda group: group[:1], lambda group: ()):
+        for group in [group for group, letters in groups.items() if group and len(letters) < 10]:
+            groups.setdefault(part(group), []).extend(groups.pop(group))
+    return {group: "".join(sorted(letters)) for group, letters in groups.items()}
+
+
+@functools.lru_cache(maxsize=10_000)
+def _alphabet(letter: str) -> str | None:
+    """The letters among which ``letter`` is permuted; none for characters that are no letter, digit or mark.
+
+    Beyond Latin-1 they depend on the Unicode version of the Python that runs, ``unicodedata.unidata_version``.
+    """
+    if letter in _KIND or ord(letter) < 128 or unicodedata.category(letter)[0] not in "LNM":
+        return _KIND.get(letter)
+    groups, group = _groups(), _group(letter)
+    return next(groups[part] for part in (group, group[:1], ()) if letter in groups.get(part, ""))
+
+
 def _letters(value: str, key: bytes, tweak: str, undo: bool) -> str:
-    """Permute the letters and digits of ``value``, each within its alphabet."""
+    """Permute the letters, digits and marks of ``value``, each within its alphabet."""
     number, size = 0, 1
-    kinds = [_KIND.get(letter) for letter in value]
+    kinds = [_alphabet(letter) for letter in value]
     for letter, kind in zip(value, kinds):
         if kind:
-            number, size = number * len(kind) + kind.index(letter), size * len(kind)
+            place = kind.index(letter) if letter in _KIND else bisect_left(kind, letter)
+            number, size = number * len(kind) + place, size * len(kind)
     number = permute(number, size, key, tweak, undo)
     out = []
     for letter, kind in zip(reversed(value), reversed(kinds)):
@@ -126,7 +178,9 @@ def _card(value: str, key: bytes, undo: bool) -> str | None:
     if _luhn(digits) % 10 or len(set(digits)) == 1:
         return None
     body = _letters(digits[:-1], key, "card", undo)
-    return _fill(value, body + str(-_luhn(body + "0") % 10))
+    # The check digit in the script of the old one.
+    zero = ord(digits[-1]) - int(digits[-1])
+    return _fill(value, body + chr(zero + -_luhn(body + "0") % 10))
 
 
 def _iban_remainder(letters: str) -> int:
@@ -216,7 +270,9 @@ def _ssn(value: str, key: bytes, undo: bool) -> str | None:
 def _email(value: str, key: bytes, undo: bool) -> str | None:
     name, _, host = value.rpartition("@")
     labels, _, top = host.rpartition(".")
-    if not top.isalpha():
+    if not all(letter.isalpha() or unicodedata.category(letter)[0] in "MC" for letter in top):
+        return None
+    if not any(map(_alphabet, name + labels)):
         return None
     return _letters(f"{name}@{labels}", key, "email", undo) + "." + top
 

@@ -2,6 +2,8 @@
 
 import random
 import re
+import sys
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -417,6 +419,40 @@ def test_day_first_dates_stay_day_first():
     assert pii.replace("31/02/2024 or 25/13/2024", KEY)[1] == 0
 
 
+@pytest.mark.parametrize(
+    "value",
+    ["иван.петров@почта.рф", "Łukasz.Żółć@świat.pl", "νίκος@παράδειγμα.ελ", "王小明@例子.中国", "jose\u0301@x.org",
+     "नमस्ते@उदाहरण.भारत", "علی\u200cرضا@مثال.ir", "ǅ\u212bĸ@x.org", "Иван7@mail.example.com"],
+)
+def test_addresses_in_any_script(value):
+    other = pii.pseudonym("email", value, KEY)
+    assert pii.replace(f"({value}), <{value}>", KEY) == (f"({other}), <{other}>", 2)
+    assert pii.pseudonym("email", other, KEY, True) == value and len(other) == len(value)
+    # No letter stays as it is in all addresses of this form, and none changes its category.
+    name, top = value.rpartition(".")[::2]
+    images = [pii.pseudonym("email", value, bytes([n]) * 16) for n in range(40)]
+    for place, letter in enumerate(name):
+        seen = {image[place] for image in images}
+        assert (len(seen) > 1) == (unicodedata.category(letter)[0] in "LNM")
+    assert all(image.endswith("." + top) for image in images)
+
+
+def test_every_letter_has_an_alphabet():
+    for letter in map(chr, range(sys.maxunicode + 1)):
+        if letter.isalnum() or unicodedata.category(letter)[0] == "M":
+            kind = pii._alphabet(letter)
+            assert len(kind) > 1 and letter in kind
+    # Nothing to permute, nothing replaced.
+    assert pii.replace("_@-.com", KEY) == ("_@-.com", 0)
+
+
+@pytest.mark.parametrize("kind, value", [("card", "４８４５１６８１１４４０７３２９"), ("phone", "+٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨")])
+def test_digits_of_other_scripts(kind, value):
+    other = pii.pseudonym(kind, value, KEY)
+    assert pii.replace(value, KEY) == (other, 1) and pii.pseudonym(kind, other, KEY, True) == value
+    assert sum(a != b for a, b in zip(value, other)) > 3 and not re.search("[0-9]", other)
+
+
 def test_planted_values_are_gone(spark):
     texts = {r.doc_id: r.text for r in queries.documents(spark, SF.replace("0.001", "0.01")).collect()}
     planted = r"\S+@mail\d\.example\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{1,3}(?:\.\d{1,3}){3}\b"
