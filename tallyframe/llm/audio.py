@@ -2,8 +2,8 @@
 
 Short spectra are folded onto the twelve pitch classes. Filters over areas of (time, pitch class), summed in an integral
 image, compare neighbouring areas; each gives two bits, and all of them one packed integer per step of time. Recordings
-that share sound share integers at one offset: a histogram of offsets finds it, and the differing bits of the whole
-overlap confirm it.
+that share sound share integers at one offset: a histogram of offsets finds it, and the differing bits of the run of
+integers that votes for it confirm it.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ SMOOTHING = (0.25, 0.75, 1.0, 0.75, 0.25)
 LEVELS = (-0.15, 0.0, 0.15)
 MAX_WIDTH = 16
 
-# The share of a recording's pairs of integers that has to meet another recording's at one offset, the most bits that may
-# differ in the overlap, and its least length.
+# What has to meet at one offset: so many different pairs of integers in one run of two recordings, or this share of a
+# recording's pairs in their whole overlap; the most bits that may differ there, and its least length.
+MIN_VOTES = 8
 VOTE_SHARE = 0.3
 MAX_BIT_ERROR = 0.25
 MIN_OVERLAP = 16
@@ -114,23 +115,70 @@ def fingerprint(audio: Column, rate: int = RATE, decode: Callable[[object], np.n
     return ints(audio)
 
 
-def align(query: np.ndarray, other: np.ndarray) -> tuple[int, int, int, int]:
-    """The offset of ``query`` in ``other`` with most equal pairs of integers, their number, the overlap, its bit errors.
-
-    The smallest of equally good offsets counts.
+def _runs(score: np.ndarray, pairs: np.ndarray, same: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places (begin, end) of the runs of highest score that are long enough and hold ``MIN_VOTES`` different pairs."""
+    todo = [(0, len(score))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < MIN_OVERLAP or len(np.unique(pairs[low : high - 1][same[low : high - 1]])) < MIN_VOTES:
+            continue
+        sums = np.concatenate([[0.0], score[low:high].cumsum()])
+        gain = sums - np.minimum.accumulate(sums)
+        end = int(gain.argmax())
+        if gain[end] <= 0:
+            continue
+        begin, end = low + int(sums[: end + 1].argmin()), low + end
+        voted = pairs[begin : end - 1][same[begin : end - 1]]
+        if end - begin >= MIN_OVERLAP and len(np.unique(voted)) >= MIN_VOTES:
+            yield begin, end
+        todo += [(low, begin), (end, high)]
+
+
+def alignments(query: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Where ``query`` and ``other`` share sound: offset in ``other``, equal pairs of integers, length, bit errors and
+    begin in ``query`` of each run, those with most equal pairs first, then those of the smallest offset.
+
+    Every offset that enough pairs vote for is tried. The run is the whole overlap if ``VOTE_SHARE`` of the query's pairs
+    are equal and few enough of its bits differ, else each part with ``MIN_VOTES`` different equal pairs. A run that
+    adds fewer than ``MIN_OVERLAP`` integers of either recording to those before it is left out.
     """
     grams = [(a[:-1].astype(np.int64) << 32) | a[1:].view(np.uint32) for a in (query, other)]
-    votes = np.zeros(len(query) + len(other), np.int64)
+    votes = np.zeros(len(query) + len(other) + 1, np.int64)
     for at in range(0, len(grams[0]), 256):
         i, j = np.nonzero(grams[0][at : at + 256, None] == grams[1][None, :])
         votes += np.bincount(j - (i + at) + len(query), minlength=len(votes))
-    best = int(votes.argmax())
-    offset = best - len(query)
-    begin, end = max(0, -offset), min(len(query), len(other) - offset)
-    if end <= begin:
-        return offset, int(votes[best]), 0, 0
-    differing = (query[begin:end] ^ other[begin + offset : end + offset]).view(np.uint32)
-    return offset, int(votes[best]), end - begin, int(np.bitwise_count(differing).sum())
+    share = max(1, int(np.ceil(len(grams[0]) * VOTE_SHARE)))
+    allowed = 32 * MAX_BIT_ERROR
+    found = []
+    for place in np.flatnonzero(votes >= min(share, MIN_VOTES)):
+        offset = int(place) - len(query)
+        begin, end = max(0, -offset), min(len(query), len(other) - offset)
+        differing = (query[begin:end] ^ other[begin + offset : end + offset]).view(np.uint32)
+        errors = np.bitwise_count(differing).astype(np.int64)
+        pairs = grams[0][begin : end - 1]
+        same = pairs == grams[1][begin + offset : end - 1 + offset]
+        if votes[place] >= share and end - begin >= MIN_OVERLAP and errors.sum() <= allowed * (end - begin):
+            runs = [(0, end - begin)]
+        else:
+            runs = _runs(allowed - errors, pairs, same)
+        for low, high in runs:
+            equal = int(same[low : high - 1].sum())
+            found.append((offset, equal, high - low, int(errors[low:high].sum()), begin + low))
+    heard = np.zeros(len(query), bool), np.zeros(len(other), bool)
+    kept = []
+    for run in sorted(found, key=lambda run: (-run[1], run[0], run[4])):
+        offset, _, length, _, begin = run
+        parts = heard[0][begin : begin + length], heard[1][begin + offset : begin + offset + length]
+        if max(length - int(part.sum()) for part in parts) >= MIN_OVERLAP:
+            kept.append(run)
+            for part in parts:
+                part[:] = True
+    return kept
+
+
+def align(query: np.ndarray, other: np.ndarray) -> tuple[int, int, int, int]:
+    """Offset, equal pairs, length and bit errors of the first of the ``alignments``; zeros without one."""
+    return next((run[:4] for run in alignments(query, other)), (0, 0, 0, 0))
 
 
 def _votes_needed(count: Column) -> Column:
@@ -138,27 +186,27 @@ def _votes_needed(count: Column) -> Column:
 
 
 def _align_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["class_id", "match_class", "offset", "votes", "overlap", "bit_errors"]
+    names = ["class_id", "match_class", "offset", "votes", "overlap", "bit_errors", "begin"]
     for batch in batches:
-        left, right, a, b = (batch.column(n) for n in ("q", "r", "q_ints", "r_ints"))
         rows = [
-            align(np.array(x.as_py(), np.int32), np.array(y.as_py(), np.int32)) for x, y in zip(a, b)
+            (q.as_py(), r.as_py(), *run)
+            for q, r, x, y in zip(*(batch.column(n) for n in ("q", "r", "q_ints", "r_ints")))
+            for run in alignments(np.array(x.as_py(), np.int32), np.array(y.as_py(), np.int32))
         ]
-        columns = [left, right, *[pa.array([row[n] for row in rows], pa.int64()) for n in range(4)]]
-        yield pa.record_batch(columns, names)
+        yield pa.record_batch([pa.array([row[n] for row in rows], pa.int64()) for n in range(len(names))], names)
 
 
 def align_recordings(recordings: DataFrame, queries: Column, id_col: str = "rec_id", ints_col: str = "ints") -> DataFrame:
     """Align the recordings where ``queries`` holds with all recordings.
 
     Recordings with the same integers are one class, named by its smallest id. Returns a row per recording with
-    ``class_id`` and ``n_ints``; a query has a row for each other class that it matches: ``match_class``, ``offset`` (place
-    of the query's start in the match), ``votes``, ``overlap`` and ``bit_errors``; without a match, and for other
-    recordings, these are null. A match has votes from at least ``VOTE_SHARE`` of the query's pairs, ``MIN_OVERLAP``
-    integers of overlap and at most ``MAX_BIT_ERROR`` of their bits in error. Ids must not be null.
+    ``class_id`` and ``n_ints``; a query has a row for each run that it shares with another class: ``match_class``,
+    ``offset`` (place of the query's start in the match), ``votes``, ``overlap`` (integers in the run), ``bit_errors`` and
+    ``begin`` (the run's place in the query); without a match, and for other recordings, these are null. For what counts
+    as a run, see ``alignments``; of its bits at most ``MAX_BIT_ERROR`` are in error. Ids must not be null.
 
-    Candidates share one of the query's rarer pairs. As many of the commonest are left out as a match can do without, so
-    no match is lost, and pairs that most recordings hold are not joined.
+    Candidates share one of the query's rarer pairs. As many of the commonest are left out as a match by either rule can
+    do without, so no match is lost, and the few pairs that most recordings hold, such as silence, are not joined.
     """
     bound_batches(recordings.sparkSession)
     stored = materialize(
@@ -183,8 +231,13 @@ def align_recordings(recordings: DataFrame, queries: Column, id_col: str = "rec_
         asked.join(common, "gram")
         .select(F.col("class_id").alias("q"), "gram", "n", "at")
         .withColumn("place", F.row_number().over(by_class.orderBy("n", "gram", "at")))
+        .withColumn("kind", F.dense_rank().over(by_class.orderBy("n", "gram")))
         .withColumn("count", F.count("*").over(by_class))
-        .where(F.col("place") <= F.col("count") - _votes_needed(F.col("count")) + 1)
+        .withColumn("kinds", F.max("kind").over(by_class))
+        .where(
+            (F.col("place") <= F.col("count") - _votes_needed(F.col("count")) + 1)
+            | (F.col("kind") <= F.col("kinds") - MIN_VOTES + 1)
+        )
         .select("q", "gram")
         .distinct()
     )
@@ -196,20 +249,10 @@ def align_recordings(recordings: DataFrame, queries: Column, id_col: str = "rec_
     )
     sides = [classes.select(F.col("class_id").alias(side), F.col("ints").alias(f"{side}_ints")) for side in "qr"]
     paired = candidates.join(sides[0], "q").join(sides[1], "r")
-    kinds = "class_id bigint, match_class bigint, offset bigint, votes bigint, overlap bigint, bit_errors bigint"
+    kinds = ", ".join(f"{n} bigint" for n in "class_id match_class offset votes overlap bit_errors begin".split())
     aligned = paired.select("q", "r", "q_ints", "r_ints").mapInArrow(_align_pairs, kinds)
-    sized = classes.select("class_id", F.greatest(F.size("ints") - 1, F.lit(0)).alias("pairs"))
-    matches = (
-        aligned.join(sized, "class_id")
-        .where(
-            (F.col("votes") >= _votes_needed(F.col("pairs")))
-            & (F.col("overlap") >= MIN_OVERLAP)
-            & (F.col("bit_errors") <= 32 * MAX_BIT_ERROR * F.col("overlap"))
-        )
-        .drop("pairs")
-        .withColumn("is_query", F.lit(True))
-    )
+    matches = aligned.withColumn("is_query", F.lit(True))
     named = stored.join(classes.select("ints", "class_id"), "ints").withColumn("n_ints", F.size("ints")).drop("ints")
     return named.join(matches, ["class_id", "is_query"], "left").select(
-        id_col, "class_id", "n_ints", "is_query", "match_class", "offset", "votes", "overlap", "bit_errors"
+        id_col, "class_id", "n_ints", "is_query", "match_class", "offset", "votes", "overlap", "bit_errors", "begin"
     )

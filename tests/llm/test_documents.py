@@ -497,6 +497,52 @@ def test_alignment_of_noisy_and_cut_recordings(spark):
     assert by_id[150].n_ints == 0 and by_id[150].match_class is None and {r.rec_id for r in rows} == {t[0] for t in table}
 
 
+def quoting(rng, shared, before, behind, noise=0.0):
+    """Integers of a recording with the notes ``shared`` between unrelated ones."""
+    samples = sound(np.concatenate([rng.integers(-12, 12, before), shared, rng.integers(-12, 12, behind)]))
+    return audio.packed(audio.chroma(samples + rng.normal(0, noise, len(samples))))
+
+
+def test_recall_of_quotes(spark):
+    """Each query shares a passage of 24 notes, two frames a note, with one recording only, both of them long."""
+    rng = np.random.default_rng(1)
+    table, wanted = [], {}
+    for n in range(20):
+        shared, first, second = rng.integers(-12, 12, 24), *map(int, rng.integers(0, 150, 2))
+        query = quoting(rng, shared, first, 150 - first, 0.02)
+        table += [(100 * n, query.tolist()), (100 * n + 1, quoting(rng, shared, second, 150 - second, 0.02).tolist())]
+        wanted[100 * n, 100 * n + 1] = 2 * (second - first), 2 * first
+    prints = spark.createDataFrame(table, "rec_id bigint, ints array<int>")
+    rows = [r for r in audio.align_recordings(prints, F.col("rec_id") % 100 == 0).collect() if r.match_class is not None]
+    found = {(r.rec_id, r.match_class): r for r in rows}
+    assert set(found) == set(wanted) and len(rows) == len(wanted)
+    for pair, (offset, begin) in wanted.items():
+        row = found[pair]
+        assert row.offset == offset and abs(row.begin - begin) <= audio.MAX_WIDTH and 24 <= row.overlap <= 72
+        assert row.bit_errors <= 32 * audio.MAX_BIT_ERROR * row.overlap
+
+
+def test_silence_does_not_outvote_shared_sound():
+    rng = np.random.default_rng(2)
+    shared, still = rng.integers(-12, 12, 40), np.zeros(240 * audio.HOP)
+    whole = [sound(np.concatenate([rng.integers(-12, 12, n), shared])) for n in (10, 30)]
+    query = audio.packed(audio.chroma(np.concatenate([still, whole[0]])))
+    other = audio.packed(audio.chroma(np.concatenate([whole[1], still])))
+    assert 2 * 30 - 240 - 2 * 10 in {run[0] for run in audio.alignments(query, other)}
+    # Silence alone is no shared sound of two recordings.
+    apart = [np.concatenate([still, sound(rng.integers(-12, 12, 300))]) for _ in range(2)]
+    lone = [audio.packed(audio.chroma(a)) for a in (apart[0], np.concatenate([apart[1], still]))]
+    assert all(run[1] >= audio.VOTE_SHARE * (len(lone[0]) - 1) for run in audio.alignments(*lone))
+
+
+def test_two_quotes_at_two_offsets():
+    rng = np.random.default_rng(3)
+    one, two = rng.integers(-12, 12, (2, 40))
+    query = quoting(rng, np.concatenate([one, rng.integers(-12, 12, 80), two]), 5, 5)
+    other = quoting(rng, np.concatenate([two, rng.integers(-12, 12, 50), one]), 9, 9)
+    assert {(run[0], run[4] // 40) for run in audio.alignments(query, other)} == {(2 * (9 + 90 - 5), 0), (2 * (9 - 125), 6)}
+
+
 def test_audio_query_matches_brute_force(spark):
     rows = queries.op6_audio_fingerprints(spark, SF).collect()
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
