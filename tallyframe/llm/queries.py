@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import audio, byte_bpe, lines, mixing, pii, quality, sharding, simhash, token_counts, token_files
+from tallyframe.llm import (
+    audio,
+    byte_bpe,
+    lines,
+    manifest,
+    mixing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+    token_files,
+)
 from tallyframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +191,91 @@ def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     recordings = medley.select("vec_id", audio.fingerprint(F.col("notes"), decode=sounded).alias("ints"))
     return audio.align_recordings(recordings, asked, "vec_id")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    lowered = F.translate("text", lines.CAPITALS, lines.CAPITALS.lower())
+    columns = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    hashed = docs.select(
+        "doc_id",
+        "lang",
+        manifest.leaf_digest(*columns, F.col("text")).alias("leaf"),
+        manifest.leaf_digest(*columns, F.when(tampered, lowered).otherwise(F.col("text"))).alias("now"),
+    )
+    folded = manifest.prove(hashed, "leaf", ["doc_id"], "lang").select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(manifest.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+        manifest.fold(F.col("now"), F.col("proof")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SQL["op11_merkle_manifest"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)),
+    lambda x, bit: xor(x >> 1, (x & 1) * 3988292384)))) % 3 = 0 AS tampered
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+),
+t AS (
+  SELECT doc_id, lang, text, concat(
+      coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now
+  FROM documents LEFT JOIN crc USING (doc_id)
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM (
+    SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+      sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS now
+    FROM t
+  )
+),
+nodes AS (
+  SELECT lang, 0 AS level, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i))
+  FROM nodes WHERE n > 1 GROUP BY lang, level, i // 8, n
+),
+tops AS (
+  SELECT lang, 0 AS level, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h
+  FROM nodes WHERE n = 1
+),
+above AS (
+  SELECT level, i, n, h FROM tops
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY level, i // 8, n
+),
+runs AS (SELECT lang, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM nodes GROUP BY ALL),
+upper_runs AS (SELECT level, i // 8 AS run, list(h ORDER BY i) AS hs FROM above GROUP BY ALL),
+climb AS (
+  SELECT doc_id, lang, leaf, 0 AS level, i, n, now, '' AS proof FROM leaves
+  UNION ALL
+  SELECT doc_id, lang, leaf, level + 1, i // 8, (n + 7) // 8,
+    sha256(array_to_string(hs[1:i % 8], '') || now || array_to_string(hs[i % 8 + 2:], '')),
+    proof || array_to_string(hs[1:i % 8], '') || array_to_string(hs[i % 8 + 2:], '')
+  FROM (
+    SELECT c.*, hs FROM climb c JOIN runs r ON c.lang IS NOT DISTINCT FROM r.lang AND c.level = r.level AND i // 8 = run
+    WHERE n > 1
+  )
+),
+climb_on AS (
+  SELECT doc_id, c.lang, leaf, t.h AS subroot, 0 AS level, t.i, t.n, now, proof
+  FROM climb c JOIN tops t ON c.lang IS NOT DISTINCT FROM t.lang WHERE c.n = 1
+  UNION ALL
+  SELECT doc_id, lang, leaf, subroot, level + 1, i // 8, (n + 7) // 8,
+    sha256(array_to_string(hs[1:i % 8], '') || now || array_to_string(hs[i % 8 + 2:], '')),
+    proof || array_to_string(hs[1:i % 8], '') || array_to_string(hs[i % 8 + 2:], '')
+  FROM (SELECT c.*, hs FROM climb_on c JOIN upper_runs r ON c.level = r.level AND i // 8 = run WHERE n > 1)
+)
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = h AS verified
+FROM climb_on c, (SELECT h FROM above WHERE n = 1) WHERE c.n = 1
+"""
