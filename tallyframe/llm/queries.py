@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm import (
     audio,
     byte_bpe,
+    collocations,
     lines,
     manifest,
     mixing,
@@ -279,3 +280,47 @@ climb_on AS (
 SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = h AS verified
 FROM climb_on c, (SELECT h FROM above WHERE n = 1) WHERE c.n = 1
 """
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir).select("text", "lang"))
+
+
+SQL["op12_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM starts) WHERE i + k - 1 <= len(ws)
+),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+cuts AS (
+  SELECT c.*, left_f.a AS l, right_f.a AS r, cut, 2000000::HUGEINT * c.a // (left_f.a::HUGEINT + right_f.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN f left_f ON left_f.lang = c.lang AND left_f.k = cut AND left_f.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN f right_f ON right_f.lang = c.lang AND right_f.k = c.k - cut AND right_f.phrase = array_to_string(ws[cut + 1:], ' ')
+),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS pick FROM cuts),
+inside AS (
+  SELECT DISTINCT c.lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, c.a AS longer
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM candidates) c, (SELECT unnest([2, 3]) AS size)
+  WHERE size < k AND i + size - 1 <= k
+),
+covered AS (SELECT lang, phrase, max(longer) AS longest FROM inside GROUP BY ALL),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank
+  FROM lowest s LEFT JOIN covered c ON s.lang = c.lang AND s.phrase = c.phrase
+  WHERE pick = 1 AND (longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * s.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
