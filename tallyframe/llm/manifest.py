@@ -206,6 +206,8 @@ def prove(
         F.col(hash_col).alias("hash"),
         F.struct(*[F.col(f"`{name}`") for name in names]).alias("row"),
     )
+    # Ranking reads its rows twice; hashes are made once.
+    rows = materialize(rows, "merkle-leaves")
     blocks = _blocks(rows, [F.col(f"row.`{name}`") for name in order], block_levels)
     states = _climb(blocks, block_levels)
 
