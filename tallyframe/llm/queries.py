@@ -11,6 +11,7 @@ from tallyframe.llm import (
     audio,
     byte_bpe,
     collocations,
+    extraction,
     lines,
     manifest,
     mixing,
@@ -324,3 +325,9 @@ ranked AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extraction.extract(pages).select("page_id", "url", "text", "n_chars")
