@@ -101,13 +101,16 @@ def split_from_path(path: Column, root: str | None = None, splits: Sequence[str]
 def column_lookup(header: Column, candidates: Sequence[str]) -> Column:
     """Name of the header field that equals a candidate after normalisation, else of one that contains a candidate.
 
-    Candidates are tried in the order given for the exact match, header fields in file order for the other.
+    Candidates are tried in the order given for the exact match, header fields in file order for the other. Of fields that
+    are equal after normalisation the last one counts.
     """
     wanted = F.array(*[F.lit(name) for name in candidates])
 
-    def find(fields: Column) -> Column:
-        exact = F.transform(wanted, lambda name: F.filter(fields, lambda field: normalize_token(field) == name))
-        part = F.filter(fields, lambda field: F.exists(wanted, lambda name: normalize_token(field).contains(name)))
-        return F.coalesce(F.get(F.flatten(exact), F.lit(0)), F.get(part, F.lit(0)))
+    def find(names: Column) -> Column:
+        exact = F.filter(wanted, lambda name: F.array_contains(names, name))
+        part = F.filter(names, lambda name: F.exists(wanted, lambda known: name.contains(known)))
+        found = F.coalesce(F.get(exact, F.lit(0)), F.get(part, F.lit(0)))
+        last = F.size(names) - F.array_position(F.reverse(names), found)
+        return F.when(found.isNotNull(), F.get(header, last.cast("int")))
 
-    return let(header, find)
+    return let(F.transform(header, normalize_token), find)

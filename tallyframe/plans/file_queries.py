@@ -134,16 +134,23 @@ def annotation_formats(spark, sf_dir):
 
 @query(f"WITH {fx.PATH_SQL}, {fx.ANNOTATION_SQL} SELECT path, split, category FROM annotated WHERE {fx.IMAGE_SQL}")
 def annotation_line_breaks(spark, sf_dir):
-    """Headed CSV whose notes, in front of the class, hold line breaks and quotes."""
+    """Headed CSV whose notes, in front of the class, hold line breaks and quotes: one file, read in blocks of 8 KB."""
     notes = fx.raw_annotations(spark, sf_dir)
     note = F.concat(F.lit('first, "'), F.col("doc_id"), F.lit('"\nsecond'))
     named = notes.select(F.substr(F.col("path"), F.lit(len(fx.ROOT) + 2)).alias("Image Path"), note.alias("Note\nof it"),
                          F.col("label_text").alias("Finding"), F.col("split_text").alias("Data Set"))
     root = scratch_path(spark, "breaks")
-    named.write.options(header=True, escape='"').csv(root)
+    named.coalesce(1).write.options(header=True, escape='"').csv(root)
     pictures = files.images(fx.document_files(spark, sf_dir).select("path"))
     inventory = files.file_inventory(spark, root).select("path").unionByName(pictures)
-    return annotations.annotation_records(spark, fx.ROOT, inventory, folder=root).select("path", "split", "category")
+    block = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(block)
+    spark.conf.set(block, "8192")
+    try:
+        found = annotations.annotation_records(spark, fx.ROOT, inventory, folder=root)
+    finally:
+        spark.conf.set(block, before)
+    return found.select("path", "split", "category")
 
 
 def _renamed(spark: SparkSession, folder: str, suffix: str) -> None:

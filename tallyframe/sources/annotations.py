@@ -7,9 +7,9 @@ driver. Which header field holds the image, the class and the split is decided o
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
@@ -18,11 +18,11 @@ from tallyframe.functions.messages import JSON_OPTIONS
 from tallyframe.functions.text import complete_rows, strip
 from tallyframe.operators.records import resolve_paths
 from tallyframe.session import broadcast_if_small, materialize
+from tallyframe.sources import delimited
 from tallyframe.sources.files import annotation_files, exists, source_path
 
 RECORD_SCHEMA = "source string, path string, split string, category string"
 TEXT_SUFFIXES = (".csv", ".tsv", ".txt")
-DELIMITERS = (",", "\t", " ")
 
 
 def _pattern(*suffixes: str) -> str:
@@ -40,89 +40,56 @@ def _lines(spark: SparkSession, folder: str, listed: DataFrame, *suffixes: str,
         F.monotonically_increasing_id().alias("seq"),
         "value",
     )
-    names = listed.select(F.col("path").alias("source")).distinct()
-    return rows.join(broadcast_if_small(names), "source", "left_semi")
+    return rows.join(listed.select(F.col("path").alias("source")), "source", "left_semi")
 
 
-def sniff_delimiter(path: Column, first_line: Column) -> Column:
-    """Comma for .csv, tab for .tsv; for .txt the first of tab, comma, space that the first line holds."""
-    lower = F.lower(path)
-    found = F.when(first_line.contains("\t"), "\t").when(first_line.contains(","), ",").when(first_line.contains(" "), " ")
-    return F.when(lower.endswith(".tsv"), "\t").when(lower.endswith(".csv"), ",").otherwise(found)
-
-
-def _quotes(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-
-
-def logical_records(lines: DataFrame) -> DataFrame:
-    """``source, place, value``: lines, joined where a quoted field goes on over a line break.
-
-    Only files with a line of an odd number of quotes are put together, each in one task, as a reader of quoted line
-    breaks has to; the lines of all others stay where they are.
-    """
-    odd = lines.groupBy("source").agg(F.bool_or(_quotes(F.col("value")) % 2 == 1).alias("odd")).where("odd").select("source")
-    odd = broadcast_if_small(odd)
-    place = F.struct("block", "seq").alias("place")
-    plain = lines.join(odd, "source", "left_anti").select("source", place, "value")
-    order = Window.partitionBy("source").orderBy("block", "seq")
-    before = F.coalesce(F.sum(_quotes(F.col("value"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begun = lines.join(odd, "source", "left_semi").withColumn("begins", (before % 2 == 0).cast("int"))
-    numbered = begun.withColumn("record", F.sum("begins").over(order))
-    joined = numbered.groupBy("source", "record").agg(
-        F.sort_array(F.collect_list(F.struct("block", "seq", "value"))).alias("parts")
+def file_facts(lines: DataFrame) -> DataFrame:
+    """Per file: its first line's place, its delimiter (null: none), and whether a line can not be decoded."""
+    place = F.struct("block", "seq")
+    facts = lines.groupBy("source").agg(
+        F.min(place).alias("first"),
+        F.min_by("value", place).alias("head"),
+        F.bool_or(~F.is_valid_utf8("value")).alias("broken"),
     )
-    first = F.get("parts", F.lit(0))
-    return plain.unionByName(
-        joined.select(
-            "source",
-            F.struct(first["block"].alias("block"), first["seq"].alias("seq")).alias("place"),
-            F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"),
-        )
-    )
-
-
-def _fields(record: Column, mark: Column, width: int) -> Column:
-    """The fields of a delimited record, ``width`` of them."""
-    schema = ", ".join(f"c{i} string" for i in range(width))
+    return facts.select("source", "first", delimited.sniff_delimiter(F.col("source"), F.col("head")).alias("mark"), "broken")
 
-    def split(sep: str) -> Column:
-        parsed = F.from_csv(record, schema, {"sep": sep, "quote": '"', "escape": '"'})
-        return F.array(*[parsed[f"c{i}"] for i in range(width)])
 
-    out = F.when(mark == DELIMITERS[0], split(DELIMITERS[0]))
-    for sep in DELIMITERS[1:]:
-        out = out.when(mark == sep, split(sep))
-    return out
+def text_heads(records: DataFrame) -> DataFrame:
+    """Which fields of a delimited file hold the image, the class and the split (0-based, null: none), per file.
 
+    ``records`` has ``source, place, value, first, mark``. Files without a second named field in their header are left
+    out; of equal header names the last one counts.
+    """
+    head = records.where(F.col("place") == F.col("first"))
+    named = head.select("source", "first", "mark", delimited.fields(F.col("value"), F.col("mark")).alias("header"))
+    named = named.where(F.size(F.filter("header", lambda name: name.isNotNull())) > 1)
+    looked = named.join(header_columns(named).select("source", "image_col", "label_col", "split_col", "file_split"), "source")
 
-def text_heads(records: DataFrame) -> DataFrame:
-    """``source, first, mark, header``: the first record of each file, its delimiter, and the fields of its header."""
-    firsts = records.groupBy("source").agg(F.min("place").alias("first"), F.min_by("value", "place").alias("head"))
-    marked = firsts.withColumn("mark", sniff_delimiter(F.col("source"), F.col("head")))
-    # No file has more fields in its header than delimiters and one.
-    count = F.when(F.col("mark").isNotNull(), F.length("head") - F.length(F.replace("head", F.col("mark"), F.lit(""))) + 1)
-    width = max(1, marked.agg(F.max(count)).first()[0] or 1)
-    names = F.filter(_fields(F.col("head"), F.col("mark"), width), lambda name: name.isNotNull())
-    all_fields = F.slice(_fields(F.col("head"), F.col("mark"), width), 1, F.coalesce(count, F.lit(0)))
-    return marked.select("source", "first", "mark", F.when(F.size(names) > 1, all_fields).alias("header"), count.alias("width"))
+    def place(name: str) -> Column:
+        found = F.array_position(F.reverse("header"), F.col(name))
+        return F.when(found > 0, F.size("header") - found).cast("int")
 
+    places = [place(f"{kind}_col").alias(f"{kind}_at") for kind in ("image", "label", "split")]
+    return looked.select("source", "file_split", *places)
 
-def delimited_rows(records: DataFrame, heads: DataFrame) -> DataFrame:
-    """``source, fields, header`` of every record below its file's header; of equal header names the last one counts.
 
-    ``heads`` is what ``text_heads`` gives; files without a second header field are left out.
-    """
-    headed = heads.where(F.col("header").isNotNull())
-    width = max(1, headed.agg(F.max("width")).first()[0] or 1)
-    below = records.join(broadcast_if_small(headed), "source").where(F.col("place") > F.col("first"))
-    return below.where("value <> ''").select("source", "header", _fields(F.col("value"), F.col("mark"), width).alias("fields"))
+def delimited_rows(
+    records: DataFrame, heads: DataFrame, aliases: Mapping[str, Sequence[str]] = defaults.CATEGORY_ALIASES
+) -> DataFrame:
+    """Image, class and split as each record below a header tells them; ``heads`` is what ``text_heads`` gives."""
+    below = records.join(heads.where("image_at IS NOT NULL"), "source")
+    split = below.where((F.col("place") > F.col("first")) & (F.col("value") != "")).withColumn(
+        "fields", delimited.fields(F.col("value"), F.col("mark"))
+    )
+    return split.select("source", "file_split", *_told(lambda kind: F.get("fields", F.col(f"{kind}_at")), aliases))
 
 
-def _known(name: Column, header: Column, fields: Column) -> Column:
-    """The field below the last header of that name."""
-    place = F.size(header) - F.array_position(F.reverse(header), name)
-    return F.when(F.array_contains(header, name), F.get(fields, place.cast("int")))
+def _told(field: Callable[[str], Column], aliases: Mapping[str, Sequence[str]]) -> list[Column]:
+    return [
+        field("image").alias("raw_path"),
+        tokens.canonical_category(field("label"), aliases).alias("given_category"),
+        tokens.canonical_split(field("split")).alias("given_split"),
+    ]
 
 
 def _json_values(documents: DataFrame) -> DataFrame:
@@ -182,31 +149,18 @@ def header_columns(heads: DataFrame) -> DataFrame:
     )
 
 
-def records_from_rows(
-    rows: DataFrame,
-    heads: DataFrame,
-    inventory: DataFrame,
-    root: str,
-    aliases: Mapping[str, Sequence[str]] = defaults.CATEGORY_ALIASES,
+def map_rows(
+    rows: DataFrame, heads: DataFrame, aliases: Mapping[str, Sequence[str]] = defaults.CATEGORY_ALIASES
 ) -> DataFrame:
-    """Resolve the image, then class and split of each row; rows that lack any of them are dropped.
-
-    ``rows`` has a map ``row``, or the arrays ``header`` and ``fields``.
-    """
+    """Image, class and split as each map ``row`` tells them, by the header of its file."""
     located = rows.join(broadcast_if_small(header_columns(heads)), "source").where("image_col is not null")
+    return located.select("source", "file_split", *_told(lambda kind: F.try_element_at("row", F.col(f"{kind}_col")), aliases))
 
-    def field(name: str) -> Column:
-        if "row" in rows.columns:
-            return F.try_element_at("row", F.col(name))
-        return _known(F.col(name), F.col("header"), F.col("fields"))
 
-    raw = located.select(
-        "source",
-        "file_split",
-        field("image_col").alias("raw_path"),
-        tokens.canonical_category(field("label_col"), aliases).alias("given_category"),
-        tokens.canonical_split(field("split_col")).alias("given_split"),
-    )
+def records_from_rows(
+    raw: DataFrame, inventory: DataFrame, root: str, aliases: Mapping[str, Sequence[str]] = defaults.CATEGORY_ALIASES
+) -> DataFrame:
+    """Resolve the image, then class and split of each row; rows that lack any of them are dropped."""
     found = resolve_paths(raw, inventory, root, "raw_path")
     return found.select(
         complete_rows(
@@ -282,18 +236,18 @@ def annotation_records(
     items += [_json_lines(_lines(spark, folder, listed, ".jsonl"))] if kinds["lines"] else []
     if items:
         rows, heads = json_rows(items[0] if len(items) == 1 else items[0].unionByName(items[1]))
-        found = found.unionByName(records_from_rows(rows, heads, pictures, root, aliases))
+        found = found.unionByName(records_from_rows(map_rows(rows, heads, aliases), pictures, root, aliases))
     if not kinds["text"]:
         return found
 
-    lines = _lines(spark, folder, listed, *TEXT_SUFFIXES)
-    broken = lines.where(~F.is_valid_utf8("value")).select("source").distinct()
     # The positions must be the same for all that follows.
-    lines = materialize(lines.join(broadcast_if_small(broken), "source", "left_anti"), "annotation-lines")
-    records = logical_records(lines)
+    lines = materialize(_lines(spark, folder, listed, *TEXT_SUFFIXES), "annotation-lines")
+    facts = materialize(file_facts(lines), "annotation-facts")
+    lines = lines.join(facts.where("NOT broken").drop("broken"), "source")
+    marked = lines.where(F.col("mark").isNotNull())
+    records = delimited.logical_records(marked).join(facts.select("source", "first", "mark"), "source")
     heads = materialize(text_heads(records), "annotation-heads")
-    rows = delimited_rows(records, heads)
-    headed = records_from_rows(rows, heads.where(F.col("header").isNotNull()), pictures, root, aliases)
+    headed = records_from_rows(delimited_rows(records, heads, aliases), pictures, root, aliases)
     headed = materialize(headed, "annotations")
     done = headed.select("source").distinct()
     rest = lines.join(broadcast_if_small(done), "source", "left_anti").select("source", "value")
