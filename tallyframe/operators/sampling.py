@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe import defaults
 from tallyframe.operators.ranking import GROUP_LIMIT, global_rank, smallest, smallest_per_group
-from tallyframe.session import broadcast_if_small, materialize, small_table
+from tallyframe.session import BROADCAST_ROW_LIMIT, broadcast_if_small, materialize, small_table
 
 
 def class_order(column: str, classes: Sequence[str]) -> Column:
@@ -298,18 +300,18 @@ def weighted_draws(
     draws spread over them, so that no join key gets more than about ``rows_per_salt`` draws. The repeats add at most
     draws / rows_per_salt rows in total. Class, rank and salt are one dense number, which sorts and hashes faster than
     three. The result has one row per draw with its number in ``draw``. Classes may be many: they stay a table of one
-    row each, which one task puts in order.
+    row each, which one task puts in order. A null label is a class.
     """
     total = draws if draws is not None else df.count()
     if total <= 0:
         raise ValueError("Balanced sampling needs at least one row.")
-    classes = materialize(class_weights(df, label_col, boost_class, boost, exponent), "classes")
-    if not classes.where(F.col(label_col).isNull()).isEmpty():
-        raise ValueError("Weighted draws need a label in every row.")
+    classes = class_weights(df, label_col, boost_class, boost, exponent)
     table = materialize(_draw_table(classes, label_col, total, rows_per_salt), "class-bounds")
+    count = table.count()
+    few = F.broadcast if count <= BROADCAST_ROW_LIMIT else (lambda rows: rows)
 
     # Draws find their class by cells of the unit interval; a class lies in as many cells as its mass covers.
-    cells = max(1024, min(table.count(), 1 << 20))
+    cells = max(1024, min(count, 1 << 20))
     covered = table.select(
         F.explode(F.sequence(F.floor(F.col("__lower") * cells), F.least(F.lit(cells - 1), F.floor(F.col("__upper") * cells)))).alias("__cell"),
         "__lower", "__upper", "__size", "__salts", "__start", "__last",
@@ -321,16 +323,16 @@ def weighted_draws(
         .withColumn("__u", uniform(F.col("draw"), f"{seed}:class"))
         .withColumn("__cell", F.floor(F.col("__u") * cells))
     )
-    found = placed.join(broadcast_if_small(covered), "__cell").where(
+    found = placed.join(few(covered), "__cell").where(
         (F.col("__u") >= F.col("__lower")) & (F.col("__last") | (F.col("__u") < F.col("__upper")))
     )
     place = F.floor(uniform(F.col("draw"), f"{seed}:row") * F.col("__size")).cast("bigint")
     number = F.col("__start") + place * F.col("__salts") + F.pmod(F.col("draw"), F.col("__salts"))
     drawn = found.select("draw", number.alias("__number"))
 
-    ranked = global_rank(df, order, [label_col], "__rank").join(
-        broadcast_if_small(table.select(label_col, "__salts", "__start")), label_col
-    )
+    known = few(table.select(F.col(label_col).alias("__class"), "__salts", "__start"))
+    ranked = global_rank(df, order, [label_col], "__rank")
+    ranked = ranked.join(known, ranked[label_col].eqNullSafe(known["__class"]))
     first = F.col("__start") + (F.col("__rank") - 1) * F.col("__salts")
     # Two steps, so that a row with many repeats needs no long array.
     runs = ranked.select(
@@ -344,6 +346,76 @@ def weighted_draws(
 
 # Repeats of a row that are made at once.
 _RUN = 4096
+# Weights that are no whole numbers are rounded to this part of the largest one, or a coarser part where the masses of all
+# rows together would pass FINEST_MASS.
+FINEST_WEIGHT, FINEST_MASS = 1 << 31, 1 << 62
+
+
+def _masses(df: DataFrame, weight: Column) -> DataFrame:
+    """Rows with a positive weight as ``row`` and ``mass``, a whole number, so that sums are exact in any order."""
+    kind = df.select(weight.alias("w")).schema["w"].dataType
+    weighed = df.select(F.struct("*").alias("row"), weight.alias("w")).where("w IS NOT NULL")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        facts = weighed.agg(F.min("w")).first()
+        mass = F.col("w").cast("bigint")
+    else:
+        weighed = weighed.withColumn("w", F.col("w").cast("double"))
+        facts = weighed.agg(F.min("w"), F.max("w"), F.count("*")).first()
+        if facts[2] and not math.isfinite(facts[1]):
+            raise ValueError("Weights must be finite.")
+        parts = min(FINEST_WEIGHT, FINEST_MASS // max(facts[2], 1))
+        mass = F.round(F.col("w") / F.lit(facts[1] or 1.0) * F.lit(float(parts))).cast("bigint")
+    if facts[0] is not None and facts[0] < 0:
+        raise ValueError("Weights must not be negative.")
+    return weighed.select("row", mass.alias("mass")).where("mass > 0")
+
+
+def weighted_row_draws(
+    df: DataFrame, weight: Column, order: Sequence[str], seed: int = 42, draws: int | None = None
+) -> DataFrame:
+    """Draws with replacement, as many as there are rows unless said otherwise, by a weight of each row.
+
+    Rows lie one after the other, in the order of ``order`` (unique), on a line, each as long as its weight; a draw is a
+    point on the line and takes the row that it hits. Rows with a null or zero weight are never drawn. Starts of rows and
+    points are range-partitioned together, so that neither a heavy row with most of the draws nor a crowd of light rows
+    fills one task, and every point takes the last start before it, if need be from an earlier partition. The result has
+    one row per draw with its number in ``draw``.
+    """
+    total_draws = draws if draws is not None else df.count()
+    weighed = _masses(df, weight)
+    keys = [F.col(f"row.{name}") for name in order]
+    slot, part = F.monotonically_increasing_id(), F.shiftright("__slot", 33)
+    sorted_rows = weighed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__slot", slot)
+    placed = materialize(sorted_rows, "weighted-rows").withColumn("__part", part)
+    # One row per partition.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = materialize(placed.groupBy("__part").agg(F.sum("mass").alias("sum")), "weighted-parts")
+    total = sums.agg(F.sum("sum")).first()[0]
+    if total_draws <= 0 or not total:
+        raise ValueError("Balanced sampling needs at least one row.")
+    offsets = sums.select("__part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("__part").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.join(broadcast_if_small(offsets), "__part").select(
+        (F.col("offset") + F.coalesce(F.sum("mass").over(inside), F.lit(0))).alias("at"), F.lit(None).cast("bigint").alias("draw"), "row"
+    )
+    point = F.floor(uniform(F.col("id"), f"{seed}:row") * F.lit(float(total))).cast("bigint")
+    # Rounding must not carry a point past the end.
+    points = df.sparkSession.range(total_draws).select(
+        F.least(point, F.lit(total - 1)).alias("at"), F.col("id").alias("draw"), F.lit(None).cast(starts.schema["row"].dataType).alias("row")
+    )
+    # A start comes before the points at the same place, since its draw is null.
+    both = starts.unionByName(points).repartitionByRange("at", "draw").sortWithinPartitions("at", "draw").withColumn("__slot", slot)
+    both = materialize(both, "weighted-line").withColumn("__part", part)
+    last = both.where("row IS NOT NULL").groupBy("__part").agg(F.max_by("row", "__slot").alias("last"))
+    # A partition of points alone takes the last row of the nearest partition before it that has one.
+    carried = both.select("__part").distinct().join(last, "__part", "left").select(
+        "__part", F.last("last", ignorenulls=True).over(before).alias("carried")
+    )
+    so_far = Window.partitionBy("__part").orderBy("__slot").rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.join(broadcast_if_small(carried), "__part").withColumn(
+        "hit", F.coalesce(F.last("row", ignorenulls=True).over(so_far), F.col("carried"))
+    )
+    return hit.where("draw IS NOT NULL").select("draw", "hit.*")
 
 
 def _draw_table(classes: DataFrame, label_col: str, total: int, rows_per_salt: int) -> DataFrame:

@@ -223,3 +223,33 @@ def weighted_draws(spark, sf_dir):
 def weighted_draws_of_rare_class(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return sampling.weighted_draws(labels, "toxic", ["doc_id"], 5, boost_class=1, boost=3.0, rows_per_salt=4)
+
+
+@query("""WITH m AS (SELECT doc_id, lang, coalesce(n_chars, 0) AS mass FROM documents),
+  line AS (SELECT *, sum(mass) OVER (ORDER BY doc_id)::BIGINT AS reached FROM m),
+  total AS (SELECT sum(mass)::BIGINT AS total FROM m),
+  points AS (SELECT draw, least(floor(('0x' || substr(md5('11:row:' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+      * total::DOUBLE)::BIGINT, total - 1) AS place
+    FROM (SELECT range AS draw FROM range((SELECT count(*) FROM documents))), total)
+  SELECT draw, doc_id, lang, mass FROM points JOIN line ON place >= reached - mass AND place < reached""")
+def weighted_row_draws(spark, sf_dir):
+    """Documents drawn by their length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("n_chars", F.lit(0)).cast("bigint").alias("mass"))
+    return sampling.weighted_row_draws(docs, F.col("mass"), ["doc_id"], 11)
+
+
+@query("""WITH c AS (SELECT doc_id, CASE WHEN lang <> 'en' THEN lang END AS lang FROM documents),
+  n AS (SELECT lang, count(*) AS n, 1.0 / count(*) AS weight FROM c GROUP BY lang),
+  mass AS (SELECT lang, n, (sum(n * weight) OVER w - n * weight) / (SELECT sum(n * weight) FROM n) AS lower,
+      sum(n * weight) OVER w / (SELECT sum(n * weight) FROM n) AS upper,
+      row_number() OVER (ORDER BY lang DESC NULLS LAST) = 1 AS is_last FROM n WINDOW w AS (ORDER BY lang NULLS FIRST)),
+  units AS (SELECT draw, ('0x' || substr(md5('4:class:' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u,
+      ('0x' || substr(md5('4:row:' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS v
+    FROM (SELECT range AS draw FROM range((SELECT count(*) FROM c)))),
+  picks AS (SELECT draw, lang, floor(v * n)::BIGINT + 1 AS rank FROM units JOIN mass ON u >= lower AND (u < upper OR is_last)),
+  ranked AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM c)
+  SELECT draw, doc_id, r.lang FROM picks p JOIN ranked r ON p.lang IS NOT DISTINCT FROM r.lang AND p.rank = r.rank""")
+def weighted_draws_of_unlabelled(spark, sf_dir):
+    """Draws over languages of which the largest is unknown: null is a class."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("CASE WHEN lang <> 'en' THEN lang END").alias("lang"))
+    return sampling.weighted_draws(docs, "lang", ["doc_id"], 4)

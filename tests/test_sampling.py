@@ -166,8 +166,47 @@ def test_null_labels_are_a_class_of_their_own(spark):
     rows = spark.createDataFrame([(1, None), (2, None), (3, "a")], "key bigint, label string")
     weighted = sampling.attach_weights(rows, sampling.class_weights(rows))
     assert sorted((r["key"], r["weight"]) for r in weighted.collect()) == [(1, 0.5), (2, 0.5), (3, 1.0)]
-    with pytest.raises(ValueError, match="label in every row"):
-        sampling.weighted_draws(rows, "label", ["key"])
+    drawn = sampling.weighted_draws(rows, "label", ["key"], draws=2000, rows_per_salt=10).collect()
+    shares = Counter((r["label"], r["key"]) for r in drawn)
+    assert len(drawn) == 2000 and set(shares) == {(None, 1), (None, 2), ("a", 3)}
+    assert abs(shares["a", 3] - 1000) < 120 and abs(shares[None, 1] - 500) < 120
+
+
+def hit_rows(masses, seed, draws):
+    """Draw and key by the definition: points on the line of the keys in their order."""
+    import hashlib
+
+    total, out = sum(masses.values()), []
+    for draw in range(draws):
+        unit = int(hashlib.md5(f"{seed}:row:{draw}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        place = min(int(unit * total), total - 1)
+        for key in sorted(masses):
+            place -= masses[key]
+            if place < 0:
+                out.append((draw, key))
+                break
+    return out
+
+
+def test_draws_by_row_weights(spark, many_partitions):
+    """A heavy row, a crowd of light ones, rows without a weight, and names that the operator uses itself."""
+    rows = [(i, 100_000 if i == 70 else None if i == 3 else 0 if i < 3 else 1 + i % 5, "w") for i in range(400)]
+    df = spark.createDataFrame(rows, "key bigint, mass int, row string").repartition(7)
+    masses = {key: mass or 0 for key, mass, _ in rows}
+    got = sampling.weighted_row_draws(df, F.col("mass"), ["key"], seed=9, draws=3000).collect()
+    assert sorted((r["draw"], r["key"]) for r in got) == hit_rows(masses, 9, 3000)
+    assert len({r["key"] for r in got}) > 10 and all(r["row"] == "w" for r in got)
+    # The same weights as fractions, as many draws as rows, and one row alone.
+    halves = sampling.weighted_row_draws(df, F.col("mass") / 2, ["key"], seed=9).collect()
+    assert len(halves) == 400 and sum(r["key"] == 70 for r in halves) > 380
+    one = sampling.weighted_row_draws(df.where("key = 9"), F.lit(0.3), ["key"], draws=50).collect()
+    assert {(r["draw"], r["key"]) for r in one} == {(n, 9) for n in range(50)}
+
+
+@pytest.mark.parametrize("weight", ["-1", "0", "cast(null as double)", "double('Infinity')"])
+def test_draws_need_good_weights(spark, weight):
+    with pytest.raises(ValueError):
+        sampling.weighted_row_draws(frame(spark, [(1, "a"), (2, "b")]), F.expr(weight), ["key"])
 
 
 @pytest.mark.parametrize("k", [1001, 3000, 20_000])
