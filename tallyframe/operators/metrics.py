@@ -49,7 +49,8 @@ def _label_rows(pairs: DataFrame, by: Sequence[str], classes: Sequence[str]) ->
         ),
         entry(F.col(_PRED), F.coalesce(F.col("first_index") * 2 + 1, far), zero, zero, n, no_cell),
     )
-    base_rows = F.array(*[entry(F.lit(c), far, zero, zero, zero, no_cell) for c in classes])
+    # One entry too many, so that the type is known without classes, too.
+    base_rows = F.slice(F.array(*[entry(F.lit(c), far, zero, zero, zero, no_cell) for c in [*classes, ""]]), 1, len(classes))
     # The base classes appear even when no row has them: one extra row per class and group.
     if by:
         lead = F.row_number().over(Window.partitionBy(*by).orderBy(_TRUE, _PRED)) == 1
@@ -60,7 +61,7 @@ def _label_rows(pairs: DataFrame, by: Sequence[str], classes: Sequence[str]) ->
         stacked = pairs.select(F.inline(pair_rows)).unionByName(
             pairs.sparkSession.range(1).select(F.inline(base_rows))
         )
-    position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label"))
+    position = F.array_position(F.array(*[F.lit(c) for c in classes]).cast("array<string>"), F.col("label"))
     return (
         stacked
         .groupBy(*by, "label")
@@ -107,6 +108,13 @@ def metric_labels(
     return rows.select(*by, "label", (F.row_number().over(order) - 1).cast("bigint").alias("label_order"))
 
 
+def sparse_confusion(
+    df: DataFrame, by: Sequence[str] = (), true_col: str = _TRUE, pred_col: str = _PRED
+) -> DataFrame:
+    """The pairs of labels that occur, and how often: the confusion matrix of label sets of any size."""
+    return pair_counts(df, by, true_col, pred_col).drop("first_index")
+
+
 def confusion(
     df: DataFrame,
     classes: Sequence[str] = defaults.CLASS_LABELS,
@@ -114,7 +122,10 @@ def confusion(
     true_col: str = _TRUE,
     pred_col: str = _PRED,
 ) -> DataFrame:
-    """Long confusion matrix: one row per pair of labels, zero-filled."""
+    """Long confusion matrix: one row per pair of labels, zero-filled, so for a short list of labels.
+
+    For open label sets see ``sparse_confusion``.
+    """
     pairs = pair_counts(df, by, true_col, pred_col)
     labels = _label_rows(pairs, by, classes).select(*by, F.col("label").alias(_TRUE))
     # A row per true label carries all labels; the counts, which stay sparse, join the pairs.
@@ -216,10 +227,13 @@ def compute_metrics(
     pred_col: str = _PRED,
     score_col: str | None = _SCORE,
     index_col: str | None = "index",
+    sparse: bool = False,
 ) -> DataFrame:
     """The metrics document: one row (per ``by`` group) with totals, per-class map, confusion matrix, distributions.
 
-    No prediction rows give no document.
+    No prediction rows give no document. With ``sparse`` the field ``matrix`` of the confusion matrix is a map from each
+    true label that occurs to the sorted predicted labels and their counts, so that a document grows with the pairs that
+    occur and not with the square of the labels.
     """
     rows = _label_rows(pair_counts(df, by, true_col, pred_col, index_col), by, classes)
     fields = F.struct(
@@ -242,9 +256,15 @@ def compute_metrics(
             ),
         ),
     )
-    matrix = F.transform(
-        "rows", lambda t: F.transform(F.col("rows"), lambda p: _cell(t["cells"], p["label"]))
-    )
+    if sparse:
+        true_rows = F.filter("rows", lambda r: F.size(r["cells"]) > 0)
+        matrix = F.map_from_arrays(
+            F.transform(true_rows, lambda r: r["label"]), F.transform(true_rows, lambda r: F.array_sort(r["cells"]))
+        )
+    else:
+        matrix = F.transform(
+            "rows", lambda t: F.transform(F.col("rows"), lambda p: _cell(t["cells"], p["label"]))
+        )
 
     def distribution(field: str) -> Column:
         return F.map_from_entries(
@@ -263,7 +283,7 @@ def compute_metrics(
         "accuracy",
         "macro_f1",
         per_class.alias("per_class"),
-        F.array(*[F.lit(p) for p in positive]).alias("binary_positive_labels"),
+        F.array(*[F.lit(p) for p in positive]).cast("array<string>").alias("binary_positive_labels"),
         F.struct(labels.alias("labels"), matrix.alias("matrix")).alias("confusion_matrix"),
         distribution("support").alias("class_distribution"),
         distribution("predicted").alias("prediction_distribution"),

@@ -24,6 +24,36 @@ def confusion(spark, sf_dir):
     return metrics.confusion(fx.quality_predictions(spark, sf_dir), _CLASSES)
 
 
+def _open_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as labels of their orders; every third order is taken for one of the customer before."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    guess = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") - 1).otherwise(F.col("o_custkey"))
+    return orders.select(
+        F.col("o_orderkey").alias("index"),
+        F.col("o_custkey").cast("string").alias("true_label"),
+        guess.cast("string").alias("predicted_label"),
+    )
+
+
+_OPEN_SQL = """WITH p AS (SELECT o_custkey::VARCHAR AS true_label,
+    (CASE WHEN o_orderkey % 3 = 0 THEN o_custkey - 1 ELSE o_custkey END)::VARCHAR AS predicted_label FROM orders)"""
+
+
+@query(f"{_OPEN_SQL} SELECT true_label, predicted_label, count(*) AS n FROM p GROUP BY ALL")
+def sparse_confusion(spark, sf_dir):
+    return metrics.sparse_confusion(_open_labels(spark, sf_dir))
+
+
+@query(f"""{_OPEN_SQL}, n AS (SELECT true_label, predicted_label, count(*) AS n FROM p GROUP BY ALL)
+  SELECT true_label, count(*) AS n_predicted, sum(n)::BIGINT AS n_rows FROM n GROUP BY true_label""")
+def sparse_metrics_document(spark, sf_dir):
+    """The rows of the matrix in the sparse document of an open label set."""
+    document = metrics.compute_metrics(_open_labels(spark, sf_dir), (), (), score_col=None, sparse=True)
+    rows = document.select(F.explode("confusion_matrix.matrix").alias("true_label", "cells"))
+    total = F.aggregate("cells", F.lit(0).cast("bigint"), lambda held, cell: held + cell["n"])
+    return rows.select("true_label", F.size("cells").cast("bigint").alias("n_predicted"), total.alias("n_rows"))
+
+
 @query(f"{_ALL_SQL} SELECT label, label_order FROM stats")
 def metric_labels(spark, sf_dir):
     return metrics.metric_labels(fx.quality_predictions(spark, sf_dir), "index", _CLASSES)

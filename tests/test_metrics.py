@@ -35,6 +35,23 @@ def test_unseen_labels_follow_in_first_seen_order(spark):
     assert doc["per_class"]["active_tb"].asDict() == {"precision": 0.0, "recall": 0.0, "f1": 0.0, "support": 0}
 
 
+def test_open_label_sets_stay_sparse(spark):
+    """20,000 labels: a document as large as the pairs that occur."""
+    names = F.concat(F.lit("c"), F.col("id") % 20_000)
+    rows = spark.range(60_000).select(
+        F.col("id").alias("index"), names.alias("true_label"), F.lit(0.5).alias("binary_score"),
+        F.when(F.col("id") % 3 == 0, F.lit("c0")).otherwise(names).alias("predicted_label"))
+    doc = metrics.compute_metrics(rows, classes=("c0", "none"), sparse=True).first()
+    assert len(doc["labels"]) == 20_001 and doc["total_samples"] == 60_000
+    matrix = {t: {cell["label"]: cell["n"] for cell in cells} for t, cells in doc["confusion_matrix"]["matrix"].items()}
+    assert "none" not in matrix and matrix["c0"] == {"c0": 3} and matrix["c1"] == {"c0": 1, "c1": 2}
+    pairs = {(t, p): n for t, cells in matrix.items() for p, n in cells.items()}
+    assert pairs == {(r["true_label"], r["predicted_label"]): r["n"] for r in metrics.sparse_confusion(rows).collect()}
+    dense = metrics.compute_metrics(predictions(spark, FOUR), sparse=True).first()
+    assert {t: [tuple(c) for c in cells] for t, cells in dense["confusion_matrix"]["matrix"].items()} == {
+        "active_tb": [("active_tb", 2)], "healthy": [("healthy", 1)], "sick_but_non_tb": [("healthy", 1)]}
+
+
 def test_no_predictions_give_no_document(spark):
     assert metrics.compute_metrics(predictions(spark, FOUR).limit(0)).count() == 0
 
