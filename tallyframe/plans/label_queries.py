@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyframe import defaults
 from tallyframe.functions import paths, tokens
+from tallyframe.functions.image_headers import checked_header
 from tallyframe.operators import audit, records
 from tallyframe.plans import fixtures as fx
 from tallyframe.plans.registry import query, table
+from tallyframe.session import materialize
 
 
 @query(f"""SELECT p_partkey, {fx.token_sql('p_name')} AS name_token, {fx.token_sql('p_brand')} AS brand_token,
@@ -315,13 +317,54 @@ def _long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("n_chars > 3000").select("doc_id", "n_chars")
 
 
-@query("""SELECT width, height, count(*) AS n FROM (
-    SELECT p_size % 4 * 256 AS width, (p_partkey % 3 * 256)::INT AS height FROM part)
-  WHERE width <> 512 OR height <> 512 GROUP BY ALL""")
+def _part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored image header per part, in turn of each format; every ninth one is cut short, every tenth is no image."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    number = F.when(key % 3 == 0, 512).otherwise(1 + key * 37 % 5000), F.when(size % 2 == 0, 512).otherwise(1 + size * 101 % 4000)
+    big = lambda value, size: F.lpad(F.hex(value), 2 * size, "0")
+
+    def little(value, size):
+        return F.concat(*[F.substring(big(value, size), 2 * n + 1, 2) for n in reversed(range(size))])
+
+    width, height = number
+    headers = [
+        [F.lit("89504E470D0A1A0A0000000D49484452"), big(width, 4), big(height, 4), F.lit("0806000000")],
+        [F.lit("FFD8FFE000104A46494600010100000100010000FFC2000B08"), big(height, 2), big(width, 2), F.lit("01011100")],
+        [F.lit("474946383961"), little(width, 2), little(height, 2)],
+        [F.lit("424D" + "00" * 12 + "28000000"), little(width, 4), little(height, 4), F.lit("01001800")],
+        [F.lit("4D4D002A000000080002" + "0100000300000001"), big(width, 2), F.lit("0000" + "0101000300000001"), big(height, 2), F.lit("0000")],
+        [F.lit("524946460000000057454250565038580A00000010000000"), little(width - 1, 3), little(height - 1, 3)],
+    ]
+    made = F.concat(*headers[0])
+    for turn, parts in enumerate(headers[1:], 1):
+        made = F.when(key % 6 == turn, F.concat(*parts)).otherwise(made)
+    content = F.when(key % 10 == 0, F.lit("6E6F")).when(key % 9 == 0, F.substring(made, 1, 36)).otherwise(made)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.unhex(content).alias("content"))
+    return materialize(rows, "images").select("p_partkey", checked_header(F.col("content")).alias("header")).select("p_partkey", "header.*")
+
+
+_IMAGES_SQL = """WITH made AS (SELECT p_partkey, p_partkey % 6 AS turn,
+    CASE WHEN p_partkey % 3 = 0 THEN 512 ELSE 1 + p_partkey * 37 % 5000 END::BIGINT AS w,
+    CASE WHEN p_size % 2 = 0 THEN 512 ELSE 1 + p_size * 101 % 4000 END::BIGINT AS h,
+    CASE WHEN p_partkey % 10 = 0 THEN 'unknown format' WHEN p_partkey % 9 = 0 THEN 'cut short' END AS error FROM part),
+  images AS (SELECT p_partkey, ['png', 'jpeg', 'gif', 'bmp', 'tiff', 'webp'][turn + 1] AS format, w AS width, h AS height,
+    [4, 1, 1, 3, 1, 4][turn + 1]::BIGINT AS channels, error FROM made)"""
+
+
+@query(f"""{_IMAGES_SQL} SELECT p_partkey, CASE WHEN error IS NULL THEN format END AS format,
+  CASE WHEN error IS NULL THEN width END AS width, CASE WHEN error IS NULL THEN height END AS height,
+  CASE WHEN error IS NULL THEN channels END AS channels, error FROM images""")
+def image_headers(spark, sf_dir):
+    """Size and channels from stored headers; broken ones have an error instead."""
+    good = F.col("readable")
+    told = [F.when(good, F.col(name)).alias(name) for name in ("format", "width", "height", "channels")]
+    return _part_images(spark, sf_dir).select("p_partkey", *told, "error")
+
+
+@query(f"""{_IMAGES_SQL} SELECT width, height, error, count(*) AS n FROM (
+    SELECT CASE WHEN error IS NULL THEN width END AS width, CASE WHEN error IS NULL THEN height END AS height, error FROM images)
+  WHERE error IS NOT NULL OR width <> 512 OR height <> 512 GROUP BY ALL""")
 def wrong_sizes(spark, sf_dir):
-    headers = table(spark, sf_dir, "part").select(
-        (F.col("p_size") % 4 * 256).alias("width"),
-        (F.col("p_partkey") % 3 * 256).cast("int").alias("height"),
-        (F.col("p_partkey") % 3 > 0).alias("readable"),
-    )
-    return audit.wrong_size(headers, defaults.IMAGE_SIZE).groupBy("width", "height").agg(F.count("*").alias("n"))
+    headers = _part_images(spark, sf_dir)
+    told = [F.when(F.col("readable"), F.col(name)).alias(name) for name in ("width", "height")]
+    return audit.wrong_size(headers, defaults.IMAGE_SIZE).select(*told, "error").groupBy("width", "height", "error").agg(F.count("*").alias("n"))

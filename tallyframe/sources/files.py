@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import paths
+from tallyframe.functions.image_headers import checked_header
 from tallyframe.session import broadcast_if_small, materialize
 
 INVENTORY_SCHEMA = "path string, length bigint"
@@ -98,15 +99,13 @@ def count_list_entries(spark: SparkSession, path: str) -> int | None:
 
 
 def image_headers(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """Size and channels of every image; an unreadable one has ``readable`` false instead of failing the query."""
-    decoded = spark.read.format("image").option("recursiveFileLookup", True).load(root)
-    return decoded.select(
-        paths.plain_path(F.col("image.origin")).alias("path"),
-        F.col("image.height").alias("height"),
-        F.col("image.width").alias("width"),
-        F.col("image.nChannels").alias("channels"),
-        (F.col("image.height") > 0).alias("readable"),
-    )
+    """Size and channels of every image file below ``root``, from its header; no pixel is decoded.
+
+    An image that can not be read has its ``error`` and ``readable`` false instead of failing the query.
+    """
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    found = stored.select(paths.plain_path(F.col("path")).alias("path"), "content").where(paths.is_image(F.col("path")))
+    return found.select("path", checked_header(F.col("content")).alias("header")).select("path", "header.*")
 
 
 def pixel_ranges(spark: SparkSession, files: list[str]) -> DataFrame:
