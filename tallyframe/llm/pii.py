@@ -222,9 +222,16 @@ def _date(year: str, month: str, day: str, key: bytes, undo: bool, first_day: in
             return date
 
 
+def _like(value: str, text: str) -> str:
+    """``text`` with its digits in the script of the first digit of ``value``."""
+    first = next(letter for letter in value if letter.isdecimal())
+    zero = ord(first) - unicodedata.decimal(first)
+    return text if zero == ord("0") else "".join(chr(zero + int(c)) if c.isdecimal() else c for c in text)
+
+
 def _ymd(value: str, key: bytes, undo: bool) -> str | None:
     date = _date(*value.split("-"), key, undo)
-    return date and date.isoformat()
+    return date and _like(value, date.isoformat())
 
 
 def _dmy(value: str, key: bytes, undo: bool) -> str | None:
@@ -237,15 +244,15 @@ def _dmy(value: str, key: bytes, undo: bool) -> str | None:
     if date is None:
         return None
     one, two = (date.day, date.month) if day_first else (date.month, date.day)
-    return f"{one:02d}{mark}{two:02d}{mark}{date.year:04d}"
+    return _like(value, f"{one:02d}{mark}{two:02d}{mark}{date.year:04d}")
 
 
 def _ip(value: str, key: bytes, undo: bool) -> str | None:
     parts = value.split(".")
-    if any(int(part) > 255 or (len(part) > 1 and part[0] == "0") for part in parts):
+    if any(int(part) > 255 or (len(part) > 1 and int(part[0]) == 0) for part in parts):
         return None
     number = int.from_bytes(bytes(map(int, parts)), "big")
-    return ".".join(map(str, permute(number, 1 << 32, key, "ip", undo).to_bytes(4, "big")))
+    return _like(value, ".".join(map(str, permute(number, 1 << 32, key, "ip", undo).to_bytes(4, "big"))))
 
 
 def _phone(value: str, key: bytes, undo: bool) -> str | None:
@@ -264,7 +271,7 @@ def _ssn(value: str, key: bytes, undo: bool) -> str | None:
     place = (area - 1 - (area > 666)) * 99 * 9999 + (group - 1) * 9999 + serial - 1
     place, serial = divmod(permute(place, 898 * 99 * 9999, key, "ssn", undo), 9999)
     area, group = divmod(place, 99)
-    return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
+    return _like(value, f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}")
 
 
 def _email(value: str, key: bytes, undo: bool) -> str | None:
@@ -360,8 +367,9 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
     Found: e-mail addresses, phone numbers, payment cards (Luhn), IBANs (modulo 97), social security numbers, IPv4
     addresses, dates with or without a time behind them (year-month-day; day.month.year; month/day/year, or
     day/month/year where that is none; 1900 to 2099) and keys of 32 to 64 hexadecimal digits in lower, upper or both
-    cases. What fails its validation stays as it is; so do all other characters. ``key`` has 16 to 64 bytes. A null text
-    stays null with 0 values. Rows and other columns stay.
+    cases; digits of other scripts count like ASCII ones and stay in their script. What fails its validation stays as it
+    is; so do all other characters. ``key`` has 16 to 64 bytes. A null text stays null with 0 values. Rows and other
+    columns stay.
     """
     if not 16 <= len(key) <= 64:
         raise ValueError("a key has 16 to 64 bytes")
@@ -374,8 +382,9 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFra
             [pa.array([text for text, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["text", "n"]
         )
 
-    # Every pattern holds an at sign or a digit; other texts stay in the JVM.
-    seen = F.when(F.col(text_col).rlike("[0-9@]"), F.col(text_col))
+    # Every pattern holds an at sign or a digit of any script; other texts stay in the JVM. What its Unicode version does
+    # not know yet may be a digit.
+    seen = F.when(F.col(text_col).rlike(r"[\p{Nd}\p{Cn}@]"), F.col(text_col))
     found = docs.withColumn("__llm_masked", masked(seen))
     return found.withColumns(
         {
