@@ -35,6 +35,11 @@ MIN_VOTES = 8
 VOTE_SHARE = 0.3
 MAX_BIT_ERROR = 0.25
 MIN_OVERLAP = 16
+# A query is heard from so many places inside its first step of time on, so that one of them nearly falls on the steps of
+# any recording that it shares sound with.
+PHASES = 8
+# Places that vote pairwise at once; integers that meet more often vote by a Fourier transform.
+VOTES_AT_ONCE = 1 << 22
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -115,6 +120,48 @@ def fingerprint(audio: Column, rate: int = RATE, decode: Callable[[object], np.n
     return ints(audio)
 
 
+def phases(audio: Column, rate: int = RATE, decode: Callable[[object], np.ndarray] = pcm16, count: int = PHASES) -> Column:
+    """Packed integers as by ``fingerprint``, ``count`` times: each from ``HOP / count`` samples later on than the last."""
+
+    @F.arrow_udf("array<array<int>>")
+    def ints(column: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.list_(pa.int32()))
+        rows = []
+        for value in column:
+            samples = decode(value.as_py())
+            rows.append([packed(chroma(samples[HOP * n // count :], rate)) for n in range(count)])
+        return pa.array(rows, kind)
+
+    return ints(audio)
+
+
+def _offset_votes(query: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many places of ``query`` and ``other`` hold equal numbers, by offset (plus the length of ``query``)."""
+    size = len(query) + len(other) + 1
+    votes = np.zeros(size, np.int64)
+    order = np.argsort(other, kind="stable")
+    listed = other[order]
+    known, times = np.unique(query, return_counts=True)
+    first, last = np.searchsorted(listed, known), np.searchsorted(listed, known, "right")
+    often = known[times * (last - first) > VOTES_AT_ONCE]
+    for number in often:
+        sides = [np.zeros(size) for _ in range(2)]
+        sides[0][len(query) - np.flatnonzero(query == number)] = 1
+        sides[1][np.flatnonzero(other == number)] = 1
+        votes += np.rint(np.fft.irfft(np.prod([np.fft.rfft(side, 2 * size) for side in sides], axis=0), 2 * size)[:size]).astype(np.int64)
+    places = np.flatnonzero(~np.isin(query, often))
+    first, last = np.searchsorted(listed, query[places]), np.searchsorted(listed, query[places], "right")
+    met = places[last > first]
+    first, count = first[last > first], (last - first)[last > first]
+    cuts = np.searchsorted(np.cumsum(count), np.arange(VOTES_AT_ONCE, count.sum() + VOTES_AT_ONCE, VOTES_AT_ONCE))
+    for part in np.split(np.arange(len(met)), np.unique(cuts[cuts < len(met)])):
+        if len(part):
+            begin = np.repeat(first[part] - np.append(0, np.cumsum(count[part])[:-1]), count[part])
+            found = order[begin + np.arange(len(begin))]
+            votes += np.bincount(found - np.repeat(met[part], count[part]) + len(query), minlength=size)
+    return votes
+
+
 def _runs(score: np.ndarray, pairs: np.ndarray, same: np.ndarray) -> Iterator[tuple[int, int]]:
     """Places (begin, end) of the runs of highest score that are long enough and hold ``MIN_VOTES`` different pairs."""
     todo = [(0, len(score))]
@@ -134,24 +181,18 @@ def _runs(score: np.ndarray, pairs: np.ndarray, same: np.ndarray) -> Iterator[tu
         todo += [(low, begin), (end, high)]
 
 
-def alignments(query: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Where ``query`` and ``other`` share sound: offset in ``other``, equal pairs of integers, length, bit errors and
-    begin in ``query`` of each run, those with most equal pairs first, then those of the smallest offset.
-
-    Every offset that enough pairs vote for is tried. The run is the whole overlap if ``VOTE_SHARE`` of the query's pairs
-    are equal and few enough of its bits differ, else each part with ``MIN_VOTES`` different equal pairs. A run that
-    adds fewer than ``MIN_OVERLAP`` integers of either recording to those before it is left out.
-    """
+def _shared(query: np.ndarray, other: np.ndarray, phase: int) -> list[tuple[int, int, int, int, int, int]]:
+    """All runs of one phase of a query and another recording."""
     grams = [(a[:-1].astype(np.int64) << 32) | a[1:].view(np.uint32) for a in (query, other)]
-    votes = np.zeros(len(query) + len(other) + 1, np.int64)
-    for at in range(0, len(grams[0]), 256):
-        i, j = np.nonzero(grams[0][at : at + 256, None] == grams[1][None, :])
-        votes += np.bincount(j - (i + at) + len(query), minlength=len(votes))
+    votes = _offset_votes(*grams)
+    if not len(grams[0]):
+        return []
+    shift = len(query) - len(grams[0])
     share = max(1, int(np.ceil(len(grams[0]) * VOTE_SHARE)))
     allowed = 32 * MAX_BIT_ERROR
     found = []
     for place in np.flatnonzero(votes >= min(share, MIN_VOTES)):
-        offset = int(place) - len(query)
+        offset = int(place) - len(query) + shift
         begin, end = max(0, -offset), min(len(query), len(other) - offset)
         differing = (query[begin:end] ^ other[begin + offset : end + offset]).view(np.uint32)
         errors = np.bitwise_count(differing).astype(np.int64)
@@ -163,11 +204,25 @@ def alignments(query: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int
             runs = _runs(allowed - errors, pairs, same)
         for low, high in runs:
             equal = int(same[low : high - 1].sum())
-            found.append((offset, equal, high - low, int(errors[low:high].sum()), begin + low))
-    heard = np.zeros(len(query), bool), np.zeros(len(other), bool)
+            found.append((offset, equal, high - low, int(errors[low:high].sum()), begin + low, phase))
+    return found
+
+
+def alignments(query: np.ndarray | list[np.ndarray], other: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """Where ``query`` (its integers, or a list of them by phase) and ``other`` share sound: offset in ``other``, equal
+    pairs of integers, length, bit errors, begin in ``query`` and phase of each run, those with most equal pairs first,
+    then those of the smallest offset.
+
+    Every offset that enough pairs vote for is tried. The run is the whole overlap if ``VOTE_SHARE`` of the query's pairs
+    are equal and few enough of its bits differ, else each part with ``MIN_VOTES`` different equal pairs. A run that
+    adds fewer than ``MIN_OVERLAP`` integers of either recording to those before it is left out.
+    """
+    listed = query if isinstance(query, list) else [query]
+    found = [run for phase, ints in enumerate(listed) for run in _shared(ints, other, phase)]
+    heard = np.zeros(max(map(len, listed), default=0), bool), np.zeros(len(other), bool)
     kept = []
-    for run in sorted(found, key=lambda run: (-run[1], run[0], run[4])):
-        offset, _, length, _, begin = run
+    for run in sorted(found, key=lambda run: (-run[1], run[0], run[4], run[5])):
+        offset, _, length, _, begin, _ = run
         parts = heard[0][begin : begin + length], heard[1][begin + offset : begin + offset + length]
         if max(length - int(part.sum()) for part in parts) >= MIN_OVERLAP:
             kept.append(run)
@@ -185,74 +240,96 @@ def _votes_needed(count: Column) -> Column:
     return F.greatest(F.ceil(count * VOTE_SHARE), F.lit(1))
 
 
+_RUN_COLUMNS = "class_id match_class offset votes overlap bit_errors begin phase".split()
+
+
 def _align_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["class_id", "match_class", "offset", "votes", "overlap", "bit_errors", "begin"]
     for batch in batches:
-        rows = [
-            (q.as_py(), r.as_py(), *run)
-            for q, r, x, y in zip(*(batch.column(n) for n in ("q", "r", "q_ints", "r_ints")))
-            for run in alignments(np.array(x.as_py(), np.int32), np.array(y.as_py(), np.int32))
-        ]
-        yield pa.record_batch([pa.array([row[n] for row in rows], pa.int64()) for n in range(len(names))], names)
+        rows = []
+        for q, r, tried, x, y in zip(*(batch.column(n) for n in ("q", "r", "tried", "q_phases", "r_ints"))):
+            tried = set(tried.as_py())
+            heard = [np.array(ints if n in tried else [], np.int32) for n, ints in enumerate(x.as_py())]
+            rows += [(q.as_py(), r.as_py(), *run) for run in alignments(heard, np.array(y.as_py(), np.int32))]
+        columns = [pa.array([row[n] for row in rows], pa.int64()) for n in range(len(_RUN_COLUMNS))]
+        yield pa.record_batch(columns, _RUN_COLUMNS)
+
+
+def _grams(ints: Column) -> Column:
+    """Pairs of neighbouring integers, as one number each."""
+    pair = lambda a, b: F.call_function("shiftleft", a.cast("bigint"), F.lit(32)).bitwiseOR(
+        b.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    )
+    first = F.slice(ints, 1, F.greatest(F.size(ints) - 1, F.lit(0)))
+    return F.transform(first, lambda a, i: pair(a, F.get(ints, i + 1)))
 
 
-def align_recordings(recordings: DataFrame, queries: Column, id_col: str = "rec_id", ints_col: str = "ints") -> DataFrame:
+def align_recordings(
+    recordings: DataFrame, queries: Column, id_col: str = "rec_id", ints_col: str = "ints", phases_col: str | None = None
+) -> DataFrame:
     """Align the recordings where ``queries`` holds with all recordings.
 
     Recordings with the same integers are one class, named by its smallest id. Returns a row per recording with
     ``class_id`` and ``n_ints``; a query has a row for each run that it shares with another class: ``match_class``,
-    ``offset`` (place of the query's start in the match), ``votes``, ``overlap`` (integers in the run), ``bit_errors`` and
-    ``begin`` (the run's place in the query); without a match, and for other recordings, these are null. For what counts
-    as a run, see ``alignments``; of its bits at most ``MAX_BIT_ERROR`` are in error. Ids must not be null.
+    ``offset`` (place of the query's start in the match), ``votes``, ``overlap`` (integers in the run), ``bit_errors``,
+    ``begin`` (the run's place in the query) and ``phase``; without a match, and for other recordings, these are null. For
+    what counts as a run, see ``alignments``; of its bits at most ``MAX_BIT_ERROR`` are in error.
+
+    ``phases_col`` holds the ``phases`` of the queries; without it a query is heard on its own steps of time only, and
+    sound that lies between the steps of the other recording is lost. A class is heard by its query of the smallest id.
+    Ids are whole numbers; rows with a null id are left out, since no result could name them. A null list of integers
+    matches nothing. An empty table gives no rows.
 
     Candidates share one of the query's rarer pairs. As many of the commonest are left out as a match by either rule can
     do without, so no match is lost, and the few pairs that most recordings hold, such as silence, are not joined.
     """
     bound_batches(recordings.sparkSession)
-    stored = materialize(
-        recordings.select(F.col(id_col), F.col(ints_col).alias("ints"), queries.alias("is_query")), "audio-prints"
+    own = F.array(F.col(ints_col))
+    heard = F.coalesce(phases_col, own) if phases_col else own
+    stored = recordings.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("id"),
+        F.coalesce(ints_col, F.array().cast("array<int>")).alias("ints"),
+        F.coalesce(queries, F.lit(False)).alias("is_query"),
+        F.when(queries, heard).alias("phases"),
     )
+    stored = materialize(stored, "audio-prints")
+    first_query = F.min_by("phases", F.when(F.col("is_query"), F.col("id")))
     classes = materialize(
-        stored.groupBy("ints").agg(F.min(id_col).alias("class_id"), F.max("is_query").alias("is_query")), "audio-classes"
-    )
-    pair = lambda a, b: F.call_function("shiftleft", a.cast("bigint"), F.lit(32)).bitwiseOR(
-        b.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    )
-    grams = F.transform(
-        F.slice("ints", 1, F.greatest(F.size("ints") - 1, F.lit(0))), lambda a, i: pair(a, F.get("ints", i + 1))
+        stored.groupBy("ints").agg(F.min("id").alias("class_id"), F.max("is_query").alias("is_query"), first_query.alias("phases")),
+        "audio-classes",
     )
-    index = materialize(
-        classes.select("class_id", "is_query", F.posexplode(grams).alias("at", "gram")), "audio-index"
-    )
-    asked = index.where("is_query")
+    index = materialize(classes.select("class_id", F.explode(_grams(F.col("ints"))).alias("gram")), "audio-index")
+    phased = classes.where("is_query").select(F.col("class_id").alias("q"), F.posexplode("phases").alias("phase", "ints"))
+    asked = materialize(phased.select("q", "phase", F.posexplode(_grams(F.col("ints"))).alias("at", "gram")), "audio-asked")
     common = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    by_class = Window.partitionBy("q")
+    by_phase = Window.partitionBy("q", "phase")
     rare = (
-        asked.join(common, "gram")
-        .select(F.col("class_id").alias("q"), "gram", "n", "at")
-        .withColumn("place", F.row_number().over(by_class.orderBy("n", "gram", "at")))
-        .withColumn("kind", F.dense_rank().over(by_class.orderBy("n", "gram")))
-        .withColumn("count", F.count("*").over(by_class))
-        .withColumn("kinds", F.max("kind").over(by_class))
+        asked.join(common, "gram", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0)))
+        .withColumn("place", F.row_number().over(by_phase.orderBy("n", "gram", "at")))
+        .withColumn("kind", F.dense_rank().over(by_phase.orderBy("n", "gram")))
+        .withColumn("count", F.count("*").over(by_phase))
+        .withColumn("kinds", F.max("kind").over(by_phase))
         .where(
             (F.col("place") <= F.col("count") - _votes_needed(F.col("count")) + 1)
             | (F.col("kind") <= F.col("kinds") - MIN_VOTES + 1)
         )
-        .select("q", "gram")
+        .where("n > 0")
+        .select("q", "phase", "gram")
         .distinct()
     )
     candidates = (
         rare.join(index.select(F.col("class_id").alias("r"), "gram").distinct(), "gram")
         .where(F.col("q") != F.col("r"))
-        .select("q", "r")
-        .distinct()
+        .groupBy("q", "r")
+        .agg(F.collect_set("phase").alias("tried"))
     )
-    sides = [classes.select(F.col("class_id").alias(side), F.col("ints").alias(f"{side}_ints")) for side in "qr"]
-    paired = candidates.join(sides[0], "q").join(sides[1], "r")
-    kinds = ", ".join(f"{n} bigint" for n in "class_id match_class offset votes overlap bit_errors begin".split())
-    aligned = paired.select("q", "r", "q_ints", "r_ints").mapInArrow(_align_pairs, kinds)
-    matches = aligned.withColumn("is_query", F.lit(True))
-    named = stored.join(classes.select("ints", "class_id"), "ints").withColumn("n_ints", F.size("ints")).drop("ints")
-    return named.join(matches, ["class_id", "is_query"], "left").select(
-        id_col, "class_id", "n_ints", "is_query", "match_class", "offset", "votes", "overlap", "bit_errors", "begin"
+    paired = candidates.join(classes.select(F.col("class_id").alias("q"), F.col("phases").alias("q_phases")), "q").join(
+        classes.select(F.col("class_id").alias("r"), F.col("ints").alias("r_ints")), "r"
     )
+    kinds = ", ".join(f"{name} bigint" for name in _RUN_COLUMNS)
+    aligned = paired.select("q", "r", "tried", "q_phases", "r_ints").mapInArrow(_align_pairs, kinds)
+    matches = aligned.withColumn("is_query", F.lit(True))
+    named = stored.join(classes.select("ints", "class_id"), "ints").withColumn("n_ints", F.size("ints"))
+    found = named.select("id", "class_id", "n_ints", "is_query").join(matches, ["class_id", "is_query"], "left")
+    runs = [name for name in _RUN_COLUMNS if name != "class_id"]
+    return found.select(F.col("id").alias(id_col), *["class_id", "n_ints", "is_query", *runs])

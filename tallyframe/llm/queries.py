@@ -191,8 +191,12 @@ def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id",
         F.concat(F.slice("embedding", 1, 32), F.slice(F.coalesce("quoted", "embedding"), 33, 32)).alias("notes"),
     )
-    recordings = medley.select("vec_id", audio.fingerprint(F.col("notes"), decode=sounded).alias("ints"))
-    return audio.align_recordings(recordings, asked, "vec_id")
+    recordings = medley.select(
+        "vec_id",
+        audio.fingerprint(F.col("notes"), decode=sounded).alias("ints"),
+        audio.phases(F.when(asked, F.col("notes")), decode=sounded).alias("phases"),
+    )
+    return audio.align_recordings(recordings, asked, "vec_id", phases_col="phases")
 
 
 @query
