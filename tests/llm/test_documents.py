@@ -83,16 +83,25 @@ def test_quality_filter_keeps_what_measure_keeps(awkward, nothing):
 )
 def test_each_rule_rejects_its_case(spark, text, rule):
     frame = spark.createDataFrame([(text,), (prose(5, 80),)], "t string")
-    holds = next(r for r in quality.BASE_RULES + quality.RULES if r.name == rule).holds(F.col("t"))
-    assert [r[0] for r in frame.select(holds).collect()] == [False, True]
-
-
-def test_rules_are_ordered_by_rejections_per_second(spark, monkeypatch):
-    monkeypatch.setattr(quality, "LEAST_SAMPLE", 1)
-    monkeypatch.setattr(quality, "SAMPLE_SHARE", 1.0)
-    docs = spark.createDataFrame([("UPPER CASE",)] * 50 + [("lower case",)] * 10, "text string")
-    rules = [quality.Rule("never", lambda t: t.isNotNull()), quality.Rule("lower", lambda t: t == F.lower(t))]
-    assert [r.name for r in quality.order_rules(docs, rules)] == ["lower", "never"]
+    chosen = [r for r in quality.BASE_RULES + quality.RULES if r.name == rule]
+    assert [r[0] for r in frame.select(quality.verdict(F.col("t"), chosen)).collect()] == [False, True]
+
+
+def test_rules_are_ordered_by_rejections_per_second(spark):
+    """With the constants as they are, on a table smaller than the sample: rejections first, then costs."""
+    rows = [(prose(n, 300).upper() if n % 2 else prose(n, 300),) for n in range(60)]
+    docs = spark.createDataFrame(rows, "text string")
+    lower = lambda f: f.text == F.lower(f.text)
+    rules = [
+        quality.Rule("never", lambda f: f.text.isNotNull()),
+        quality.Rule("dear", lambda f: lower(f) & (f.n_repeat_words >= 0) & (quality.repeated_words(F.reverse(f.words)) >= 0)),
+        quality.Rule("cheap", lower),
+    ]
+    assert [r.name for r in quality.order_rules(docs, rules)] == ["cheap", "dear", "never"]
+    measured = {m.rule.name: m for m in quality.measure_rules(docs, rules)}
+    assert [measured[name].rejected for name in ("never", "dear", "cheap")] == [0, 30, 30]
+    assert measured["dear"].seconds > 2 * measured["cheap"].seconds
+    assert quality.measure_rules(docs.limit(0), rules) == [] and quality.order_rules(docs.limit(0), rules) == rules
 
 
 def test_quality_keeps_clean_documents(spark):
