@@ -89,13 +89,14 @@ def candidate_softmax_argmax(spark, sf_dir):
     )
 
 
-@query("""WITH s AS (SELECT vec_id, unnest([0, 1, 2, 3]) AS candidate_order, unnest(embedding[1:4]) AS score FROM embeddings),
+@query("""WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS candidate_order, unnest(embedding) AS score FROM embeddings),
   e AS (SELECT *, exp(score::DOUBLE - max(score::DOUBLE) OVER (PARTITION BY vec_id)) AS e FROM s)
-  SELECT vec_id, ['w', 'x', 'y', 'z'][candidate_order + 1] AS candidate, round(score::DOUBLE, 6) AS score,
+  SELECT vec_id, 'd' || lpad(candidate_order::VARCHAR, 4, '0') AS candidate, round(score::DOUBLE, 6) AS score,
     round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS probability FROM e""")
 def regroup_candidates(spark, sf_dir):
-    """Samples times candidates and back to one row per sample."""
-    names = ("w", "x", "y", "z")
+    """Samples times candidates, one per dimension, and back to one row per sample."""
+    width = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = tuple(f"d{number:04}" for number in range(width))
     expanded = scoring.expand_candidates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), names)
     scored = expanded.select(
         "vec_id", "candidate_order", "candidate", F.get("embedding", F.col("candidate_order")).cast("double").alias("score")
@@ -194,18 +195,22 @@ def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ANSWER_FRAME = ',{"role":"assistant","content":[{"type":"text","text":"Classification: "}]}'
+
+
 def length_scorer(conversation: pd.Series, prompt: pd.Series) -> pd.Series:
-    """A toy model: the shorter the answer compared with the number of digits in the prompt, the better."""
-    digits = prompt.str.count("[0-9]")
-    return -((conversation.str.len() - prompt.str.len()) / 10.0 - digits).abs()
+    """A toy model: the nearer the length of the class is to seven and the last figure of the sum of the prompt's digits,
+    the better."""
+    wanted = prompt.map(lambda text: 7 + sum(map(int, filter(str.isdecimal, text))) % 10)
+    return 0.0 - (conversation.str.len() - prompt.str.len() - len(_ANSWER_FRAME) - wanted).abs()
 
 
 @query(f"""WITH {cq.LABELLED_SQL}, c(candidate, ord) AS (VALUES ('active_tb', 0), ('healthy', 1), ('sick_but_non_tb', 2)),
   prompts AS (SELECT doc_id, category, '[{{"role":"user","content":[{{"type":"image","path":"' || path ||
     '"}},{{"type":"text","text":"{defaults.PROMPT}"}}]}}]' AS prompt FROM labelled),
   s AS (SELECT doc_id, category, candidate, ord,
-    -abs((length(',{{"role":"assistant","content":[{{"type":"text","text":"Classification: "}}]}}') + length(candidate)) / 10.0::DOUBLE
-      - length(regexp_replace(prompt, '[^0-9]', '', 'g'))) AS score FROM prompts, c)
+    0 - abs(length(candidate) - 7 - list_sum(list_transform(regexp_extract_all(prompt, '[0-9]'), lambda x: x::INT)) % 10)::DOUBLE AS score
+    FROM prompts, c)
   SELECT doc_id AS index, category AS true_label, arg_max(candidate, (score, -ord)) AS predicted_label,
     round(max(score), 6) AS best_score FROM s GROUP BY doc_id, category""")
 def score_conversations(spark, sf_dir):
@@ -263,10 +268,10 @@ def preprocess_subset(spark, sf_dir):
 @query(f"""WITH {cq.LABELLED_SQL}, c(category, ord) AS (VALUES ('active_tb', 0), ('healthy', 1), ('sick_but_non_tb', 2)),
   t AS (SELECT doc_id, path, category, ord, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS turn FROM labelled JOIN c USING (category)),
   p AS (SELECT *, row_number() OVER (ORDER BY turn, ord) - 1 AS position FROM t)
-  SELECT position, least({_PROMPT_LENGTH} + {_ANSWER_LENGTH} + 8, 350) AS tokens, ascii('[')::BIGINT AS first_id FROM p WHERE position < 128""")
+  SELECT position, least({_PROMPT_LENGTH} + {_ANSWER_LENGTH} + 8, 385) AS tokens, ascii('[')::BIGINT AS first_id FROM p WHERE position < 128""")
 def calibration_tokens(spark, sf_dir):
     # "path" becomes "image" and "file://" is put in front: 8 characters more.
-    done = scoring.calibration_dataset(_talks(spark, sf_dir), byte_tokenizer, 350)
+    done = scoring.calibration_dataset(_talks(spark, sf_dir), byte_tokenizer, 385)
     return done.select(
         "position", F.size("input_ids").cast("bigint").alias("tokens"), F.get("input_ids", F.lit(0)).alias("first_id")
     )
