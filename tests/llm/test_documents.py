@@ -301,23 +301,57 @@ def test_mix_of_awkward_and_empty_tables(awkward, nothing):
 # Shards
 
 
-def test_shards(spark):
+def skewed_rows():
     rng = random.Random(4)
     rows = [(n, rng.getrandbits(63), int(rng.paretovariate(2) * 50)) for n in range(8000)]
     # One hash holds a third of the rows, one id a tenth, and many rows are as small as can be.
-    rows += [(10_000 + n, 77, 60) for n in range(4000)] + [(5, 99, 10)] * 1200 + [(None, -5, 1)] * 500
-    docs = spark.createDataFrame(rows, "doc_id bigint, h bigint, size bigint").withColumn("slot", F.lit("x"))
-    found = sharding.shard_by_size(docs, "h", "doc_id", "size").collect()
-    assert len(found) == len(rows)
+    return rows + [(10_000 + n, 77, 60) for n in range(4000)] + [(5, 99, 10)] * 1200 + [(None, -5, 1)] * 500
+
+
+def good_shards(found, count):
+    """Sizes near equal, slots without gaps, and keys in order over the shards."""
     sizes, slots = Counter(), defaultdict(list)
     for row in found:
         sizes[row.shard] += row.size
         slots[row.shard].append(row.slot)
-    assert set(slots) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     fair = sum(sizes.values()) / 16
-    assert all(abs(size - fair) <= max(r.size for r in found) for size in sizes.values())
     order = [(r.h, -1 if r.doc_id is None else r.doc_id) for r in sorted(found, key=lambda r: (r.shard, r.slot))]
-    assert order == sorted(order)
+    return (
+        len(found) == count
+        and set(slots) == set(range(16))
+        and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        and all(abs(size - fair) <= max(r.size for r in found) for size in sizes.values())
+        and order == sorted(order)
+    )
+
+
+def test_shards(spark):
+    rows = skewed_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, h bigint, size bigint").withColumn("slot", F.lit("x"))
+    assert good_shards(sharding.shard_by_size(docs, "h", "doc_id", "size").collect(), len(rows))
+
+
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    """Two first ranges, and four parts at once: several rounds, after which no range is overfull."""
+    monkeypatch.setattr(sharding, "MAX_RANGES", 2)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 128)
+    monkeypatch.setattr(sharding, "PARTS", 8)
+    rows, seen = skewed_rows(), []
+    whole = sharding._subdivide
+    monkeypatch.setattr(sharding, "_subdivide", lambda *given: seen.append(whole(*given)) or seen[-1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, h bigint, size bigint").withColumns({"n": F.lit("x"), "r": F.lit(1)})
+    assert good_shards(sharding.shard_by_size(docs, "h", "doc_id", "size").collect(), len(rows))
+    _, stats, rounds = seen[0]
+    counts = [r.n for r in stats.collect()]
+    assert rounds >= 2 and sum(counts) == len(rows) and max(counts) <= sharding.OVERFULL * 128 and len(counts) > 30
+
+
+def test_shards_of_awkward_rows(spark):
+    rows = [(None, None, None), (1, None, -5), (2, 9, None), (3, 9, 100), (3, 9, 100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, h bigint, size bigint").withColumn("__llm", F.lit(1))
+    found = sharding.shard_by_size(docs, "h", "doc_id", "size", shards=2).collect()
+    assert sorted((r.shard, r.slot) for r in found) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0)]
+    assert [r.doc_id for r in sorted(found, key=lambda r: (r.shard, r.slot))][-2:] == [3, 3]
 
 
 def test_shards_of_few_and_no_rows(spark):
@@ -333,6 +367,15 @@ def test_shard_query(spark):
         raw = texts[row.doc_id].encode()
         assert (row.size, row.text_crc32, row.law, row.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
     assert sorted(r.doc_id for r in rows) == sorted(texts)
+    sizes, slots, shards = Counter(), defaultdict(list), defaultdict(set)
+    for row in rows:
+        sizes[row.shard] += row.size
+        slots[row.shard].append(row.slot)
+        shards[texts[row.doc_id]].add(row.shard)
+    assert all(sorted(places) == list(range(len(places))) for places in slots.values()) and set(sizes) == set(range(16))
+    assert all(abs(size - sum(sizes.values()) / 16) <= max(r.size for r in rows) for size in sizes.values())
+    # Equal texts lie side by side: in one shard, or in the two at whose border they are.
+    assert all(max(found) - min(found) <= 1 for found in shards.values())
 
 
 # Pseudonyms
