@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.quality import _bind
-from tallyframe.session import materialize
+from tallyframe.operators.ranking import global_rank
+from tallyframe.session import broadcast_if_small, materialize
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -110,7 +111,7 @@ def mix(
 ) -> DataFrame:
     """Add ``source_size``, ``target`` (see ``source_targets``), ``copies`` and ``taken`` (copies x size) to every row.
 
-    ``size_col`` holds sizes of 0 or more. ``copies`` is 0 to ``most``; over a source the copies sum up to their
+    Null and negative sizes count as 0. ``copies`` is 0 to ``most``; over a source the copies sum up to their
     expectation within one, and the taken sizes come near the target. Chance depends on ``seed`` and on the rows'
     content only; equal rows are interchangeable. A source whose sizes are all 0 has target 0 and no copies. A null
     source is a source. Pass the columns that are needed afterwards: the rows are written once, narrow rows move.
@@ -120,11 +121,12 @@ def mix(
             {
                 "__llm_uid": F.monotonically_increasing_id(),
                 "__llm_key": F.xxhash64(F.lit(seed), *[F.col(c) for c in docs.columns]),
+                "__llm_size": F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("bigint"),
             }
         ),
         "mix",
     )
-    targets = materialize(source_targets(stored, source_col, size_col, weights, most), "mix-targets")
+    targets = materialize(source_targets(stored, source_col, "__llm_size", weights, most), "mix-targets")
     targets = targets.select(
         F.col("source").alias("__llm_source"),
         "source_size",
@@ -136,9 +138,9 @@ def mix(
     extra = F.col("__llm_x") - F.floor("__llm_x")
     units = aimed.where(extra > 0).select(
         F.col("__llm_source").alias("source"),
-        F.floor(F.log2(F.col(size_col) + 1.0) * CLASSES).cast("int").alias("class"),
+        F.floor(F.log2(F.col("__llm_size") + 1.0) * CLASSES).cast("int").alias("class"),
         F.struct(
-            F.col(size_col).cast("bigint").alias("size"),
+            F.col("__llm_size").alias("size"),
             F.col("__llm_key").alias("key"),
             F.col("__llm_uid").alias("uid"),
             extra.alias("p"),
@@ -150,7 +152,7 @@ def mix(
     decided = _round_all(units, goals, seed)
     copies = (F.floor("__llm_x") + F.coalesce("__llm_extra", F.lit(0))).cast("int")
     whole = aimed.join(decided, aimed["__llm_uid"] == decided["__llm_unit"], "left").withColumn("copies", copies)
-    return whole.withColumn("taken", F.col("copies").cast("bigint") * F.col(size_col)).select(
+    return whole.withColumn("taken", F.col("copies").cast("bigint") * F.col("__llm_size")).select(
         *[c for c in docs.columns if c.lower() not in ("source_size", "target", "copies", "taken")],
         "source_size",
         "target",
@@ -159,6 +161,23 @@ def mix(
     )
 
 
+def _with_turns(units: DataFrame) -> DataFrame:
+    """``units`` with ``turn``: 0, but where more equal rows than fill a block share a key, their place in blocks of it.
+
+    Such rows are interchangeable, so that any order of them gives the same mix.
+    """
+    keyed = units.withColumn("key", F.col("unit.key"))
+    crowded = materialize(keyed.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select("key"), "mix-crowds")
+    if crowded.isEmpty():
+        return units.withColumn("turn", F.lit(0).cast("bigint"))
+    crowded = broadcast_if_small(crowded)
+    crowds = keyed.join(crowded, "key", "left_semi").select(*units.columns, "key")
+    ranked = global_rank(crowds, [F.col("unit.uid")], ["key"])
+    turns = ranked.select(*units.columns, F.floor((F.col("rank") - 1) / BLOCK_ROWS).cast("bigint").alias("turn"))
+    alone = keyed.join(crowded, "key", "left_anti").select(*units.columns, F.lit(0).cast("bigint").alias("turn"))
+    return alone.unionByName(turns)
+
+
 def _round_all(units: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     """``__llm_unit`` and ``__llm_extra`` (0 or 1) of every unit, from the tree over source, class and block.
 
@@ -168,8 +187,12 @@ def _round_all(units: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     counts = materialize(counts, "mix-blocks")
     most = counts.agg(F.max("blocks")).first()[0] or 1
     sizes = counts.withColumnsRenamed({"source": "__s", "class": "__c"})
-    level = units.join(sizes, units["source"].eqNullSafe(sizes["__s"]) & (units["class"] == sizes["__c"])).select(
-        "source", "class", F.pmod(F.xxhash64(F.lit(seed + 1), "unit.key"), "blocks").alias("block"), "unit"
+    turned = _with_turns(units)
+    spread = F.when(F.col("turn") == 0, F.xxhash64(F.lit(seed + 1), "unit.key")).otherwise(
+        F.xxhash64(F.lit(seed + 1), "unit.key", "turn")
+    )
+    level = turned.join(sizes, turned["source"].eqNullSafe(sizes["__s"]) & (turned["class"] == sizes["__c"])).select(
+        "source", "class", F.pmod(spread, "blocks").alias("block"), "unit"
     )
     over = ["source", "class", "block"]
     done: DataFrame | None = None

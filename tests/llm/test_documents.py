@@ -288,6 +288,56 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(sum(r.copies for r in found if r.source == source) - expected) < 1.01
 
 
+def test_mix_of_equal_rows_and_odd_sizes(spark):
+    """Thousands of equal rows are spread over blocks; null and negative sizes count as 0."""
+    rows = [("a", 10)] * 3000 + [("b", n % 7 + 1) for n in range(2000)] + [("c", None), ("c", -4), (None, 5)]
+    docs = spark.createDataFrame(rows, "source string, size bigint").repartition(6)
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows) and all(0 <= r.copies <= 3 for r in found)
+    for source in ("a", "b"):
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target
+    assert all(r.taken == 0 and r.source_size == 0 for r in found if r.source == "c")
+    units = spark.range(1000).select(F.struct(F.lit(7).alias("key"), F.col("id").alias("uid")).alias("unit"))
+    assert mixing._with_turns(units).groupBy("turn").count().agg(F.max("count")).first()[0] == mixing.BLOCK_ROWS
+
+
+def brute_targets(sizes):
+    """Shares by weights 1, 2, 3 and so on, over sources by code point, null last; what passes three sizes is dealt anew."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weights = {name: n % 3 + 1 for n, name in enumerate(names)}
+    total, targets, open_names = sum(sizes.values()), {}, set(names)
+    while True:
+        left = total - sum(targets.values())
+        shares = {name: left * weights[name] / sum(weights[n] for n in open_names) for name in open_names}
+        full = [name for name in open_names if shares[name] > 3 * sizes[name]]
+        if not full:
+            return {**targets, **shares}
+        for name in full:
+            targets[name] = 3 * sizes[name]
+            open_names.remove(name)
+
+
+def test_mix_query(spark):
+    rows = queries.op4_source_mixing(spark, SF).collect()
+    docs = {r.doc_id: r for r in queries.documents(spark, SF).collect()}
+    words = {doc: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for doc, r in docs.items()}
+    sizes = Counter()
+    for doc, r in docs.items():
+        sizes[r.source] += words[doc]
+    targets, taken = brute_targets(sizes), Counter()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        source = docs[r.doc_id].source
+        taken[source] += r.taken
+        assert r.size == words[r.doc_id] and r.source_size == sizes[source] and r.target == pytest.approx(targets[source])
+        assert r.taken in {0, r.size, 2 * r.size, 3 * r.size}
+    largest = {s: max(words[d] for d, r in docs.items() if r.source == s) for s in sizes}
+    assert all(abs(taken[s] - targets[s]) <= largest[s] for s in sizes)
+    again = queries.op4_source_mixing(spark, SF).collect()
+    assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in rows}
+
+
 def test_mix_of_awkward_and_empty_tables(awkward, nothing):
     # ``size`` is a string column there: the operator is given another one.
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(quality.WORD)).cast("bigint")
