@@ -6,6 +6,7 @@ lambda, which would evaluate it once per element.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -210,6 +211,76 @@ def percentile_normalize(
     return let(values, lambda v: let(let(F.array_sort(v), limits), lambda r: scaled(v, r)))
 
 
+def gaussian_kernel(sigma: float) -> list[float]:
+    """Weights of a Gaussian, their sum 1, as wide as four sigmas on each side, rounded to an odd number of places."""
+    if sigma <= 0:
+        raise ValueError("Sigma must be positive.")
+    radius = (round(8 * sigma + 1) | 1) // 2
+    raw = [math.exp(-(place**2) / (2 * sigma**2)) for place in range(-radius, radius + 1)]
+    return [weight / sum(raw) for weight in raw]
+
+
+def _smooth_rows(grid: Column, kernel: list[float]) -> Column:
+    """Each row convolved with the kernel; beyond its ends a row goes on as its mirror image, the ends not repeated."""
+    weights, radius = F.array(*[F.lit(w) for w in kernel]), len(kernel) // 2
+
+    def smooth(row: Column) -> Column:
+        period = F.greatest(2 * (F.size(row) - 1), F.lit(1))
+
+        def point(_: Column, i: Column) -> Column:
+            def add(total: Column, k: Column) -> Column:
+                place = F.pmod(i + k, period)
+                mirrored = F.when(place < F.size(row), place).otherwise(period - place)
+                return total + F.get(weights, k + radius) * F.get(row, mirrored)
+
+            return F.aggregate(F.sequence(F.lit(-radius), F.lit(radius)), F.lit(0.0), add)
+
+        return F.transform(row, point)
+
+    return F.transform(grid, smooth)
+
+
+def _transposed(grid: Column) -> Column:
+    width = F.coalesce(F.size(F.get(grid, F.lit(0))), F.lit(0))
+    columns = F.filter(F.sequence(F.lit(0), width), lambda n: n < width)
+    return F.transform(columns, lambda n: F.transform(grid, lambda row: F.get(row, n)))
+
+
+def gaussian_smooth(grid: Column, sigma: float) -> Column:
+    """A 2-D array of doubles smoothed by a Gaussian, along its rows and then along its columns.
+
+    Rows must have one length (see ``is_finite_grid``). A null grid stays null, an empty one empty.
+    """
+    kernel = gaussian_kernel(sigma)
+    smooth = let(let(_smooth_rows(grid, kernel), _transposed), lambda turned: let(_smooth_rows(turned, kernel), _transposed))
+    return F.when(grid.isNotNull(), smooth)
+
+
+def normalize_grid(
+    grid: Column,
+    low: float = defaults.CLIP_PERCENTILES[0],
+    high: float = defaults.CLIP_PERCENTILES[1],
+    gamma: float = defaults.GAMMA,
+    sigma: float = 0.0,
+) -> Column:
+    """``percentile_normalize`` of a 2-D array, smoothed by a Gaussian before ``gamma`` where ``sigma`` is positive."""
+    if sigma < 0:
+        raise ValueError("Sigma must not be negative.")
+
+    def reshaped(given: Column) -> Column:
+        width = F.size(F.get(given["grid"], F.lit(0)))
+        return F.transform(given["grid"], lambda _, i: F.slice(given["flat"], i * width + 1, width))
+
+    def shaped(held: Column) -> Column:
+        flat = percentile_normalize(F.flatten(held), low, high, 1.0)
+        return let(F.struct(held.alias("grid"), flat.alias("flat")), reshaped)
+
+    unit = let(grid, shaped)
+    unit = gaussian_smooth(unit, sigma) if sigma > 0 else unit
+    bent = lambda x: F.pow(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)), F.lit(gamma))
+    return F.transform(unit, lambda row: F.transform(row, bent))
+
+
 def token_saliency(activations: Column, gradients: Column, eps: float = defaults.SALIENCY_EPSILON) -> Column:
     """Gradient-weighted activation per token, as ``struct<method string, scores array<double>>``.
 

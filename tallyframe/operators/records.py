@@ -23,14 +23,15 @@ def resolve_paths(
 
     In order: the path itself (below ``root`` when relative), its base name directly in ``root``, any file with that
     base name. Several files with one base name give the smallest path. Two equi-joins with the inventory; the second
-    one with one row per base name, so that neither repeats rows. A path that very many rows share makes one large join
-    partition, which adaptive execution splits: the inventory side has a single row for it.
+    one with one row per base name, so that neither repeats rows. Rows without a raw path do not take part. A path that
+    very many rows share makes one large join partition, which adaptive execution splits: the inventory side has a single
+    row for it.
     """
     root = root.rstrip("/")
     raw = F.col(raw_col)
     is_absolute = raw.startswith("/")
     full = F.when(is_absolute, raw).otherwise(paths.clean_path(F.concat(F.lit(root + "/"), raw)))
-    keyed = df.withColumn("__full", full).withColumn("__base", paths.base_name(raw))
+    keyed = df.where(raw.isNotNull()).withColumn("__full", full).withColumn("__base", paths.base_name(raw))
 
     exact = inventory.select(F.col("path").alias("__exact")).distinct()
     by_name = (
@@ -45,10 +46,10 @@ def resolve_paths(
         by_name, F.col("__base") == F.col("__name"), "left"
     )
     found = F.coalesce("__exact", F.when(~is_absolute, F.col("__top")), "__any")
-    out = joined.withColumn("path", found)
-    return (out if keep_unresolved else out.where("path is not null")).drop(
-        "__full", "__base", "__exact", "__name", "__top", "__any"
-    )
+    out = joined.withColumn("path", found).drop("__full", "__base", "__exact", "__name", "__top", "__any")
+    if not keep_unresolved:
+        return out.where("path is not null")
+    return out.unionByName(df.where(raw.isNull()).withColumn("path", F.lit(None).cast("string")))
 
 
 def existing_only(df: DataFrame, inventory: DataFrame, path_col: str = "path") -> DataFrame:

@@ -76,6 +76,25 @@ def percentile_normalize(spark, sf_dir):
     return rows.select("vec_id", F.col("cell").cast("bigint").alias("cell"), F.round("heat", 6).alias("heat"))
 
 
+@query("""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS cell, unnest(embedding)::DOUBLE AS v FROM embeddings),
+  b AS (SELECT vec_id, quantile_cont(v, 0.55) AS low, quantile_cont(v, 0.995) AS high FROM x GROUP BY vec_id),
+  u AS (SELECT vec_id, cell // 8 AS y, cell % 8 AS x, least(greatest((v - low) / (high - low), 0), 1) AS v FROM x JOIN b USING (vec_id)),
+  k AS (SELECT k, exp(-k * k / (2 * 0.8 * 0.8::DOUBLE)) AS w FROM (SELECT unnest(range(-3, 4)) AS k)),
+  steps AS (SELECT p, CASE WHEN (p + k + 14) % 14 < 8 THEN (p + k + 14) % 14 ELSE 14 - (p + k + 14) % 14 END AS src, w / (SELECT sum(w) FROM k) AS w
+    FROM (SELECT unnest(range(8)) AS p), k),
+  mask AS (SELECT p, src, sum(w) AS w FROM steps GROUP BY ALL),
+  rows AS (SELECT vec_id, y, p AS x, sum(v * w) AS v FROM u JOIN mask ON x = src GROUP BY ALL),
+  both_ways AS (SELECT vec_id, p AS y, x, sum(v * w) AS v FROM rows JOIN mask ON y = src GROUP BY ALL)
+  SELECT vec_id, y AS row, x AS column, round(pow(least(greatest(v, 0), 1), 0.8::DOUBLE), 6) AS heat FROM both_ways""")
+def smoothed_maps(spark, sf_dir):
+    """Vectors as 8 x 8 maps, clipped, smoothed with a sigma of 0.8 and brightened."""
+    cells = _matrix(F.transform("embedding", lambda x: x.cast("double")))
+    heat = arrays.normalize_grid(cells, sigma=0.8)
+    lines = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(heat).alias("row", "line"))
+    rows = lines.select("vec_id", F.col("row").cast("bigint").alias("row"), F.posexplode("line").alias("column", "heat"))
+    return rows.select("vec_id", "row", F.col("column").cast("bigint").alias("column"), F.round("heat", 6).alias("heat"))
+
+
 @query("""SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS cell, round(CASE WHEN m = w THEN 0 ELSE (unnest(embedding)::DOUBLE - m) / (w - m) END, 6) AS value
   FROM (SELECT vec_id, embedding, list_min(embedding)::DOUBLE AS m, list_max(embedding)::DOUBLE AS w FROM embeddings)""")
 def minmax_normalize(spark, sf_dir):

@@ -144,3 +144,45 @@ def test_finite_maps(spark):
     assert [r["i"] for r in saliency.finite_maps(rows, "grid").collect()] == [0]
     with pytest.raises(ValueError, match="bad_maps=3"):
         saliency.finite_maps(rows, "grid", strict=True)
+
+
+def mirrored_blur(grid, sigma):
+    """Each point as the weighted sum over all neighbours, with mirrored borders, by the definition."""
+    radius = (round(8 * sigma + 1) | 1) // 2
+    weights = [math.exp(-(k**2) / (2 * sigma**2)) for k in range(-radius, radius + 1)]
+    weights = [w / sum(weights) for w in weights]
+
+    def at(place, size):
+        while size > 1 and not 0 <= place < size:
+            place = -place if place < 0 else 2 * (size - 1) - place
+        return place if size > 1 else 0
+
+    height, width = len(grid), len(grid[0])
+    steps = range(-radius, radius + 1)
+    return [[sum(weights[a + radius] * weights[b + radius] * grid[at(y + a, height)][at(x + b, width)] for a in steps for b in steps)
+             for x in range(width)] for y in range(height)]
+
+
+@pytest.mark.parametrize("height, width, sigma", [(5, 7, 0.8), (3, 4, 2.5), (1, 6, 1.0), (6, 1, 1.0), (2, 2, 1.3), (1, 1, 1.0)])
+def test_gaussian_smooth(spark, height, width, sigma):
+    rng = random.Random(height * width)
+    grid = [[rng.random() for _ in range(width)] for _ in range(height)]
+    column = F.array(*[numbers(row) for row in grid])
+    found = value(spark, arrays.gaussian_smooth(column, sigma))
+    assert np.array(found) == pytest.approx(np.array(mirrored_blur(grid, sigma)))
+    low, high = np.percentile(grid, [10, 90])
+    unit = np.clip((np.array(grid) - low) / (high - low), 0, 1).tolist() if high > low else [[0.0]]
+    for blur in (0.0, sigma):
+        expected = np.clip(mirrored_blur(unit, blur) if blur else unit, 0, 1) ** 0.7
+        assert np.array(value(spark, arrays.normalize_grid(column, 10, 90, 0.7, blur))) == pytest.approx(expected)
+
+
+def test_gaussian_smooth_edges(spark):
+    kind = "array<array<double>>"
+    assert value(spark, arrays.gaussian_smooth(F.lit(None).cast(kind), 1.0)) is None
+    assert value(spark, arrays.gaussian_smooth(F.array().cast(kind), 1.0)) == []
+    for bad in (0, -1.0):
+        with pytest.raises(ValueError):
+            arrays.gaussian_smooth(F.array().cast(kind), bad)
+    with pytest.raises(ValueError):
+        arrays.normalize_grid(F.array().cast(kind), sigma=-0.1)
