@@ -143,11 +143,15 @@ def annotation_line_breaks(spark, sf_dir):
     named.coalesce(1).write.options(header=True, escape='"').csv(root)
     pictures = files.images(fx.document_files(spark, sf_dir).select("path"))
     inventory = files.file_inventory(spark, root).select("path").unionByName(pictures)
+    return _read_in_blocks(spark, inventory, root)
+
+
+def _read_in_blocks(spark: SparkSession, inventory: DataFrame, folder: str) -> DataFrame:
     block = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(block)
     spark.conf.set(block, "8192")
     try:
-        found = annotations.annotation_records(spark, fx.ROOT, inventory, folder=root)
+        found = annotations.annotation_records(spark, fx.ROOT, inventory, folder=folder)
     finally:
         spark.conf.set(block, before)
     return found.select("path", "split", "category")
@@ -177,6 +181,23 @@ def annotation_lines(spark, sf_dir):
     return annotations.annotation_records(spark, fx.ROOT, inventory, folder=root).select("path", "split", "category")
 
 
+@query(f"WITH {fx.PATH_SQL}, {fx.ANNOTATION_SQL} SELECT path, split, category FROM annotated WHERE {fx.IMAGE_SQL}")
+def annotation_document_blocks(spark, sf_dir):
+    """One JSON document of all annotations, read in blocks of 8 KB; its notes hold quotes, commas and brackets."""
+    notes = fx.raw_annotations(spark, sf_dir)
+    note = F.concat(F.lit('a "note", [{'), F.col("doc_id"), F.lit("\\"))
+    item = F.struct(F.col("path").alias("file_name"), note.alias("note"), F.col("label_text").alias("finding"), F.col("split_text").alias("phase"))
+    row = F.concat(F.to_json(item, {"ignoreNullFields": "false"}), F.lit(","))
+    head = spark.range(1).select(F.lit(0).alias("part"), F.lit('{"info": {"images": [1, 2]}, "records": [').alias("value"))
+    end = spark.range(1).select(F.lit(2).alias("part"), F.lit("{}], \"items\": [3]}").alias("value"))
+    lines = head.unionByName(notes.select(F.lit(1).alias("part"), row.alias("value"))).unionByName(end)
+    root = scratch_path(spark, "document")
+    lines.coalesce(1).sortWithinPartitions("part").select("value").write.text(root)
+    _renamed(spark, root, ".json")
+    pictures = files.images(fx.document_files(spark, sf_dir).select("path"))
+    return _read_in_blocks(spark, files.file_inventory(spark, root).select("path").unionByName(pictures), root)
+
+
 _DOCUMENT_ROWS = 500
 
 

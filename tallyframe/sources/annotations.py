@@ -18,7 +18,7 @@ from tallyframe.functions.messages import JSON_OPTIONS
 from tallyframe.functions.text import complete_rows, strip
 from tallyframe.operators.records import resolve_paths
 from tallyframe.session import broadcast_if_small, materialize
-from tallyframe.sources import delimited
+from tallyframe.sources import delimited, json_documents
 from tallyframe.sources.files import annotation_files, exists, source_path
 
 RECORD_SCHEMA = "source string, path string, split string, category string"
@@ -31,10 +31,10 @@ def _pattern(*suffixes: str) -> str:
     return "{" + ",".join(f"*{suffix}" for suffix in any_case) + "}"
 
 
-def _lines(spark: SparkSession, folder: str, listed: DataFrame, *suffixes: str, whole: bool = False) -> DataFrame:
-    """``source, block, seq, value`` of every line (or whole file) of the ``listed`` files with these suffixes."""
+def _lines(spark: SparkSession, folder: str, listed: DataFrame, *suffixes: str, separator: str | None = None) -> DataFrame:
+    """``source, block, seq, value`` of every line (or text between separators) of the ``listed`` files with these suffixes."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _pattern(*suffixes))
-    rows = reader.text(folder, wholetext=whole).select(
+    rows = reader.text(folder, lineSep=separator).select(
         source_path().alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
@@ -92,30 +92,6 @@ def _told(field: Callable[[str], Column], aliases: Mapping[str, Sequence[str]])
     ]
 
 
-def _json_values(documents: DataFrame) -> DataFrame:
-    """Rows of whole JSON documents: the list itself, or the first known key that holds a list."""
-    document = documents.where(F.is_valid_utf8("value"))
-    as_map = F.from_json("value", "map<string,string>", JSON_OPTIONS)
-
-    def listed(held_map: Column) -> Column:
-        return F.coalesce(
-            *[
-                F.when(
-                    F.try_element_at(held_map, F.lit(key)).startswith("["),
-                    F.from_json(F.try_element_at(held_map, F.lit(key)), "array<string>", JSON_OPTIONS),
-                )
-                for key in defaults.JSON_ROW_KEYS
-            ]
-        )
-
-    items = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>", JSON_OPTIONS)).otherwise(
-        F.transform(F.array(as_map), listed)[0]
-    )
-    return document.select("source", F.posexplode(items).alias("seq", "item")).select(
-        "source", F.lit(0).cast("bigint").alias("block"), F.col("seq").cast("bigint").alias("seq"), "item"
-    )
-
-
 def _unreadable(line: Column) -> Column:
     """Whether a line is no JSON. Variants end at 16 MB, so a line that gives none is read as an object or a list."""
     checked = F.from_json(line, "__other string, __bad string", {**JSON_OPTIONS, "columnNameOfCorruptRecord": "__bad"})
@@ -123,6 +99,13 @@ def _unreadable(line: Column) -> Column:
     return F.when(F.try_parse_json(line).isNotNull(), False).otherwise(checked["__bad"].isNotNull() & ~as_list)
 
 
+def _json_values(pieces: DataFrame) -> DataFrame:
+    """Rows of JSON documents read as pieces between commas; one item that can not be read drops its whole document."""
+    items = materialize(json_documents.row_items(pieces, defaults.JSON_ROW_KEYS), "json-items")
+    bad = items.where(_unreadable(F.col("item"))).select("source").distinct()
+    return items.join(broadcast_if_small(materialize(bad, "bad-documents")), "source", "left_anti")
+
+
 def _json_lines(lines: DataFrame) -> DataFrame:
     """Rows of JSON-lines files; one bad line drops its whole file."""
     kept = lines.where(F.trim("value") != "")
@@ -232,7 +215,7 @@ def annotation_records(
     pictures = inventory.where(paths.is_image(F.col("path")))
     found = spark.createDataFrame([], RECORD_SCHEMA)
 
-    items = [_json_values(_lines(spark, folder, listed, ".json", whole=True))] if kinds["documents"] else []
+    items = [_json_values(_lines(spark, folder, listed, ".json", separator=json_documents.SEPARATOR))] if kinds["documents"] else []
     items += [_json_lines(_lines(spark, folder, listed, ".jsonl"))] if kinds["lines"] else []
     if items:
         rows, heads = json_rows(items[0] if len(items) == 1 else items[0].unionByName(items[1]))
