@@ -64,34 +64,74 @@ def training_messages(
 _STORED_MESSAGES = "array<struct<role:string,content:variant>>"
 
 
-_TEXT_MESSAGES = "array<struct<role:string,content:string>>"
-_LIST_MESSAGES = "array<struct<content:array<string>>>"
+# The same contents by what their JSON is: a text for any kind, the others null unless it is of that kind.
+_KINDS_OF_CONTENT = {"text": "string", "list": "array<string>", "object": "map<string,string>", "number": "double", "truth": "boolean"}
 # The parsers' own limit on one string, 20 million characters, is lifted to what a column can hold.
 JSON_OPTIONS = {"maxStringLen": str((1 << 31) - 1)}
 
 
+def _quoted(text: Column) -> Column:
+    return let(F.to_json(F.array(text)), lambda listed: listed.substr(F.lit(2), F.length(listed) - 2))
+
+
+def _raw_parts(raw_list: Column, parts: Column) -> Column:
+    """The JSON of each part of a list, given the JSON of the list and its parts read as texts.
+
+    Parsing a list as texts takes the quotes from its texts only, so a part is a text if a quote stands where it begins.
+    """
+
+    def walked(octets: Column) -> Column:
+        def step(at: Column, part: Column) -> Column:
+            plain = F.coalesce(part, F.lit("null"))
+            is_text = F.substring(octets, at["place"], F.lit(1)) == F.encode(F.lit('"'), "UTF-8")
+            length = F.octet_length(F.when(is_text, _quoted(plain)).otherwise(plain))
+            seen = F.concat(at["seen"], F.when(is_text, "t").otherwise("r"))
+            return F.struct((at["place"] + length + 1).alias("place"), seen.alias("seen"))
+
+        start = F.struct(F.lit(2).alias("place"), F.lit("").alias("seen"))
+        return F.split(F.aggregate(parts, start, step)["seen"], "")
+
+    def written(kinds: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            plain = F.coalesce(part, F.lit("null"))
+            raw = F.coalesce(F.to_json(F.try_parse_json(plain)), plain)
+            return F.when(F.get(kinds, i) == "t", _quoted(plain)).otherwise(raw)
+
+        return F.transform(parts, one)
+
+    return let(let(F.encode(raw_list, "UTF-8"), walked), written)
+
+
 def parse_messages(json_text: Column, key: str | None = "messages") -> Column:
     """Parse the message list below ``key``, or the text itself as a list when ``key`` is None.
 
     Null when the text is no JSON or holds no message list. Contents are parsed as variants, which keep lists and texts
     apart even when a text starts with a bracket. A variant holds 16 MB; where it cannot be made, contents are read once
-    as texts and once as lists, which tells the same apart. There, numbers and truth values count as texts.
+    for each kind of JSON, which tells the same apart. A content that is neither a text nor a list leaves both null.
     """
     def read(schema: str) -> Column:
         if key is None:
             return F.from_json(json_text, schema, JSON_OPTIONS)
         return F.from_json(json_text, f"struct<{key}:{schema}>", JSON_OPTIONS)[key]
 
-    def large(lists: Column) -> Column:
-        def one_large(item: Column, i: Column) -> Column:
-            parts = F.get(lists, i)["content"]
-            quoted = F.transform(
-                parts, lambda part: F.when(part.rlike(r"^[\[{]"), part).otherwise(F.to_json(F.array(part)).substr(F.lit(2), F.length(F.to_json(F.array(part))) - 2))
-            )
-            text = F.when(parts.isNull() & ~F.coalesce(item["content"].startswith("{"), F.lit(False)), item["content"])
-            return F.struct(item["role"].alias("role"), text.alias("text"), quoted.alias("parts"))
+    def large() -> Column:
+        kinds = F.struct(*[read(f"array<struct<content:{kind}>>").alias(name) for name, kind in _KINDS_OF_CONTENT.items()])
+
+        def with_kinds(found: Column) -> Column:
+            def one_large(item: Column, i: Column) -> Column:
+                text, parts, held, number, truth = (F.get(found[name], i)["content"] for name in _KINDS_OF_CONTENT)
+                # Names of numbers that are not finite parse as doubles although they are texts.
+                is_number = number.isNotNull() & text.rlike("^-?[0-9]")
+                is_text = parts.isNull() & held.isNull() & truth.isNull() & ~is_number
+                return F.struct(
+                    item["role"].alias("role"),
+                    F.when(is_text, text).alias("text"),
+                    F.when(parts.isNotNull(), _raw_parts(text, parts)).alias("parts"),
+                )
+
+            return F.transform(read("array<struct<role:string>>"), one_large)
 
-        return F.transform(read(_TEXT_MESSAGES), one_large)
+        return let(kinds, with_kinds)
 
     def one(item: Column) -> Column:
         return let(
@@ -106,7 +146,7 @@ def parse_messages(json_text: Column, key: str | None = "messages") -> Column:
             ),
         )
 
-    return F.coalesce(F.transform(read(_STORED_MESSAGES), one), let(read(_LIST_MESSAGES), large))
+    return F.coalesce(F.transform(read(_STORED_MESSAGES), one), large())
 
 
 def messages_json(messages: Column) -> Column:

@@ -50,6 +50,22 @@ def test_round_trip_keeps_json(spark):
     assert json.loads(line)["messages"] == payload
 
 
+@pytest.mark.parametrize("place", ["text", "part", "object", "role"])
+def test_lines_above_16_mb_follow_the_same_rule(spark, place):
+    """A line with a long filler gives what it gives with a short one."""
+    def line(filler):
+        at = {name: filler if name == place else "f" for name in ("text", "part", "object", "role")}
+        parts = [1, -1.5, 2e30, None, True, "5", "true", "", "[x", "[1]", "{}", '{"b": 1}', 'é "q" \\ \n/', {"z": [2, "[3]"], "a": None},
+                 ["4", {}], at["part"], {"type": "text", "text": at["object"]}, "end"]
+        contents = ["plain", "[b", '{"c": 1}', "5", "NaN", 5, 1.5, True, {"d": 1}, {}, None, [], at["text"], parts, ["{", at["part"]]]
+        return json.dumps({"messages": [assistant(content) for content in contents] + [{"role": at["role"], "content": "é"}, {"role": "x"}]})
+
+    filler = "long" * 4_400_000
+    small, large = (r[0] for r in parsed(spark, [line("f"), line(filler)]).select("messages").collect())
+    short = [(m.role.replace(filler, "f"), m.text and m.text.replace(filler, "f"), None if m.parts is None else [p.replace(filler, "f") for p in m.parts]) for m in large]
+    assert short == [(m.role, m.text, m.parts) for m in small]
+
+
 def test_structured_label(spark):
     given = {"Classification: active_tb": "active_tb", "  Classification:  healthy \n": "healthy",
              "Classification: latent_tb": None, "Finding: active_tb": None, "Classification: healthy\nmore": None, None: None}
