@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe import defaults
 from tallyframe.functions import paths, tokens
 from tallyframe.functions.image_headers import checked_header
-from tallyframe.operators import audit, records
+from tallyframe.operators import aliases, audit, records
 from tallyframe.plans import fixtures as fx
 from tallyframe.plans.registry import query, table
 from tallyframe.session import materialize
@@ -35,6 +35,26 @@ def normalize_texts(spark, sf_dir):
     )
 
 
+_ITEM_ALIASES_SQL = f"""listed AS (SELECT 'c' || (item_id % 5) AS category, item_id % 5 AS position,
+    array_to_string(string_split(text, ' ')[1:(item_id % 3 + 1)::INT], ' ') AS alias FROM benchmark),
+  every AS (SELECT * FROM listed UNION ALL SELECT category, min(position), category FROM listed GROUP BY category),
+  aliases AS (SELECT DISTINCT category, position, {fx.token_sql('alias')} AS alias FROM every)"""
+
+
+@query(f"""WITH {_ITEM_ALIASES_SQL}, tokens AS (SELECT doc_id, '_' || {fx.token_sql('text')} || '_' AS token FROM documents)
+SELECT doc_id, (SELECT arg_min(category, [-len(string_split(alias, '_')), position]) FROM aliases
+  WHERE alias <> '' AND contains(token, '_' || alias || '_')) AS category FROM tokens""")
+def alias_table_categories(spark, sf_dir):
+    """Classes of whole documents by a table of aliases: the words that benchmark items begin with."""
+    item = F.col("item_id")
+    words = F.slice(F.split("text", " "), F.lit(1), (item % 3 + 1).cast("int"))
+    listed = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("c"), item % 5).alias("category"), F.array_join(words, " ").alias("alias"), (item % 5).alias("position")
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return aliases.categories_by_alias(docs, "text", listed).select("doc_id", "category")
+
+
 _PRIORITY_ALIASES = {
     "soon": ("urgent", "high"),
     "later": ("low", "medium"),
