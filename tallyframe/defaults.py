@@ -91,6 +91,9 @@ MAX_MACRO_F1_DROP = 0.02
 ABLATION_MARGIN = 0.005
 ABLATION_DROP_TOLERANCE = {"active_tb": 0.04, "healthy": 0.02, "sick_but_non_tb": 0.02}
 
+# Gates by the names they are chosen by, with the names that their results carry.
+GATE_NAMES = {"run3-diagnostic": "run3_diagnostic", "run4-diagnostic": "run4_diagnostic", "run3-full": "run3_full"}
+
 # Gate limits.
 MONOPOLY_SHARE = 0.80
 MINIMUM_PREDICTIONS = 50

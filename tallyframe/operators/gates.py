@@ -1,7 +1,8 @@
 """Pass/fail checks on metrics documents (one row per document, see ``metrics.compute_metrics``).
 
-A gate turns each document into check rows ``(gate, check, label, passed, actual, minimum, maximum)``. Columns named in
-``by`` are carried along, so that many checkpoints are judged in one pass.
+A gate turns each document into check rows ``(gate, check, label, labels, passed, actual, minimum, maximum)``: ``label`` is
+the class a check is about, ``labels`` are the classes that ``no_zero_recall`` found lost (null for other checks). Columns
+named in ``by`` are carried along, so that many checkpoints are judged in one pass.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from tallyframe import defaults
 from tallyframe.functions.messages import structured_label
 from tallyframe.operators.metrics import prediction_count, zero_recall_labels
 
-GATES = ("none", "run3-diagnostic", "run4-diagnostic", "run3-full")
+GATES = ("none", *defaults.GATE_NAMES)
 
 
 def scaled_count(full_count: int, total: Column, full_size: int) -> Column:
@@ -29,7 +30,7 @@ def size_gb(size_bytes: Column) -> Column:
     return size_bytes / F.lit(float(1024**3))
 
 
-def _check(name: str, passed: Column, actual=None, minimum=None, maximum=None, label: str | None = None) -> Column:
+def _check(name: str, passed: Column, actual=None, minimum=None, maximum=None, label: str | None = None, labels=None) -> Column:
     def number(value) -> Column:
         if value is None:
             return F.lit(None).cast("double")
@@ -38,6 +39,7 @@ def _check(name: str, passed: Column, actual=None, minimum=None, maximum=None, l
     return F.struct(
         F.lit(name).alias("check"),
         F.lit(label).cast("string").alias("label"),
+        (F.lit(None) if labels is None else labels).cast("array<string>").alias("labels"),
         F.coalesce(passed, F.lit(False)).alias("passed"),
         number(actual).alias("actual"),
         number(minimum).alias("minimum"),
@@ -46,8 +48,8 @@ def _check(name: str, passed: Column, actual=None, minimum=None, maximum=None, l
 
 
 def _no_zero_recall(classes: Sequence[str]) -> Column:
-    lost = F.size(zero_recall_labels("per_class", classes))
-    return _check("no_zero_recall", lost == 0, lost, None, 0)
+    lost = zero_recall_labels("per_class", classes)
+    return _check("no_zero_recall", F.size(lost) == 0, F.size(lost), None, 0, labels=lost)
 
 
 def _no_monopoly() -> Column:
@@ -112,7 +114,7 @@ def gate_checks(
 ) -> DataFrame | None:
     """Check rows of a gate chosen by name; ``none`` gives None, an unknown name is an error.
 
-    The first class of the list is the rare one. A check that covers every class has one row per class.
+    The rows carry the name of the result (``defaults.GATE_NAMES``). The first class of the list is the rare one. A check that covers every class has one row per class.
     """
     if gate == "none":
         return None
@@ -124,7 +126,7 @@ def gate_checks(
         checks = _full(classes, full_size)
     else:
         raise ValueError(f"Unknown gate {gate}; choose from {', '.join(GATES)}.")
-    return metrics.select(*by, F.lit(gate).alias("gate"), F.inline(F.array(*checks)))
+    return metrics.select(*by, F.lit(defaults.GATE_NAMES[gate]).alias("gate"), F.inline(F.array(*checks)))
 
 
 def gate_result(checks: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -147,6 +147,11 @@ def metrics_by_source(spark, sf_dir):
 
 
 _LOST_SQL = f"(SELECT count(*) FROM scores s WHERE s.source = t.source AND label IN {_BASE_SQL} AND support > 0 AND recall <= 0)"
+_LOST_LABELS_SQL = (
+    "(SELECT coalesce(string_agg(label, ',' ORDER BY list_position(["
+    + ", ".join(f"'{c}'" for c in _CLASSES)
+    + f"], label)), '') FROM scores s WHERE s.source = t.source AND label IN {_BASE_SQL} AND support > 0 AND recall <= 0)"
+)
 _COUNT_SQL = "(SELECT coalesce(max(predicted), 0) FROM scores s WHERE s.source = t.source AND label = {0})"
 
 
@@ -161,9 +166,9 @@ def zero_recall(spark, sf_dir):
     )
 
 
-def _check_sql(name, label, passed, actual, minimum="NULL", maximum="NULL") -> str:
+def _check_sql(name, label, passed, actual, minimum="NULL", maximum="NULL", labels="NULL::VARCHAR") -> str:
     return (
-        f"SELECT source, '{name}' AS check, {label} AS label, {passed} AS passed, ({actual})::DOUBLE AS actual, "
+        f"SELECT source, '{name}' AS check, {label} AS label, {labels} AS labels, {passed} AS passed, ({actual})::DOUBLE AS actual, "
         f"({minimum})::DOUBLE AS minimum, ({maximum})::DOUBLE AS maximum FROM totals t"
     )
 
@@ -173,7 +178,7 @@ def _count(label: str) -> str:
 
 
 _MONOPOLY = _check_sql("no_prediction_monopoly", "NULL", "top <= 0.8::DOUBLE * total_samples", "top", "NULL", "floor(0.8::DOUBLE * total_samples)")
-_NO_ZERO = _check_sql("no_zero_recall", "NULL", f"{_LOST_SQL} = 0", _LOST_SQL, "NULL", "0")
+_NO_ZERO = _check_sql("no_zero_recall", "NULL", f"{_LOST_SQL} = 0", _LOST_SQL, "NULL", "0", _LOST_LABELS_SQL)
 _SCALED = "greatest(1, ceil(50 * total_samples / 200.0::DOUBLE))"
 _EARLY_SQL = " UNION ALL ".join([
     _NO_ZERO, _MONOPOLY,
@@ -192,27 +197,31 @@ _FULL_SQL = " UNION ALL ".join(
 )
 
 
+def check_rows(checks: DataFrame) -> DataFrame:
+    return _rounded(checks.withColumn("labels", F.array_join("labels", ",")), "actual")
+
+
 def _gate(spark, sf_dir, name: str) -> DataFrame:
     checks = gates.gate_checks(source_documents(spark, sf_dir), name, 200, _CLASSES, ["source"])
-    return _rounded(checks, "actual")
+    return check_rows(checks)
 
 
-@query(f"{_BY_SOURCE_SQL} SELECT 'run3-diagnostic' AS gate, * FROM ({_EARLY_SQL})")
+@query(f"{_BY_SOURCE_SQL} SELECT 'run3_diagnostic' AS gate, * FROM ({_EARLY_SQL})")
 def gate_early_diagnostic(spark, sf_dir):
     return _gate(spark, sf_dir, "run3-diagnostic")
 
 
-@query(f"{_BY_SOURCE_SQL} SELECT 'run4-diagnostic' AS gate, * FROM ({_LATER_SQL})")
+@query(f"{_BY_SOURCE_SQL} SELECT 'run4_diagnostic' AS gate, * FROM ({_LATER_SQL})")
 def gate_later_diagnostic(spark, sf_dir):
     return _gate(spark, sf_dir, "run4-diagnostic")
 
 
-@query(f"{_BY_SOURCE_SQL} SELECT 'run3-full' AS gate, * FROM ({_FULL_SQL})")
+@query(f"{_BY_SOURCE_SQL} SELECT 'run3_full' AS gate, * FROM ({_FULL_SQL})")
 def gate_full(spark, sf_dir):
     return _gate(spark, sf_dir, "run3-full")
 
 
-@query(f"{_BY_SOURCE_SQL} SELECT source, 'run3-diagnostic' AS gate, bool_and(passed) AS passed FROM ({_EARLY_SQL}) GROUP BY source")
+@query(f"{_BY_SOURCE_SQL} SELECT source, 'run3_diagnostic' AS gate, bool_and(passed) AS passed FROM ({_EARLY_SQL}) GROUP BY source")
 def gate_results(spark, sf_dir):
     return gates.gate_result(_gate(spark, sf_dir, "run3-diagnostic"), ["source"])
 
@@ -269,7 +278,7 @@ def _ablation(spark, sf_dir) -> DataFrame:
 
 @query(f"{_BY_SOURCE_SQL} SELECT 'ablation' AS gate, * FROM ({_ABLATION_SQL})")
 def ablation_checks(spark, sf_dir):
-    return _rounded(_ablation(spark, sf_dir), "actual")
+    return check_rows(_ablation(spark, sf_dir))
 
 
 @query(f"""{_BY_SOURCE_SQL} SELECT source, bool_and(passed) AS passed FROM (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe import defaults
 from tallyframe.operators import gates, metrics, records
 from tallyframe.plans import evaluation
 from tallyframe.plans import fixtures as fx
@@ -45,7 +46,7 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GATES_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS gate, * FROM ({sql})"
+    f"SELECT '{defaults.GATE_NAMES[name]}' AS gate, * FROM ({sql})"
     for name, sql in (("run3-diagnostic", mq._EARLY_SQL), ("run4-diagnostic", mq._LATER_SQL), ("run3-full", mq._FULL_SQL))
 )
 
@@ -61,7 +62,7 @@ def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BY_SOURCE_SQL} {_GATES_SQL}")
 def gates_of_events(spark, sf_dir):
-    return mq._rounded(_checks(spark, sf_dir), "actual")
+    return mq.check_rows(_checks(spark, sf_dir))
 
 
 @query(f"{_BY_SOURCE_SQL} SELECT source, gate, bool_and(passed) AS passed FROM ({_GATES_SQL}) GROUP BY source, gate")
@@ -86,7 +87,7 @@ def verdict_of_events(spark, sf_dir):
 _STEP_SQL = "CASE source WHEN 'exact' THEN 1 WHEN 'large' THEN 2 WHEN 'middle' THEN 3 WHEN 'flat' THEN 4 ELSE 5 END"
 
 
-@query(f"""{_BY_SOURCE_SQL} SELECT {_STEP_SQL}::BIGINT AS step, true AS found, 'run3-diagnostic' AS gate, bool_and(passed) AS gate_passed,
+@query(f"""{_BY_SOURCE_SQL} SELECT {_STEP_SQL}::BIGINT AS step, true AS found, 'run3_diagnostic' AS gate, bool_and(passed) AS gate_passed,
   bool_and(passed) AND any_value(f1) - 0.33::DOUBLE > 0.005 AND any_value(acc) - 0.52::DOUBLE > 0.005 AS better
   FROM ({mq._EARLY_SQL}) JOIN (SELECT source, macro_f1 AS f1, accuracy AS acc FROM totals) USING (source) GROUP BY source
   UNION ALL SELECT 9, false, NULL, NULL, NULL""")

@@ -85,6 +85,9 @@ def test_early_diagnostic_gate(spark):
     bad = gates.gate_checks(document(spark, 5, counts(0, 0, 5), recall=0.0, support=1), "run3-diagnostic")
     assert {r["check"] for r in bad.where("not passed").collect()} == {
         "no_zero_recall", "no_prediction_monopoly", "active_tb_predictions_minimum", "healthy_predictions_nonzero"}
+    told = {r["check"]: r for r in bad.collect()}
+    assert {r["gate"] for r in told.values()} == {"run3_diagnostic"}
+    assert told["no_zero_recall"]["labels"] == list(defaults.CLASS_LABELS) and told["no_prediction_monopoly"]["labels"] is None
     good = gates.gate_checks(document(spark, 450, counts(13, 200, 237)), "run3-diagnostic")
     assert passed(good) and {r["check"]: r["minimum"] for r in good.collect()}["active_tb_predictions_minimum"] == 13
 

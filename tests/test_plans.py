@@ -43,7 +43,7 @@ def test_evaluate(spark, samples, tmp_path):
     assert row["predicted_label"] == "active_tb" and row["class_log_likelihoods"]["healthy"] == -2.0
     assert sum(row["class_probabilities"].values()) == pytest.approx(1.0)
     stored = json.loads(spark.read.text(str(tmp_path / "e" / "eval_results.json")).first()[0])
-    assert stored["gate"] == {"name": "run3-diagnostic", "passed": False} and stored["delta"]["passed"] is False
+    assert stored["gate"] == {"name": "run3_diagnostic", "passed": False} and stored["delta"]["passed"] is False
     with pytest.raises(ValueError, match="no predictions"):
         evaluation.evaluate(samples.limit(0), knowing_scorer)
 
