@@ -52,10 +52,14 @@ def choose_records(
     image_root: str,
     flat_folder: str,
     quotas: Mapping[str, Mapping[str, int]] = defaults.SPLIT_QUOTAS,
+    inventory: DataFrame | None = None,
 ) -> DataFrame:
-    """Records of all wanted splits; per split the first source that has any: list file, quota folder, annotations."""
+    """Records of all wanted splits; per split the first source that has any: list file, quota folder, annotations.
+
+    ``inventory`` has the files below ``root`` (their ``path``); unless given, the folder is listed.
+    """
     root = root.rstrip("/")
-    inventory = materialize(files.file_inventory(spark, root), "inventory")
+    inventory = materialize(files.file_inventory(spark, root) if inventory is None else inventory, "inventory")
     flat = everything = None
     chosen = []
     for split, list_file in split_lists.items():

@@ -89,6 +89,32 @@ def listed_records(spark, sf_dir):
     return readers.listed_records(spark, path, "val", fx.ROOT, inventory, fx.ROOT)
 
 
+_CHOICE_QUOTAS = {"val": {"healthy": 7, "active_tb": 9, "sick_but_non_tb": 5}}
+_CHOICE_SQL = f"""WITH {fx.PATH_SQL}, {fx.ANNOTATION_SQL}, flat AS (
+    SELECT CASE lang WHEN 'en' THEN 'healthy' WHEN 'de' THEN 'sick_but_non_tb' ELSE 'active_tb' END AS category,
+      '{fx.ROOT}/flat/' || CASE lang WHEN 'en' THEN 'h' WHEN 'de' THEN 's' ELSE 'tb' END || doc_id || '.png' AS path FROM documents),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY path) AS place FROM flat)
+  SELECT path, 'train' AS split, category FROM path_facts
+    WHERE category IS NOT NULL AND {fx.IMAGE_SQL} AND path IN (SELECT path FROM disk) AND doc_id % 4 = 0
+  UNION ALL SELECT path, 'val', category FROM ranked
+    WHERE place <= CASE category WHEN 'healthy' THEN 7 WHEN 'active_tb' THEN 9 ELSE 5 END
+  UNION ALL SELECT path, split, category FROM folders WHERE split = 'test' AND path IN (SELECT path FROM disk)"""
+
+
+@query(_CHOICE_SQL)
+def chosen_records(spark, sf_dir):
+    """Three splits from three sources: a list of files, a flat folder by quota, and the folders themselves."""
+    docs = table(spark, sf_dir, "documents")
+    letter = F.when(F.col("lang") == "en", "h").when(F.col("lang") == "de", "s").otherwise("tb")
+    flat = docs.select(F.concat(F.lit(f"{fx.ROOT}/flat/"), letter, F.col("doc_id"), F.lit(".png")).alias("path"))
+    there = fx.disk_inventory(spark, sf_dir).where(F.col("path").startswith(f"{fx.ROOT}/"))
+    listed = scratch_path(spark, "list")
+    named = fx.document_files(spark, sf_dir).where("doc_id % 4 = 0")
+    named.select(F.substr(F.col("path"), F.lit(len(fx.ROOT) + 2)).alias("value")).write.text(listed)
+    lists = {"train": listed, "val": f"{listed}.absent", "test": f"{listed}.absent"}
+    return dataset_build.choose_records(spark, fx.ROOT, lists, fx.ROOT, f"{fx.ROOT}/flat", _CHOICE_QUOTAS, there.unionByName(flat))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT doc_id) AS n_distinct FROM documents")
 def list_entries(spark, sf_dir):
     path = scratch_path(spark, "list")
