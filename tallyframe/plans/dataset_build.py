@@ -18,11 +18,14 @@ from tallyframe.sources import conversations as readers
 
 
 def load_records(
-    spark: SparkSession, root: str, inventory: DataFrame | None = None
+    spark: SparkSession, root: str, inventory: DataFrame | None = None, folder: str | None = None
 ) -> tuple[DataFrame, DataFrame | None, str]:
-    """Records of a dataset folder, the annotation files that contributed, and ``annotations`` or ``folders``."""
+    """Records of a dataset folder, the annotation files that contributed, and ``annotations`` or ``folders``.
+
+    Annotation files are read below ``folder`` (``root`` unless given).
+    """
     listed = files.file_inventory(spark, root) if inventory is None else inventory
-    annotated = materialize(annotations.annotation_records(spark, root, listed), "records")
+    annotated = materialize(annotations.annotation_records(spark, root, listed, folder=folder), "records")
     combined, kind = records.combine_records(annotated, records.records_from_folders(listed, root))
     return combined, records.contributing_files(annotated) if kind == "annotations" else None, kind
 
@@ -53,10 +56,12 @@ def choose_records(
     flat_folder: str,
     quotas: Mapping[str, Mapping[str, int]] = defaults.SPLIT_QUOTAS,
     inventory: DataFrame | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Records of all wanted splits; per split the first source that has any: list file, quota folder, annotations.
 
-    ``inventory`` has the files below ``root`` (their ``path``); unless given, the folder is listed.
+    ``inventory`` has the files below ``root`` (their ``path``); unless given, the folder is listed. Annotation files are
+    read below ``folder`` (``root`` unless given), so that an inventory may tell of a root that this store does not hold.
     """
     root = root.rstrip("/")
     inventory = materialize(files.file_inventory(spark, root) if inventory is None else inventory, "inventory")
@@ -68,7 +73,7 @@ def choose_records(
             flat = flat_folder_records(inventory, flat_folder, root, quotas) if flat is None else flat
             found = flat.where(F.col("split") == split)
         if found.isEmpty():
-            everything = load_records(spark, root, inventory)[0] if everything is None else everything
+            everything = load_records(spark, root, inventory, folder)[0] if everything is None else everything
             found = everything.where(F.col("split") == split)
         chosen.append(found.select("path", "split", "category"))
     union = chosen[0]

@@ -103,7 +103,10 @@ _CHOICE_SQL = f"""WITH {fx.PATH_SQL}, {fx.ANNOTATION_SQL}, flat AS (
 
 @query(_CHOICE_SQL)
 def chosen_records(spark, sf_dir):
-    """Three splits from three sources: a list of files, a flat folder by quota, and the folders themselves."""
+    """Three splits from three sources: a list of files, a flat folder by quota, and the folders themselves.
+
+    The root is a name in the inventory only; whatever a store holds there by chance is not read.
+    """
     docs = table(spark, sf_dir, "documents")
     letter = F.when(F.col("lang") == "en", "h").when(F.col("lang") == "de", "s").otherwise("tb")
     flat = docs.select(F.concat(F.lit(f"{fx.ROOT}/flat/"), letter, F.col("doc_id"), F.lit(".png")).alias("path"))
@@ -111,8 +114,10 @@ def chosen_records(spark, sf_dir):
     listed = scratch_path(spark, "list")
     named = fx.document_files(spark, sf_dir).where("doc_id % 4 = 0")
     named.select(F.substr(F.col("path"), F.lit(len(fx.ROOT) + 2)).alias("value")).write.text(listed)
-    lists = {"train": listed, "val": f"{listed}.absent", "test": f"{listed}.absent"}
-    return dataset_build.choose_records(spark, fx.ROOT, lists, fx.ROOT, f"{fx.ROOT}/flat", _CHOICE_QUOTAS, there.unionByName(flat))
+    absent = f"{listed}.absent"
+    lists = {"train": listed, "val": absent, "test": absent}
+    inventory = there.unionByName(flat)
+    return dataset_build.choose_records(spark, fx.ROOT, lists, fx.ROOT, f"{fx.ROOT}/flat", _CHOICE_QUOTAS, inventory, absent)
 
 
 @query("SELECT count(*) AS n, count(DISTINCT doc_id) AS n_distinct FROM documents")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyframe import session
 from tallyframe.operators import audit, metrics, records
-from tallyframe.plans import dataset_build
+from tallyframe.plans import dataset_build, file_queries, fixtures  # noqa: F401
+from tallyframe.plans.registry import QUERIES
 from tallyframe.sources import annotations, files, sinks
 from tallyframe.sources import conversations as readers
 from tallyframe.sources.files import annotation_files
@@ -146,6 +147,27 @@ def test_lists_and_choice_of_records(spark, tmp_path):
         dataset_build.flat_folder_records(files.file_inventory(spark, str(root)), f"{root}/flat/images", str(root), {"train": {"healthy": 9}})
 
 
+def test_records_of_a_root_that_only_the_inventory_knows(spark, tmp_path):
+    root = tmp_path / "d"
+    put(root, "test/h1.png")
+    put(root, "notes.csv", "image,label,split\ntest/h1.png,sick,test\n")
+    there = files.file_inventory(spark, str(root)).select("path")
+
+    def chosen(**given):
+        rows = dataset_build.choose_records(spark, str(root), {"test": f"{root}.absent"}, str(root), f"{root}/flat", {}, there, **given)
+        return [(r["split"], r["category"]) for r in rows.collect()]
+
+    assert ("test", "sick_but_non_tb") in chosen()
+    assert chosen(folder=f"{root}.absent") == [("test", "healthy")]
+
+
+def test_the_query_on_chosen_records_reads_nothing_below_its_made_up_root(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(annotations, "exists", lambda spark, path: asked.append(path) or files.exists(spark, path))
+    assert not QUERIES["chosen_records"].run(spark, "/root/testdata/sf0.001").isEmpty()
+    assert asked and not [path for path in asked if f"{path}/".startswith(f"{fixtures.ROOT}/")]
+
+
 def test_sample_records(spark):
     rows = spark.createDataFrame(
         [("/b", "train", "healthy"), ("/a", "val", "healthy"), ("/t", "val", "active_tb"), ("/s", "train", "sick_but_non_tb")],
