@@ -178,13 +178,7 @@ def annotation_line_breaks(spark, sf_dir):
 
 
 def _read_in_blocks(spark: SparkSession, inventory: DataFrame, folder: str) -> DataFrame:
-    block = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(block)
-    spark.conf.set(block, "8192")
-    try:
-        found = annotations.annotation_records(spark, fx.ROOT, inventory, folder=folder)
-    finally:
-        spark.conf.set(block, before)
+    found = annotations.annotation_records(spark, fx.ROOT, inventory, folder=folder, block_bytes=8192)
     return found.select("path", "split", "category")
 
 

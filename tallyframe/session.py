@@ -80,6 +80,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def file_blocks(spark: SparkSession, block_bytes: int) -> Iterator[None]:
+    """Jobs run inside read files in blocks of this size; nothing else should run there, as each block is a task."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(block_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of driver-side parameters (class lists, quotas, thresholds) as a local relation of known size."""
     names = [field.strip().split()[0] for field in schema.split(",")]

@@ -17,12 +17,14 @@ from tallyframe.functions import paths, tokens
 from tallyframe.functions.messages import JSON_OPTIONS
 from tallyframe.functions.text import complete_rows, strip
 from tallyframe.operators.records import resolve_paths
-from tallyframe.session import broadcast_if_small, materialize
+from tallyframe.session import broadcast_if_small, file_blocks, materialize
 from tallyframe.sources import delimited, json_documents
 from tallyframe.sources.files import annotation_files, exists, source_path
 
 RECORD_SCHEMA = "source string, path string, split string, category string"
 TEXT_SUFFIXES = (".csv", ".tsv", ".txt")
+# What a task reads where blocks are smaller.
+BYTES_PER_TASK = 16 << 20
 
 
 def _pattern(*suffixes: str) -> str:
@@ -31,8 +33,14 @@ def _pattern(*suffixes: str) -> str:
     return "{" + ",".join(f"*{suffix}" for suffix in any_case) + "}"
 
 
-def _lines(spark: SparkSession, folder: str, listed: DataFrame, *suffixes: str, separator: str | None = None) -> DataFrame:
-    """``source, block, seq, value`` of every line (or text between separators) of the ``listed`` files with these suffixes."""
+def _lines(
+    spark: SparkSession, folder: str, listed: DataFrame, *suffixes: str, separator: str | None = None, block_bytes: int | None = None
+) -> DataFrame:
+    """``source, block, seq, value`` of every line (or text between separators) of the ``listed`` files with these suffixes.
+
+    With ``block_bytes`` files are cut into blocks of this size instead of the session's. Only this one read is cut so, and
+    a task takes many small blocks: each task reports to the driver, so their number must not follow that of the blocks.
+    """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _pattern(*suffixes))
     rows = reader.text(folder, lineSep=separator).select(
         source_path().alias("source"),
@@ -40,6 +48,10 @@ def _lines(spark: SparkSession, folder: str, listed: DataFrame, *suffixes: str,
         F.monotonically_increasing_id().alias("seq"),
         "value",
     )
+    if block_bytes is not None:
+        with file_blocks(spark, block_bytes):
+            tasks = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() * block_bytes // BYTES_PER_TASK)
+            rows = materialize(rows.coalesce(tasks), "blocks")
     return rows.join(listed.select(F.col("path").alias("source")), "source", "left_semi")
 
 
@@ -196,11 +208,12 @@ def annotation_records(
     inventory: DataFrame,
     aliases: Mapping[str, Sequence[str]] = defaults.CATEGORY_ALIASES,
     folder: str | None = None,
+    block_bytes: int | None = None,
 ) -> DataFrame:
     """Records of all annotation files of the inventory, with their source file, before removing duplicates.
 
-    The files lie below ``folder`` (``root`` unless given). A delimited file that yields no record under its header is
-    taken for a headerless list; one that is not UTF-8 is passed over.
+    The files lie below ``folder`` (``root`` unless given) and are read in blocks of ``block_bytes`` if given. A delimited
+    file that yields no record under its header is taken for a headerless list; one that is not UTF-8 is passed over.
     """
     folder = folder or root
     if not exists(spark, folder):
@@ -215,8 +228,11 @@ def annotation_records(
     pictures = inventory.where(paths.is_image(F.col("path")))
     found = spark.createDataFrame([], RECORD_SCHEMA)
 
-    items = [_json_values(_lines(spark, folder, listed, ".json", separator=json_documents.SEPARATOR))] if kinds["documents"] else []
-    items += [_json_lines(_lines(spark, folder, listed, ".jsonl"))] if kinds["lines"] else []
+    def read(*suffixes: str, separator: str | None = None) -> DataFrame:
+        return _lines(spark, folder, listed, *suffixes, separator=separator, block_bytes=block_bytes)
+
+    items = [_json_values(read(".json", separator=json_documents.SEPARATOR))] if kinds["documents"] else []
+    items += [_json_lines(read(".jsonl"))] if kinds["lines"] else []
     if items:
         rows, heads = json_rows(items[0] if len(items) == 1 else items[0].unionByName(items[1]))
         found = found.unionByName(records_from_rows(map_rows(rows, heads, aliases), pictures, root, aliases))
@@ -224,7 +240,7 @@ def annotation_records(
         return found
 
     # The positions must be the same for all that follows.
-    lines = materialize(_lines(spark, folder, listed, *TEXT_SUFFIXES), "annotation-lines")
+    lines = materialize(read(*TEXT_SUFFIXES), "annotation-lines")
     facts = materialize(file_facts(lines), "annotation-facts")
     lines = lines.join(facts.where("NOT broken").drop("broken"), "source")
     marked = lines.where(F.col("mark").isNotNull())

@@ -168,6 +168,45 @@ def test_the_query_on_chosen_records_reads_nothing_below_its_made_up_root(spark,
     assert asked and not [path for path in asked if f"{path}/".startswith(f"{fixtures.ROOT}/")]
 
 
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_small_blocks_hold_for_one_read_and_share_tasks(spark, tmp_path, monkeypatch, kind):
+    rows = [(f"{tmp_path}/test/p{n}.png", "healthy" if n % 2 else "sick") for n in range(1500)]
+    if kind == "csv":
+        text = "image,label,split\n" + "".join(f'{path},"{label}\n",test\n' for path, label in rows)
+    else:
+        text = json.dumps([{"image": path, "label": label, "split": "test"} for path, label in rows])
+    name = put(tmp_path / "notes", f"n.{kind}", text)
+    inventory = spark.createDataFrame([(name,)] + [(path,) for path, _ in rows], "path string")
+    cut = {}
+
+    def watched(df, name):
+        cut[name] = df.rdd.getNumPartitions(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+        made = session.materialize(df, name)
+        if name == "blocks":
+            cut["found"] = made.select("block").distinct().count()
+        return made
+
+    monkeypatch.setattr(annotations, "materialize", watched)
+    found = annotations.annotation_records(spark, str(tmp_path), inventory, folder=str(tmp_path / "notes"), block_bytes=1024)
+    assert sorted((r["path"], r["category"]) for r in found.collect()) == sorted(
+        (path, "healthy" if label == "healthy" else "sick_but_non_tb") for path, label in rows)
+    assert cut.pop("found") > 50 and cut["blocks"] == (spark.sparkContext.defaultParallelism, "1024")
+    assert "1024" not in [size for name, (_, size) in cut.items() if name != "blocks"]
+
+
+@pytest.mark.parametrize("name", ["annotation_line_breaks", "annotation_document_blocks"])
+def test_queries_in_small_blocks_cut_no_tables_so(spark, monkeypatch, name):
+    sizes = {}
+
+    def watched(df, name):
+        sizes[name] = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        return session.materialize(df, name)
+
+    monkeypatch.setattr(annotations, "materialize", watched)
+    assert not QUERIES[name].run(spark, "/root/testdata/sf0.001").isEmpty()
+    assert [found for found, size in sizes.items() if size == "8192"] == ["blocks"]
+
+
 def test_sample_records(spark):
     rows = spark.createDataFrame(
         [("/b", "train", "healthy"), ("/a", "val", "healthy"), ("/t", "val", "active_tb"), ("/s", "train", "sick_but_non_tb")],
