@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.tokens import normalize_token
-from tallyframe.session import broadcast_if_small, materialize
+from tallyframe.session import BROADCAST_ROW_LIMIT, materialize
 
 _PART = "_"
 
@@ -26,27 +26,59 @@ def ranked_aliases(aliases: DataFrame) -> DataFrame:
     return best.select("alias", F.size(F.split("alias", _PART)).alias("words"), "best.position", "best.category")
 
 
+def _with_runs(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """Add ``__run<n>`` per length: hashes of the run of n words that begins at each of ``__parts``, null where it ends before.
+
+    Runs are put together from runs of 1, 2, 4, ... words, so a length costs as many steps as it has binary digits.
+    """
+
+    def followed(run: Column, by: str, after: int) -> Column:
+        behind = F.slice(by, after + 1, F.size(by))
+        return F.zip_with(run, behind, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b)))
+
+    df = df.withColumn("__run1", F.transform("__parts", lambda word: F.xxhash64(word)))
+    powers = [1]
+    while 2 * powers[-1] <= max(lengths, default=1):
+        powers.append(2 * powers[-1])
+        df = df.withColumn(f"__run{powers[-1]}", followed(F.col(f"__run{powers[-2]}"), f"__run{powers[-2]}", powers[-2]))
+    for n in lengths:
+        if n not in powers:
+            run, covered = None, 0
+            for power in reversed(powers):
+                if n & power:
+                    run = F.col(f"__run{power}") if run is None else followed(run, f"__run{power}", covered)
+                    covered += power
+            df = df.withColumn(f"__run{n}", run)
+    return df
+
+
 def categories_by_alias(df: DataFrame, value_col: str, aliases: DataFrame, out_col: str = "category") -> DataFrame:
     """Add the class that the text in ``value_col`` names by an alias of the table, or null.
 
     As ``tokens.canonical_category`` does for a list: the alias with most words wins, then the first class; parts of words
-    never match. Runs of words of each distinct text, as long as aliases are, meet the aliases by equality, so the work
-    does not grow with texts times aliases. Null and empty texts have no class. A column named like ``out_col`` is replaced.
+    never match. Hashes of the runs of words of each text, as long as aliases are, meet those of the aliases, and what
+    meets is looked up in the text, so the work does not grow with texts times aliases. From there on a digest stands for
+    the text. Null and empty texts have no class. A column named like ``out_col`` is replaced.
     """
     ranked = materialize(ranked_aliases(aliases), "aliases")
     # As many numbers as there are lengths of aliases, in words.
-    lengths = [row.words for row in ranked.select("words").distinct().collect()]
-    keyed = df.drop(out_col).withColumn("__token", normalize_token(F.col(value_col)))
-    tokens = keyed.select("__token").where("__token != ''").distinct().withColumn("parts", F.split("__token", _PART))
-    size = F.size("parts")
-
-    def runs_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), size - (n - 1))
-        runs = F.transform(starts, lambda start: F.array_join(F.slice("parts", start, n), _PART))
-        return F.when(size >= n, runs).otherwise(F.array().cast("array<string>"))
-
-    runs = [runs_of(n) for n in sorted(lengths)]
-    every = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")
-    met = tokens.select("__token", F.explode(every).alias("alias")).join(broadcast_if_small(ranked), "alias")
-    named = met.groupBy("__token").agg(F.min_by("category", F.struct(-F.col("words"), "position", "category")).alias(out_col))
-    return keyed.join(named, "__token", "left").drop("__token")
+    lengths = sorted(row.words for row in ranked.select("words").distinct().collect())
+    alias = _with_runs(ranked.withColumn("__parts", F.split("alias", _PART)), lengths)
+    whole = F.coalesce(*[F.when(F.col("words") == n, F.get(f"__run{n}", F.lit(0))) for n in lengths], F.lit(None).cast("bigint"))
+    hashed = alias.select(whole.alias("__run"), "alias", "words", "position", "category")
+
+    token = normalize_token(F.col(value_col))
+    keyed = df.drop(out_col).withColumn("__token", token).withColumn("__key", F.when(F.col("__token") != "", F.sha2("__token", 256)))
+    texts = keyed.select("__key", "__token").where("__key IS NOT NULL")
+    split = _with_runs(texts.withColumn("__parts", F.split("__token", _PART)), lengths)
+    every = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[F.col(f"__run{n}") for n in lengths]))
+    if ranked.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+        met = split.select("__key", "__token", F.explode(every).alias("__run")).join(F.broadcast(hashed), "__run")
+    else:
+        # Texts do not move with each of their runs.
+        met = split.select("__key", F.explode(every).alias("__run")).distinct().join(hashed, "__run")
+        met = met.join(texts.dropDuplicates(["__key"]), "__key")
+    padded = [F.concat(F.lit(_PART), F.col(name), F.lit(_PART)) for name in ("__token", "alias")]
+    found = met.where(F.contains(*padded)).select("__key", "words", "position", "category")
+    named = found.groupBy("__key").agg(F.min_by("category", F.struct(-F.col("words"), "position", "category")).alias(out_col))
+    return keyed.join(named, "__key", "left").drop("__token", "__key")

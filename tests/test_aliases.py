@@ -1,6 +1,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import defaults
@@ -57,3 +58,27 @@ def test_ties_nulls_and_empty_tables(spark):
     none = spark.createDataFrame([], ALIASES)
     assert [r.category for r in aliases.categories_by_alias(df, "text", none).collect()] == [None] * len(texts)
     assert aliases.categories_by_alias(df.limit(0), "text", none).count() == 0
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_aliases_of_many_lengths(spark, monkeypatch, limit):
+    """Broadcast and shuffled tables name the same, whatever the lengths of aliases and gaps between them."""
+    if limit is not None:
+        monkeypatch.setattr(aliases, "BROADCAST_ROW_LIMIT", limit)
+    words = {n: " ".join(f"a{n}w{i}" for i in range(n)) for n in (1, 2, 3, 5, 7, 11, 40, 300)}
+    rows = [(f"class {n}", text, n) for n, text in words.items()]
+    texts = {f"{n}{way}": change(text) for n, text in words.items() for way, change in (
+        ("whole", lambda t: t), ("within", lambda t: f"Before, {t.upper()}! behind"), ("twice", lambda t: f"{t} {t}"),
+        ("cut", lambda t: t[:-1] + "x"), ("glued", lambda t: f"x{t}x"))}
+    texts |= {"longest": f"{words[5]} {words[1]} {words[7]} {words[2]}", "copy": f"{words[5]} {words[1]} {words[7]} {words[2]}", "none": None}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    got = {r.name: r.category for r in aliases.categories_by_alias(df, "text", spark.createDataFrame(rows, ALIASES)).select("name", "category").collect()}
+    right = {f"{n}{way}": f"class {n}" for n in words for way in ("whole", "within", "twice")}
+    assert got == {name: right.get(name) for name in texts} | {"longest": "class 7", "copy": "class 7"}
+
+
+def test_texts_do_not_move_with_their_matches(spark):
+    df = spark.createDataFrame([("a b c " * 500,)], "text string")
+    plan = aliases.categories_by_alias(df, "text", spark.createDataFrame([("x", "a", 0), ("y", "b c", 1)], ALIASES))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "hashpartitioning(__key" in physical and "hashpartitioning(__token" not in physical
