@@ -6,7 +6,7 @@ one row, so neither the expansion nor the way back needs a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,9 @@ from tallyframe.functions import arrays
 from tallyframe.functions import messages as msg
 from tallyframe.operators.sampling import calibration_sample, require_none, round_robin
 
+# How much text a user's tokenizer gets at once.
+CHARACTERS_AT_ONCE = 1 << 18
+
 
 def expand_candidates(df: DataFrame, labels: Sequence[str], candidate_col: str = "candidate") -> DataFrame:
     """One row per sample and candidate with the candidate's place in the list."""
@@ -102,6 +105,17 @@ def score_features(
     return predictions_from_scores(samples.withColumn("scores", run(feature_col)).drop(feature_col), labels, positive)
 
 
+def _pieces(*columns: pd.Series) -> Iterator[tuple[pd.Series, ...]]:
+    """Consecutive rows of a batch of texts with about ``CHARACTERS_AT_ONCE`` characters, one row at least.
+
+    Ids take 8 bytes for each byte of a text or less, and a batch has a bound on its rows but none on its ids.
+    """
+    sizes = sum(column.str.len().fillna(0).astype("int64") for column in columns)
+    number = (sizes.cumsum() - sizes) // CHARACTERS_AT_ONCE
+    for _, rows in number.groupby(number, sort=False):
+        yield tuple(column.loc[rows.index] for column in columns)
+
+
 def collate(
     df: DataFrame,
     tokenizer: Callable[[pd.Series], pd.Series],
@@ -114,11 +128,20 @@ def collate(
     ``tokenizer(conversation_json) -> array of ids`` runs on the full conversation and on its prompt alone. With
     ``batch_col`` rows are padded to the longest row of their batch.
     """
-    run = F.pandas_udf(tokenizer, "array<bigint>")
+
+    @F.pandas_udf("ids array<bigint>, prompt_length int")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for talks, prompts in _pieces(*batch):
+                # Of the prompt, only its length is sent back.
+                lengths = [None if ids is None else len(ids) for ids in tokenizer(prompts.reset_index(drop=True))]
+                ids = tokenizer(talks.reset_index(drop=True)).reset_index(drop=True)
+                yield pd.DataFrame({"ids": ids, "prompt_length": pd.Series(lengths, dtype="Int32")})
+
     talk = F.col("messages")
-    rows = df.withColumn("__ids", run(msg.messages_json(talk))).withColumn(
-        "prompt_length", F.size(run(msg.messages_json(msg.prompt_messages(talk))))
-    )
+    rows = df.withColumn("__tokens", run(msg.messages_json(talk), msg.messages_json(msg.prompt_messages(talk))))
+    rows = rows.withColumn("__ids", F.col("__tokens.ids")).withColumn("prompt_length", F.col("__tokens.prompt_length"))
+    rows = rows.drop("__tokens")
     if batch_col is None:
         rows = rows.withColumn("__width", F.size("__ids"))
     else:
@@ -193,7 +216,13 @@ def calibration_dataset(
     index_col: str = "index",
 ) -> DataFrame:
     """Token ids, cut at ``max_length``, of a balanced sample with answers and image URIs."""
-    run = F.pandas_udf(tokenizer, "array<bigint>")
+
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            for (talks,) in _pieces(batch):
+                yield tokenizer(talks.reset_index(drop=True))
+
     picked = calibration_sample(samples, "true_label", [index_col], total, classes)
     talk = msg.messages_json(msg.vision_messages(F.col("messages"), include_answer=True))
     return picked.select("position", F.slice(run(talk), 1, max_length).alias("input_ids"))

@@ -79,6 +79,22 @@ def test_collate(samples, side):
         assert (row["input_ids"][0] == 0) == (side == "left" and sum(row["attention_mask"]) < len(row["input_ids"]))
 
 
+def test_a_tokenizer_gets_a_bounded_part_of_a_batch(spark):
+    def tokenizer(texts):
+        assert texts.str.len().sum() - texts.str.len().max() < 1 << 19
+        return byte_tokenizer(texts)
+
+    rows = spark.range(0, 4000, 1, 1).select(
+        F.col("id").alias("index"), F.concat(F.lit("/"), F.repeat(F.lit("p"), F.when(F.col("id") == 70, 700_000).otherwise(200))).alias("path"),
+        F.lit("healthy").alias("true_label"))
+    talks = rows.withColumn("messages", msg.training_messages(F.col("path"), F.col("true_label")))
+    done = scoring.collate(talks, tokenizer).select("index", F.size("input_ids").alias("n"), "prompt_length", F.length("path").alias("p"))
+    got = done.agg(F.count("*"), F.count_distinct(F.col("n") - F.col("p")), F.count_distinct(F.col("prompt_length") - F.col("p")), F.max("p")).first()
+    assert tuple(got) == (4000, 1, 1, 700_001)
+    picked = scoring.calibration_dataset(talks.where("index <> 70").withColumnRenamed("path", "image_path"), tokenizer, 50, 3000, ["healthy"])
+    assert {len(r["input_ids"]) for r in picked.collect()} == {50} and picked.count() == 3000
+
+
 def test_training_draws_and_batches(spark, samples, tmp_path):
     target = str(tmp_path / "train")
     sinks.write_conversations(samples, target)
